@@ -160,7 +160,7 @@ def parse_absolute(u: Column) -> Column:
     return let(let(let(clean_input(u), groups), hostport), build)
 
 
-def resolve(base: Column, ref: Column) -> Column:
+def resolve(base_col: Column, ref: Column) -> Column:
     """Join a reference against a parsed base URL (WHATWG rules for the http(s)
     schemes). Returns the URL struct, or NULL when the result is not http(s)
     or not a valid URL. ``base`` is a URL struct column."""
@@ -197,7 +197,13 @@ def resolve(base: Column, ref: Column) -> Column:
                 .when(authority.isNotNull(), parse_absolute(authority))
                 .otherwise(let(nstruct(pp=path_part, q=q), relative)))
 
-    return F.when(base.isNotNull(), let(let(let(clean_input(ref), split_ref), classify), build))
+    def with_base(b):
+        nonlocal base
+        base = b
+        return F.when(b.isNotNull(), let(let(let(clean_input(ref), split_ref), classify), build))
+
+    base = None
+    return let(base_col, with_base)
 
 
 def serialize(u: Column) -> Column:

@@ -70,9 +70,13 @@ def _srcset_item(idx: int, attr: str):
     return make
 
 
+def _vcol(a: str) -> str:
+    return "_v_" + a.replace("-", "_")
+
+
 def _candidates(pairs, srcset_pairs) -> F.Column:
-    tag, names, raws = F.col("tag"), F.col("_names"), F.col("_raws")
-    values = {a: _lookup(names, raws, a) for a in {a for _, a in pairs + srcset_pairs}}
+    tag = F.col("tag")
+    values = {a: F.col(_vcol(a)) for a in {a for _, a in pairs + srcset_pairs}}
     single = [F.when(tag == t, U.nstruct(pair=F.lit(i), attr=F.lit(a), item=F.lit(0), value=values[a]))
               for i, (t, a) in enumerate(pairs)]
     out = F.array(*single)
@@ -88,7 +92,10 @@ def _candidates(pairs, srcset_pairs) -> F.Column:
 
 def _links_from_tags(tags: DataFrame, pairs, srcset_pairs) -> DataFrame:
     wanted = sorted({t for t, _ in pairs + srcset_pairs})
-    cands = (tags.where(F.col("tag").isin(*wanted))
+    tags = tags.where(F.col("tag").isin(*wanted))
+    for a in sorted({a for _, a in pairs + srcset_pairs}):
+        tags = tags.withColumn(_vcol(a), _lookup(F.col("_names"), F.col("_raws"), a))
+    cands = (tags
              .select("src_url", "site", "_host", "_base", "pos", "tag",
                      F.explode(_candidates(pairs, srcset_pairs)).alias("_c"))
              .where(F.col("_c").isNotNull() & F.col("_c.value").isNotNull()))

@@ -35,3 +35,262 @@ def q_extract_links(spark, sf):
 
 def q_extract_srcset(spark, sf):
     return X.extract_srcset(successful(captures_from_pages(D.enriched_html(_pages(spark, sf)))))
+
+
+def q_rewrite_pages(spark, sf):
+    from ..operators.rewrite import build_mirror
+    m = build_mirror(successful(captures_from_pages(_pages(spark, sf))))
+    return m.where("rtype = 'page'").select("url", "offline_path", "content", "size", "hash",
+                                            "out_size", "out_hash")
+
+
+def q_strip_offline_breakers(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions import html as H
+    p = D.enriched_html(_pages(spark, sf))
+    out = p.select("page_id", "html", H.strip_offline_breakers(F.col("html")).alias("out"))
+    return out.select("page_id", F.col("out").alias("html"),
+                      (F.length("html") - F.length("out")).cast("bigint").alias("removed_chars"))
+
+
+def q_strip_scripts(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions import html as H
+    p = D.enriched_html(_pages(spark, sf))
+    return p.select("page_id", H.strip_scripts(F.col("html")).alias("html"))
+
+
+def q_visible_text(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions import html as H
+    from ..functions.urls import WS
+    t = H.visible_text(F.col("html"))
+    return _pages(spark, sf).select(
+        "page_id", t.alias("text"),
+        F.length(F.regexp_replace(t, f"[{WS}]", "")).cast("bigint").alias("visible_chars"))
+
+
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import text as TX  # noqa: E402
+from ..functions import urls as U  # noqa: E402
+from ..operators import fetchlog as FL  # noqa: E402
+from ..operators import graph as G  # noqa: E402
+from ..operators import manifest as M  # noqa: E402
+from ..operators import robots as RB  # noqa: E402
+from ..operators import spa as S  # noqa: E402
+from ..operators.stats import site_stats  # noqa: E402
+
+SEED_MODES = ("auto", "on", "off", "AUTO", "Yes", "bogus")
+
+
+def _caps(spark, sf):
+    return captures_from_pages(_pages(spark, sf))
+
+
+def _rules(spark, sf):
+    return RB.robots_rules(D.robots_texts(_pages(spark, sf)))
+
+
+def _page_urls(spark, sf):
+    return url_dim(_caps(spark, sf)).select("site", "url", "path", "rtype", "offline_path")
+
+
+def _seeds(spark, sf):
+    p = _pages(spark, sf).select(U.parse_absolute(F.col("url")).alias("u"), "page_id", "url")
+    first = p.groupBy(U.site_of(F.col("u.host")).alias("site")).agg(F.min_by("url", "page_id").alias("seed_url"))
+    mode = F.element_at(F.array(*[F.lit(m) for m in SEED_MODES]),
+                        (F.pmod(F.length("site"), F.lit(len(SEED_MODES))) + 1).cast("int"))
+    return first.select("site", "seed_url", mode.alias("mode"))
+
+
+def q_robots_rules(spark, sf):
+    return _rules(spark, sf)
+
+
+def q_robots_counts(spark, sf):
+    return RB.robots_counts(_rules(spark, sf))
+
+
+def q_robots_filter(spark, sf):
+    return RB.robots_filter(_page_urls(spark, sf).select("site", "url", "path"), _rules(spark, sf))
+
+
+NOISE_PATHS = ("/cdn-cgi/rum?x=1", "/a/__cf_bm", "/beacon/rum", "/js/cloudflareinsights.js", "/ok/app.js",
+               "/Docs/Guide.HTML", "/docs/v1.2/")
+
+
+def _asset_candidates(spark, sf):
+    p = _pages(spark, sf).select(U.parse_absolute(F.col("url")).alias("u"))
+    paths = F.concat(F.array(F.col("u.path")), F.array(*[F.lit(x) for x in NOISE_PATHS]))
+    return p.select(U.site_of(F.col("u.host")).alias("site"), F.col("u.host").alias("host"),
+                    F.explode(paths).alias("path"))
+
+
+def q_noise_filter(spark, sf):
+    return RB.noise_filter(_asset_candidates(spark, sf))
+
+
+def q_route_filter(spark, sf):
+    return RB.route_filter(_asset_candidates(spark, sf))
+
+
+def _links(spark, sf):
+    return X.extract_links(_caps(spark, sf))
+
+
+def _old_visited(spark, sf):
+    """Visited set of an earlier run: link targets of every fourth page."""
+    caps = captures_from_pages(_pages(spark, sf).where(F.pmod(F.col("page_id"), F.lit(4)) == 0))
+    return X.extract_links(caps).select("site", F.col("dst_url").alias("url"))
+
+
+def q_frontier(spark, sf):
+    return G.frontier(_links(spark, sf), _old_visited(spark, sf))
+
+
+def q_visited_union(spark, sf):
+    new = _links(spark, sf).select("site", F.col("dst_url").alias("url"))
+    return G.visited_union(_old_visited(spark, sf), new)
+
+
+def q_asset_dedupe(spark, sf):
+    l = X.extract_links(captures_from_pages(D.enriched_html(_pages(spark, sf))))
+    assets = l.where(F.col("tag") != "a").select("site", F.col("dst_url").alias("url"), "tag", "attr")
+    return G.asset_dedupe(assets).select("site", "url")
+
+
+def q_reachable(spark, sf):
+    pages = _pages(spark, sf)
+    edges = D.graph_edges(pages)
+    seeds = pages.where(F.col("page_id") == 0).select("url")
+    return G.reachable(edges, seeds)
+
+
+def q_fetch_outcomes(spark, sf):
+    return FL.fetch_outcomes(D.attempts_from_events(read_table(spark, sf, "events")))
+
+
+def q_error_stats(spark, sf):
+    return FL.error_stats(FL.fetch_outcomes(D.attempts_from_events(read_table(spark, sf, "events"))))
+
+
+def _mirror(spark, sf):
+    from ..operators.rewrite import build_mirror
+    return build_mirror(successful(D.mixed_captures(_pages(spark, sf))))
+
+
+def q_site_stats(spark, sf):
+    """Totals of a run over mixed captures: saved resources by type and
+    bytes, failed responses (non-200) as errors."""
+    caps = D.mixed_captures(_pages(spark, sf))
+    mirror = url_dim(successful(caps)).join(
+        successful(caps).select(U.normalize_url(F.col("url")).alias("url"), TX.byte_size(F.col("body")).alias("size")),
+        "url")
+    errors = caps.where(F.col("status") != 200).select(
+        U.site_of(U.parse_absolute(F.col("url"))["host"]).alias("site"))
+    return site_stats(mirror.select("site", "rtype", "size"), errors=errors)
+
+
+def q_format_bytes(spark, sf):
+    ev = read_table(spark, sf, "events")
+    n = (F.col("event_id") * F.col("event_id") * 7919 + F.col("user_id")).cast("bigint")
+    vals = ev.select(F.col("event_id"), n.alias("n"))
+    return vals.select("event_id", "n", TX.format_bytes(F.col("n")).alias("text"))
+
+
+def q_spa_features(spark, sf):
+    f = S.spa_features(D.enriched_html(_pages(spark, sf)))
+    return f.select("page_id", "has_marker", "module_scripts", "scripts", "has_root_id", "body_text_bytes",
+                    S.spa_verdict().alias("spa"))
+
+
+def q_spa_shell(spark, sf):
+    return D.enriched_html(_pages(spark, sf)).select("page_id", S.spa_shell(F.col("html")).alias("shell"))
+
+
+def q_render_plan(spark, sf):
+    return S.render_plan(_seeds(spark, sf), D.mixed_captures(_pages(spark, sf)))
+
+
+def q_manifest_record(spark, sf):
+    return M.manifest_record(_mirror(spark, sf))
+
+
+def q_content_hash(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return docs.select("doc_id", TX.content_hash(F.col("text")).alias("hash"),
+                       TX.byte_size(F.col("text")).alias("size"))
+
+
+def _disk_files(spark, sf):
+    """Files of an earlier mirror: every page body, changed for page_id % 7 == 0
+    and missing for page_id % 11 == 0."""
+    p = _pages(spark, sf).where(F.pmod(F.col("page_id"), F.lit(11)) != 0)
+    u = U.parse_absolute(F.col("url"))
+    content = F.when(F.pmod(F.col("page_id"), F.lit(7)) == 0, F.concat(F.col("html"), F.lit("x"))).otherwise(
+        F.col("html"))
+    return p.select(U.site_of(u["host"]).alias("site"), U.offline_path(u["path"], u["query"]).alias("path"),
+                    content.alias("content"))
+
+
+def _entries(spark, sf):
+    return M.manifest_record(_mirror_plain(spark, sf))
+
+
+def _mirror_plain(spark, sf):
+    from ..operators.rewrite import build_mirror
+    return build_mirror(_caps(spark, sf))
+
+
+def q_freshness(spark, sf):
+    return M.freshness(_entries(spark, sf), _disk_files(spark, sf)).select("site", "url", "path", "hash", "fresh")
+
+
+def _plan(spark, sf):
+    links = _links(spark, sf).select("site", F.col("dst_url").alias("url"))
+    pages = _page_urls(spark, sf).select("site", "url")
+    discovered = links.unionByName(pages)
+    fresh = M.freshness(_entries(spark, sf), _disk_files(spark, sf))
+    d_urls = discovered.distinct().select("site", "url", U.parse_absolute(F.col("url"))["path"].alias("path"))
+    allowed = RB.robots_filter(d_urls, _rules(spark, sf))
+    return M.plan_incremental(discovered, _old_visited(spark, sf), fresh, allowed)
+
+
+def q_plan_incremental(spark, sf):
+    return _plan(spark, sf)
+
+
+def q_skipped_stats(spark, sf):
+    plan = _plan(spark, sf)
+    fetched = plan.where("decision = 'fetch'").join(
+        _mirror_plain(spark, sf).select("site", "url", "rtype", "size"), ["site", "url"])
+    return site_stats(fetched.select("site", "rtype", "size"), skipped=M.skipped_stats(plan))
+
+
+def q_seeds(spark, sf):
+    from ..sources.captures import validate_seeds
+    return validate_seeds(_pages(spark, sf).select(F.col("url").alias("seed_url")))
+
+
+def q_bundle(spark, sf):
+    from ..sources.mirror import bundle_totals
+    return bundle_totals(_mirror_plain(spark, sf))
+
+
+def q_extract_css_refs(spark, sf):
+    return X.extract_css_refs(D.css_captures(_pages(spark, sf)))
+
+
+def q_rewrite_css(spark, sf):
+    from ..operators.rewrite import build_mirror
+    return build_mirror(D.css_captures(_pages(spark, sf))).select("url", "offline_path", "content")
+
+
+def q_extract_nav_links(spark, sf):
+    return X.extract_nav_links(D.rendered_from_pages(_pages(spark, sf)))
+
+
+def q_rendered_requests(spark, sf):
+    return X.rendered_requests(D.rendered_from_pages(_pages(spark, sf)))

@@ -55,3 +55,18 @@ def successful(captures: DataFrame) -> DataFrame:
     return (captures.where(F.col("status") == 200)
             .withColumn("last_modified",
                         F.when(F.col("last_modified") == "", F.lit(None)).otherwise(F.col("last_modified"))))
+
+
+def validate_seeds(seeds: DataFrame) -> DataFrame:
+    """seeds(seed_url) -> (seed_url, ok, reason, output): http(s) scheme and a
+    host are required; the output folder defaults to the host."""
+    from ..functions import urls as U
+    s = U.clean_input(F.col("seed_url"))
+    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    parsed = U.parse_absolute(F.col("seed_url"))
+    reason = (F.when(scheme == "", F.lit("invalid url"))
+              .when(~scheme.isin("http", "https"), F.lit("scheme must be http or https"))
+              .when(parsed.isNull(), F.lit("missing or invalid host"))
+              .otherwise(F.lit(None)))
+    return seeds.select("seed_url", reason.isNull().alias("ok"), reason.alias("reason"),
+                        parsed["host"].alias("output"))

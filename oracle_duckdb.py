@@ -399,8 +399,8 @@ def q_site_summary() -> str:
             f"FROM res LEFT JOIN pl ON res.site = pl.site LEFT JOIN tg ON res.site = tg.site")
 
 
-def q_url_dim() -> str:
-    st = Stages(mixed_captures(), name="ud")
+def q_url_dim(source: str | None = None) -> str:
+    st = Stages(source or mixed_captures(), name="ud")
     parse_abs(st, "url", "u")
     st.where("u_ok")
     rows = st.sql(f"SELECT {serialize('u')} AS url, u_scheme AS scheme, u_host AS host, {site_of('u_host')} AS site, "
@@ -415,3 +415,263 @@ def q_url_dim() -> str:
 def q_path_collisions() -> str:
     return (f"WITH d AS ({q_url_dim()}) SELECT site, offline_path, count(DISTINCT url) AS n_urls, "
             f"arg_max(url, seq) AS winner FROM d GROUP BY site, offline_path HAVING count(DISTINCT url) > 1")
+
+
+# --------------------------------------------------------------------------
+# Rewriting
+def strip_breakers(st: Stages, col: str, o: str) -> Stages:
+    st.add(**{f"{o}_1": f"regexp_replace({col}, {q(H.SW_EXTERNAL_RE)}, '', 'g')"})
+    st.add(**{f"{o}_2": f"regexp_replace({o}_1, {q(H.MANIFEST_LINK_RE)}, '', 'g')"})
+    st.add(**{f"{o}_3": f"regexp_replace({o}_2, {q(H.MODULEPRELOAD_LINK_RE)}, '', 'g')"})
+    st.add(**{f"{o}_4": f"regexp_replace({o}_3, {q(H.SCRIPT_PRELOAD_LINK_RE)}, '', 'g')"})
+    words = " OR ".join(f"contains({{b}}, {q(w)})" for w in H.SW_INLINE_WORDS)
+    body = (f"regexp_replace(regexp_replace(blocks[i], {q(r'(?is)^<script\b[^>]*?>')}, ''), "
+            f"{q('(?i)</script>$')}, '')")
+    bad = "(" + words.format(b=body) + ")"
+    has = "(" + words.format(b=f"{o}_4") + ")"
+    st.add(**{f"{o}_parts": f"string_split_regex({o}_4, {q(H.INLINE_SCRIPT_RE)})",
+              f"{o}_blocks": f"regexp_extract_all({o}_4, {q(H.INLINE_SCRIPT_RE)})"})
+    rebuilt = (f"array_to_string(list_transform(range(1, len({o}_parts) + 1), lambda i: {o}_parts[i] || "
+               f"CASE WHEN i > len({o}_blocks) THEN '' WHEN {bad.replace('blocks[i]', f'{o}_blocks[i]')} THEN '' "
+               f"ELSE {o}_blocks[i] END), '')")
+    st.add(**{f"{o}_5": f"CASE WHEN {has} THEN {rebuilt} ELSE {o}_4 END"})
+    st.add(**{o: f"regexp_replace({o}_5, {q(H.CROSSORIGIN_RE)}, '', 'g')"})
+    return st
+
+
+def rewrite_pages_sql(source_sql: str) -> str:
+    """Rewritten pages (double-quoted href/src/action/poster values; the
+    corpus has no srcset) followed by offline-breaker removal."""
+    from mirrorline.operators import rewrite as R
+    st = Stages(source_sql, name="rw")
+    parse_abs(st, "url", "u")
+    st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'page'")
+    st.add(_bh=f"regexp_extract(body, {q(R.BASE_HREF_RE)}, 1)")
+    st.add(_bref=f"CASE WHEN _bh <> '' THEN _bh END")
+    resolve(st, "u", "_bref", "bb")
+    for part in ("scheme", "host", "port", "path", "query"):
+        st.add(**{f"b_{part}": f"CASE WHEN bb_ok THEN bb_{part} ELSE u_{part} END"})
+    st.add(page_path=offline_path("u_path", "u_query"),
+           _parts=f"string_split_regex(body, {q(R.ATTR_REWRITE_RE)})",
+           _ms=f"regexp_extract_all(body, {q(R.ATTR_REWRITE_RE)}, 0)")
+    pages_cte = st.last
+    st.select("SELECT *, unnest(range(1, len(_parts) + 1)) AS i FROM {prev}")
+    st.add(m="_ms[i]", part="_parts[i]")
+    st.add(m_name=f"lower(regexp_extract(m, {q(R.ATTR_REWRITE_RE)}, 1))",
+           m_value=f"regexp_extract(m, {q(R.ATTR_REWRITE_RE)}, 2)",
+           m_prefix=f"regexp_extract(m, {q(f'^([{WS}]+[A-Za-z]+)')}, 1)")
+    st.add(_ref=f"CASE WHEN m IS NULL OR m_name = 'srcset' OR {skip_ref('m_value')} THEN NULL ELSE m_value END")
+    resolve(st, "b", "_ref", "r")
+    st.add(_tgt=offline_path("r_path", "r_query"))
+    relative_link(st, "page_path", "_tgt", "rel")
+    st.add(_new=(f"CASE WHEN NOT coalesce(r_ok, false) OR {site_of('r_host')} <> {site_of('b_host')} THEN NULL "
+                 f"WHEN rel = m_value OR rel = '.' OR rel = page_path THEN NULL ELSE rel END"))
+    st.add(piece=f"part || coalesce(CASE WHEN _new IS NULL THEN m ELSE m_prefix || '=\"' || _new || '\"' END, '')")
+    pieces = st.last
+    markers = " OR ".join(f"contains(body, {q(mk)})" for mk in R.EARLY_OUT_MARKERS)
+    st.select(f"SELECT p.*, CASE WHEN {markers} THEN r.rebuilt ELSE body END AS rew FROM {pages_cte} p "
+              f"LEFT JOIN (SELECT url AS k, string_agg(piece, '' ORDER BY i) AS rebuilt FROM {pieces} GROUP BY url) r "
+              f"ON p.url = r.k")
+    strip_breakers(st, "rew", "content")
+    return st.sql(f"SELECT {serialize('u')} AS url, page_path AS offline_path, content, "
+                  f"CAST(octet_length(encode(body)) AS BIGINT) AS size, 'sha256:' || sha256(body) AS hash, "
+                  f"CAST(octet_length(encode(content)) AS BIGINT) AS out_size, "
+                  f"'sha256:' || sha256(content) AS out_hash FROM {{prev}}")
+
+
+def q_rewrite_pages() -> str:
+    return rewrite_pages_sql(captures_from_pages())
+
+
+def q_strip_offline_breakers() -> str:
+    st = Stages(enriched_pages(), name="sb")
+    strip_breakers(st, "html", "out")
+    return st.sql("SELECT page_id, out AS html, CAST(length(html) - length(out) AS BIGINT) AS removed_chars "
+                  "FROM {prev}")
+
+
+def q_strip_scripts() -> str:
+    return (f"SELECT page_id, CASE WHEN contains(lower(html), '<script') THEN "
+            f"regexp_replace(html, {q(r'(?si)<script[^>]*>.*?</script>')}, '', 'g') ELSE html END AS html "
+            f"FROM ({enriched_pages()})")
+
+
+def q_visible_text() -> str:
+    vt = f"regexp_replace(regexp_replace(html, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')"
+    return (f"SELECT page_id, {vt} AS text, CAST(length(regexp_replace({vt}, {q(f'[{WS}]')}, '', 'g')) AS BIGINT) "
+            f"AS visible_chars FROM pages")
+
+
+# --------------------------------------------------------------------------
+# More inputs
+def page_site(url: str = "url") -> str:
+    return f"regexp_replace(lower(regexp_extract({url}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
+
+
+def robots_texts() -> str:
+    n = len(D.ROBOTS_BODIES)
+    return (f"SELECT site, {pick(D.ROBOTS_BODIES, f'length(site) % {n}')} AS body "
+            f"FROM (SELECT DISTINCT {page_site()} AS site FROM pages)")
+
+
+def css_captures() -> str:
+    pid = "CAST(page_id AS VARCHAR)"
+    hrefs = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+    body = (f"'@import ''base' || {pid} || '.css'';' || chr(10) || 'body {{ background: url(''/images/bg' || {pid} || "
+            f"'.png''); }}' || chr(10) || '.x {{ background: url(\"data:image/png;base64,iVBOR=\"); }}' || chr(10) || "
+            f"array_to_string(list_transform({hrefs}, lambda h: '.i {{ background: url(' || h || ') }}'), chr(10))")
+    url = f"regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/css/s' || {pid} || '.css'"
+    return (f"SELECT {url} AS url, 200 AS status, 'text/css' AS content_type, NULL::VARCHAR AS last_modified, "
+            f"{body} AS body, CAST(page_id AS BIGINT) AS seq FROM pages")
+
+
+def rendered_pages() -> str:
+    origin = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
+    hrefs = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+    reqs = (f"list_concat([url], list_transform({hrefs}, lambda h: {origin} || h || '#frag'), "
+            f"['not a url', 'https://cdn.example.invalid/lib.js'])")
+    return f"SELECT url, regexp_replace(url, '#.*$', '') AS final_url, html, {reqs} AS requested_urls FROM pages"
+
+
+def q_extract_css_refs() -> str:
+    from mirrorline.operators import extract as X
+    st = Stages(css_captures(), name="cr")
+    parse_abs(st, "url", "u")
+    st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'css'")
+    st.add(_urls=f"regexp_extract_all(body, {q(X.CSS_URL_RE)}, 1)",
+           _imps=f"regexp_extract_all(body, {q(X.CSS_IMPORT_RE)}, 1)")
+    st.select("SELECT *, unnest(list_concat(list_transform(_urls, lambda v, i: {'attr': 'url', 'pos': i - 1, 'value': v}), "
+              "list_transform(_imps, lambda v, i: {'attr': 'import', 'pos': i - 1, 'value': v}))) AS c FROM {prev}")
+    st.where("NOT starts_with(c.value, 'data:')")
+    st.add(_v=trim_ws("c.value"))
+    st.add(_ref=f"CASE WHEN _v = '' OR {skip_ref('_v')} THEN NULL ELSE _v END")
+    resolve(st, "u", "_ref", "d")
+    st.where(f"_ref IS NOT NULL AND d_ok AND {site_of('d_host')} = {site_of('u_host')}")
+    return st.sql(f"SELECT {serialize('u')} AS src_url, {serialize('d')} AS dst_url, {site_of('u_host')} AS site, "
+                  f"c.attr AS attr, CAST(c.pos AS INTEGER) AS pos FROM {{prev}}")
+
+
+def q_extract_nav_links() -> str:
+    st = _tag_stage(rendered_pages(), "html", "final_url", False, "nv")
+    return _link_stage(st, H.NAV_PAIRS, ()).sql(LINK_SELECT)
+
+
+def q_rendered_requests() -> str:
+    st = Stages(rendered_pages(), name="rr")
+    parse_abs(st, "final_url", "u")
+    st.where("u_ok")
+    parse_abs(st, "url", "q")
+    st.select(f"SELECT {serialize('u')} AS src_url, {site_of('u_host')} AS site, "
+              f"CASE WHEN q_ok THEN {serialize('q')} END AS _req, r, ri FROM "
+              f"(SELECT *, unnest(requested_urls) AS r, generate_subscripts(requested_urls, 1) AS ri FROM {{prev}})")
+    parse_abs(st, "r", "x")
+    st.where("x_ok")
+    st.add(dst=serialize("x"))
+    st.select("SELECT src_url, site, _req, dst, min(ri) AS first FROM {prev} GROUP BY ALL")
+    st.where(f"{page_site('dst')} = site")
+    st.add(pos="CAST(row_number() OVER (PARTITION BY src_url ORDER BY first) - 1 AS INTEGER)")
+    return st.sql("SELECT src_url, dst AS dst_url, site, pos FROM {prev} "
+                  "WHERE dst <> src_url AND dst <> coalesce(_req, '')")
+
+
+# --------------------------------------------------------------------------
+# Robots
+def rules_sql() -> str:
+    body_lines = (f"SELECT site, CAST(i - 1 AS INTEGER) AS line, {trim_ws('parts[i]')} AS text FROM "
+                  f"(SELECT site, string_split(body, chr(10)) AS parts, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i "
+                  f"FROM ({robots_texts()}) WHERE body IS NOT NULL)")
+    agent = f"CASE WHEN starts_with(text, 'User-agent:') THEN {trim_ws('substr(text, 12)')} = '*' END"
+    return (f"WITH l AS (SELECT * FROM ({body_lines}) WHERE text <> '' AND NOT starts_with(text, '#')), "
+            f"m AS (SELECT *, {agent} AS agent FROM l), "
+            f"u AS (SELECT *, coalesce(last_value(agent IGNORE NULLS) OVER (PARTITION BY site ORDER BY line "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS universal FROM m), "
+            f"r AS (SELECT site, line, CASE WHEN starts_with(text, 'Disallow:') THEN false "
+            f"WHEN starts_with(text, 'Allow:') THEN true END AS allow, "
+            f"CASE WHEN starts_with(text, 'Disallow:') THEN {trim_ws('substr(text, 10)')} "
+            f"WHEN starts_with(text, 'Allow:') THEN {trim_ws('substr(text, 7)')} END AS prefix "
+            f"FROM u WHERE agent IS NULL AND universal) "
+            f"SELECT site, line, allow, prefix FROM r WHERE allow IS NOT NULL AND prefix <> ''")
+
+
+def q_robots_rules() -> str:
+    return rules_sql()
+
+
+def q_robots_counts() -> str:
+    return (f"SELECT site, count(*) FILTER (WHERE NOT allow) AS disallows, count(*) FILTER (WHERE allow) AS allows "
+            f"FROM ({rules_sql()}) GROUP BY site")
+
+
+def robots_filter_sql(urls_sql: str) -> str:
+    """urls_sql has site, url, path; adds allowed."""
+    return (f"WITH u AS ({urls_sql}), r AS ({rules_sql()}), "
+            f"m AS (SELECT u.site, u.url, max(CASE WHEN NOT r.allow THEN octet_length(encode(r.prefix)) END) AS d, "
+            f"max(CASE WHEN r.allow THEN octet_length(encode(r.prefix)) END) AS a FROM u JOIN r ON u.site = r.site "
+            f"AND starts_with(u.path, r.prefix) GROUP BY u.site, u.url) "
+            f"SELECT u.*, (coalesce(m.d, 0) = 0 OR coalesce(m.a, -1) >= coalesce(m.d, 0)) AS allowed "
+            f"FROM u LEFT JOIN m ON u.site = m.site AND u.url = m.url")
+
+
+def page_urls_sql() -> str:
+    return f"SELECT site, url, path FROM ({q_url_dim(captures_from_pages())})"
+
+
+def q_robots_filter() -> str:
+    return robots_filter_sql(page_urls_sql())
+
+
+def asset_candidates() -> str:
+    from mirrorline.plans.queries import NOISE_PATHS
+    st = Stages("SELECT url FROM pages", name="ac")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    return st.sql(f"SELECT {site_of('u_host')} AS site, u_host AS host, unnest(list_concat([u_path], {arr(NOISE_PATHS)})) AS path FROM {{prev}}")
+
+
+def q_noise_filter() -> str:
+    from mirrorline.operators import robots as RB
+    cond = " OR ".join([f"starts_with(path, {q(p)})" for p in RB.NOISE_PREFIXES]
+                       + [f"contains(path, {q(c)})" for c in RB.NOISE_CONTAINS]
+                       + [f"ends_with(path, {q(s)})" for s in RB.NOISE_SUFFIXES])
+    return f"SELECT * FROM ({asset_candidates()}) WHERE NOT ({cond})"
+
+
+def q_route_filter() -> str:
+    last = "regexp_extract(lower(path), '([^/]*)$', 1)"
+    return (f"SELECT * FROM ({asset_candidates()}) WHERE NOT contains({last}, '.') "
+            f"OR ends_with(lower(path), '.html') OR ends_with(lower(path), '.htm')")
+
+
+# --------------------------------------------------------------------------
+# Graph
+def plain_links(where: str = "TRUE", name: str = "pl") -> str:
+    src = f"SELECT * FROM ({captures_from_pages(f'(SELECT * FROM pages WHERE {where})')}) WHERE status = 200"
+    return links_sql(src, name).sql(f"SELECT site, {serialize('d')} AS url, tag FROM {{prev}}")
+
+
+def q_frontier() -> str:
+    return (f"SELECT DISTINCT site, url FROM ({plain_links()}) l WHERE NOT EXISTS "
+            f"(SELECT 1 FROM ({plain_links('page_id % 4 = 0', 'ov')}) v WHERE v.site = l.site AND v.url = l.url)")
+
+
+def q_visited_union() -> str:
+    return (f"SELECT site, url FROM ({plain_links('page_id % 4 = 0', 'ov')}) UNION "
+            f"SELECT site, url FROM ({plain_links()})")
+
+
+def q_asset_dedupe() -> str:
+    src = f"SELECT * FROM ({captures_from_pages('(' + enriched_pages() + ')')}) WHERE status = 200"
+    l = links_sql(src, "ad").sql(f"SELECT site, {serialize('d')} AS url, tag FROM {{prev}}")
+    return f"SELECT DISTINCT site, url FROM ({l}) WHERE tag <> 'a'"
+
+
+def q_reachable() -> str:
+    edges = ("SELECT s.url AS src_url, d.url AS dst_url FROM "
+             "(SELECT page_id, url, unnest([(page_id * 7 + 1) % (SELECT count(*) FROM pages), "
+             "(page_id * 3 + 2) % (SELECT count(*) FROM pages)]) AS dst_id FROM pages) s "
+             "JOIN pages d ON d.page_id = s.dst_id")
+    return (f"WITH RECURSIVE e AS ({edges}), r(url, depth) AS ("
+            f"SELECT url, 0 FROM pages WHERE page_id = 0 UNION "
+            f"SELECT e.dst_url, r.depth + 1 FROM r JOIN e ON r.url = e.src_url "
+            f"WHERE r.depth < (SELECT count(*) FROM pages)) "
+            f"SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url")
