@@ -176,11 +176,6 @@ def q_error_stats(spark, sf):
     return FL.error_stats(FL.fetch_outcomes(D.attempts_from_events(read_table(spark, sf, "events"))))
 
 
-def _mirror(spark, sf):
-    from ..operators.rewrite import build_mirror
-    return build_mirror(successful(D.mixed_captures(_pages(spark, sf))))
-
-
 def q_site_stats(spark, sf):
     """Totals of a run over mixed captures: saved resources by type and
     bytes, failed responses (non-200) as errors."""
@@ -215,7 +210,7 @@ def q_render_plan(spark, sf):
 
 
 def q_manifest_record(spark, sf):
-    return M.manifest_record(_mirror(spark, sf))
+    return M.manifest_record(_mirror_plain(spark, sf))
 
 
 def q_content_hash(spark, sf):
@@ -264,7 +259,7 @@ def q_plan_incremental(spark, sf):
 
 def q_skipped_stats(spark, sf):
     plan = _plan(spark, sf)
-    fetched = plan.where("decision = 'fetch'").join(
+    fetched = plan.where("decision = 'fetch'").select("site", "url").join(
         _mirror_plain(spark, sf).select("site", "url", "rtype", "size"), ["site", "url"])
     return site_stats(fetched.select("site", "rtype", "size"), skipped=M.skipped_stats(plan))
 

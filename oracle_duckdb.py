@@ -675,3 +675,242 @@ def q_reachable() -> str:
             f"SELECT e.dst_url, r.depth + 1 FROM r JOIN e ON r.url = e.src_url "
             f"WHERE r.depth < (SELECT count(*) FROM pages)) "
             f"SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url")
+
+
+# --------------------------------------------------------------------------
+# Manifest, statistics, fetch log, features
+def mirror_plain_sql() -> str:
+    """Mirror rows of the plain captures (all pages): rewritten content."""
+    st = Stages(captures_from_pages(), name="mp")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    typed = st.sql(f"SELECT {serialize('u')} AS url, {site_of('u_host')} AS site, "
+                   f"{offline_path('u_path', 'u_query')} AS offline_path FROM {{prev}}")
+    rw = rewrite_pages_sql(captures_from_pages())
+    return (f"SELECT t.site, t.offline_path, t.url, 'page' AS rtype, r.content, r.size, r.hash, "
+            f"NULL::VARCHAR AS last_modified, r.out_hash, c.seq FROM ({typed}) t JOIN ({rw}) r ON t.url = r.url "
+            f"JOIN (SELECT url AS k, max(seq) AS seq FROM ({mirror_seq()}) GROUP BY url) c ON c.k = t.url")
+
+
+def mirror_seq() -> str:
+    st = Stages(captures_from_pages(), name="ms")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    return st.sql(f"SELECT {serialize('u')} AS url, seq FROM {{prev}}")
+
+
+def q_manifest_record() -> str:
+    return (f"SELECT site, url, offline_path AS path, size, hash, last_modified AS mtime, rtype, out_hash, seq "
+            f"FROM ({mirror_plain_sql()})")
+
+
+def q_content_hash() -> str:
+    return ("SELECT doc_id, 'sha256:' || sha256(text) AS hash, CAST(octet_length(encode(text)) AS BIGINT) AS size "
+            "FROM documents")
+
+
+def disk_files_sql() -> str:
+    st = Stages("SELECT * FROM pages WHERE page_id % 11 <> 0", name="df")
+    parse_abs(st, "url", "u")
+    return st.sql(f"SELECT {site_of('u_host')} AS site, {offline_path('u_path', 'u_query')} AS path, "
+                  f"CASE WHEN page_id % 7 = 0 THEN html || 'x' ELSE html END AS content FROM {{prev}}")
+
+
+def freshness_sql() -> str:
+    return (f"SELECT e.site, e.url, e.path, e.hash, e.rtype, coalesce('sha256:' || sha256(f.content) = e.hash, false) "
+            f"AS fresh FROM ({q_manifest_record()}) e LEFT JOIN ({disk_files_sql()}) f "
+            f"ON e.site = f.site AND e.path = f.path")
+
+
+def q_freshness() -> str:
+    return f"SELECT site, url, path, hash, fresh FROM ({freshness_sql()})"
+
+
+def plan_sql() -> str:
+    disc = (f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({plain_links()}) "
+            f"UNION ALL SELECT site, url FROM ({page_urls_sql()}))")
+    st = Stages(disc, name="pd")
+    parse_abs(st, "url", "u")
+    durls = st.sql("SELECT site, url, u_path AS path FROM {prev}")
+    allowed = robots_filter_sql(durls)
+    return (f"WITH d AS ({disc}), v AS (SELECT DISTINCT site, url FROM ({plain_links('page_id % 4 = 0', 'ov')})), "
+            f"f AS ({freshness_sql()}), a AS ({allowed}) "
+            f"SELECT d.site, d.url, CASE WHEN v.url IS NOT NULL THEN 'visited' WHEN coalesce(f.fresh, false) THEN 'fresh' "
+            f"WHEN NOT coalesce(a.allowed, true) THEN 'robots' ELSE 'fetch' END AS decision, "
+            f"CASE WHEN f.fresh THEN f.rtype END AS rtype, coalesce(f.fresh, false) AS fresh "
+            f"FROM d LEFT JOIN v ON d.site = v.site AND d.url = v.url "
+            f"LEFT JOIN f ON d.site = f.site AND d.url = f.url LEFT JOIN a ON d.site = a.site AND d.url = a.url")
+
+
+def q_plan_incremental() -> str:
+    return plan_sql()
+
+
+def stats_sql(rows_sql: str) -> str:
+    """rows: site, rtype, size, err."""
+    k = 1024
+    fmt = (f"CASE WHEN total_bytes <= {k} THEN CAST(total_bytes AS VARCHAR) || ' B' ELSE "
+           f"(SELECT CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) || ' ' || "
+           f"(['B', 'KB', 'MB', 'GB'])[unit + 1] FROM (SELECT unit, "
+           f"CAST(qq + CASE WHEN rr * 2 > dd OR (rr * 2 = dd AND qq % 2 = 1) THEN 1 ELSE 0 END AS HUGEINT) AS t "
+           f"FROM (SELECT unit, dd, (CAST(total_bytes AS HUGEINT) * 10) // dd AS qq, "
+           f"(CAST(total_bytes AS HUGEINT) * 10) % dd AS rr FROM (SELECT unit, "
+           f"CAST(power(1024, unit) AS HUGEINT) AS dd FROM (SELECT CASE WHEN total_bytes <= {k * k} THEN 1 "
+           f"WHEN total_bytes <= {k ** 3} THEN 2 ELSE 3 END AS unit))))) END")
+    return (f"SELECT *, {fmt} AS size_text FROM (SELECT site, count(*) FILTER (WHERE rtype = 'page') AS pages, "
+            f"count(*) FILTER (WHERE rtype = 'image') AS images, count(*) FILTER (WHERE rtype = 'css') AS css, "
+            f"count(*) FILTER (WHERE rtype = 'js') AS js, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes, "
+            f"CAST(sum(err) AS BIGINT) AS errors FROM ({rows_sql}) GROUP BY site)")
+
+
+def q_site_stats() -> str:
+    ok = f"SELECT * FROM ({mixed_captures()}) WHERE status = 200"
+    dim = q_url_dim(ok)
+    st = Stages(ok, name="ss")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    sizes = st.sql(f"SELECT {serialize('u')} AS url, CAST(octet_length(encode(body)) AS BIGINT) AS size FROM {{prev}}")
+    st2 = Stages(f"SELECT * FROM ({mixed_captures()}) WHERE status <> 200", name="se")
+    parse_abs(st2, "url", "u")
+    errs = st2.sql(f"SELECT {site_of('u_host')} AS site FROM {{prev}}")
+    rows = (f"SELECT d.site, d.rtype, s.size, 0 AS err FROM ({dim}) d JOIN ({sizes}) s ON d.url = s.url "
+            f"UNION ALL SELECT site, NULL, 0, 1 FROM ({errs})")
+    return stats_sql(rows)
+
+
+def q_skipped_stats() -> str:
+    plan = plan_sql()
+    mirror = mirror_plain_sql()
+    rows = (f"SELECT p.site, m.rtype, m.size, 0 AS err FROM ({plan}) p JOIN ({mirror}) m "
+            f"ON p.site = m.site AND p.url = m.url WHERE p.decision = 'fetch' "
+            f"UNION ALL SELECT site, rtype, 0, 0 FROM ({plan}) WHERE decision = 'fresh'")
+    return stats_sql(rows)
+
+
+def attempts_sql() -> str:
+    status = "CASE event_type " + " ".join(
+        f"WHEN {q(et)} THEN {('NULL' if st is None else st)}" for et, st in D.STATUS_BY_EVENT) + " END"
+    return (f"SELECT 'https://shop.example.com/u/' || CAST(user_id AS VARCHAR) AS url, "
+            f"CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS attempt, "
+            f"CAST({status} AS INTEGER) AS status FROM events")
+
+
+def outcomes_sql() -> str:
+    retry = "(status IS NULL OR (status >= 500 AND status <= 599) OR status = 429)"
+    term = f"CASE WHEN NOT {retry} THEN attempt END"
+    g = (f"SELECT url, min({term}) AS terminal, arg_min(status, {term}) AS terminal_status, count(*) AS logged "
+         f"FROM ({attempts_sql()}) WHERE attempt < 3 GROUP BY url")
+    used = "CASE WHEN terminal IS NOT NULL THEN terminal + 1 ELSE least(logged, 3) END"
+    return (f"SELECT url, CASE WHEN terminal IS NOT NULL AND terminal_status = 200 THEN 'ok' "
+            f"WHEN terminal IS NOT NULL THEN 'failed' WHEN logged >= 3 THEN 'exhausted' ELSE 'pending' END AS outcome, "
+            f"terminal_status AS status, CAST({used} AS INTEGER) AS attempts, "
+            f"CAST(500 * (power(2, {used} - 1) - 1) AS BIGINT) AS backoff_ms FROM ({g})")
+
+
+def q_fetch_outcomes() -> str:
+    return outcomes_sql()
+
+
+def q_error_stats() -> str:
+    return (f"SELECT {page_site()} AS site, count(*) AS errors FROM ({outcomes_sql()}) "
+            f"WHERE outcome IN ('failed', 'exhausted') GROUP BY 1")
+
+
+def q_format_bytes() -> str:
+    rows = "SELECT event_id, CAST(event_id * event_id * 7919 + user_id AS BIGINT) AS total_bytes FROM events"
+    inner = stats_sql("SELECT 'x' AS site, NULL AS rtype, 0 AS size, 0 AS err")
+    fmt = inner.split(" AS size_text FROM")[0].replace("SELECT *, ", "", 1)
+    return f"SELECT event_id, total_bytes AS n, {fmt} AS text FROM ({rows})"
+
+
+def count_of(text: str, needle: str) -> str:
+    return f"CAST((length({text}) - length(replace({text}, {q(needle)}, ''))) / {len(needle)} AS INTEGER)"
+
+
+def spa_sql() -> str:
+    from mirrorline.operators import spa as S
+    st = Stages(enriched_pages(), name="sp")
+    st.add(lo="lower(html)")
+    marker = " OR ".join(f"contains(lo, {q(m)})" for m in H.SPA_MARKERS)
+    root_re = S.ROOT_ID_RE.replace("IDS", "|".join(H.SPA_ROOT_IDS))
+    st.add(has_marker=f"({marker})",
+           module_scripts=f"{count_of('lo', 'type=' + chr(34) + 'module' + chr(34))} + {count_of('lo', chr(39).join(['type=', 'module', '']))}",
+           scripts=count_of("lo", "<script"),
+           has_root_id=f"regexp_matches(regexp_replace(html, {q(H.BLANK_RE)}, '\\1\\2\\3\\4', 'g'), {q(root_re)})",
+           _body=(f"CASE WHEN regexp_matches(html, {q(f'(?i)<body[{WS}/>]')}) THEN "
+                  f"regexp_extract(html, {q(rf'(?is)<body(?:[{WS}/][^>]*)?>(.*)$')}, 1) "
+                  f"ELSE regexp_replace(html, {q(rf'(?is)<head(?:[{WS}/][^>]*)?>.*?</head[{WS}]*>')}, '') END"))
+    st.add(_nc=f"regexp_replace(_body, {q(r'(?s)<!--.*?(?:-->|$)')}, '', 'g')")
+    st.add(_vt=f"regexp_replace(regexp_replace(_nc, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')")
+    st.add(_dec=decode_entities("_vt"))
+    st.add(body_text_bytes=f"CAST(octet_length(encode({trim_ws('_dec')})) AS INTEGER)")
+    st.add(spa=("has_marker OR (has_root_id AND module_scripts >= 1 AND body_text_bytes < 500) "
+                "OR (scripts >= 3 AND body_text_bytes < 200 AND module_scripts >= 1)"))
+    return st.sql("SELECT page_id, html, has_marker, module_scripts, scripts, has_root_id, body_text_bytes, spa "
+                  "FROM {prev}")
+
+
+def q_spa_features() -> str:
+    return ("SELECT page_id, has_marker, module_scripts, scripts, has_root_id, body_text_bytes, spa "
+            f"FROM ({spa_sql()})")
+
+
+def q_spa_shell() -> str:
+    mount = " OR ".join(f"contains(lower(html), {q(m)})" for m in H.SPA_MOUNT_MARKERS)
+    vt = f"regexp_replace(regexp_replace(lower(html), {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')"
+    return (f"SELECT page_id, (({mount}) AND contains(lower(html), '<script') AND "
+            f"length(regexp_replace({vt}, {q(f'[{WS}]')}, '', 'g')) < 200) AS shell FROM ({enriched_pages()})")
+
+
+def seeds_sql() -> str:
+    from mirrorline.plans.queries import SEED_MODES
+    first = f"SELECT {page_site()} AS site, arg_min(url, page_id) AS seed_url FROM pages GROUP BY 1"
+    return (f"SELECT site, seed_url, {pick(SEED_MODES, f'length(site) % {len(SEED_MODES)}')} AS mode "
+            f"FROM ({first})")
+
+
+def q_render_plan() -> str:
+    from mirrorline.operators import spa as S
+    st = Stages(f"SELECT * FROM ({mixed_captures()}) WHERE status = 200", name="rp")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    st.add(k=serialize("u"), lo="lower(body)", html="body")
+    marker = " OR ".join(f"contains(lo, {q(m)})" for m in H.SPA_MARKERS)
+    root_re = S.ROOT_ID_RE.replace("IDS", "|".join(H.SPA_ROOT_IDS))
+    st.add(has_marker=f"({marker})",
+           module_scripts=f"{count_of('lo', 'type=' + chr(34) + 'module' + chr(34))} + {count_of('lo', chr(39).join(['type=', 'module', '']))}",
+           scripts=count_of("lo", "<script"),
+           has_root_id=f"regexp_matches(regexp_replace(html, {q(H.BLANK_RE)}, '\\1\\2\\3\\4', 'g'), {q(root_re)})",
+           _body=(f"CASE WHEN regexp_matches(html, {q(f'(?i)<body[{WS}/>]')}) THEN "
+                  f"regexp_extract(html, {q(rf'(?is)<body(?:[{WS}/][^>]*)?>(.*)$')}, 1) "
+                  f"ELSE regexp_replace(html, {q(rf'(?is)<head(?:[{WS}/][^>]*)?>.*?</head[{WS}]*>')}, '') END"))
+    st.add(_nc=f"regexp_replace(_body, {q(r'(?s)<!--.*?(?:-->|$)')}, '', 'g')")
+    st.add(_vt=f"regexp_replace(regexp_replace(_nc, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')")
+    st.add(_dec=decode_entities("_vt"))
+    st.add(bt=f"octet_length(encode({trim_ws('_dec')}))")
+    st.add(verdict=("has_marker OR (has_root_id AND module_scripts >= 1 AND bt < 500) "
+                    "OR (scripts >= 3 AND bt < 200 AND module_scripts >= 1)"))
+    feats = st.sql("SELECT k, verdict FROM {prev}")
+    s2 = Stages(seeds_sql(), name="sd")
+    parse_abs(s2, "seed_url", "u")
+    seeds = s2.sql(f"SELECT site, seed_url, mode, CASE WHEN u_ok THEN {serialize('u')} END AS k FROM {{prev}}")
+    on = ", ".join(q(x) for x in S.RENDER_ON)
+    off = ", ".join(q(x) for x in S.RENDER_OFF)
+    return (f"SELECT s.site, s.seed_url, s.mode, CASE WHEN lower(s.mode) IN ({on}) THEN true "
+            f"WHEN lower(s.mode) IN ({off}) THEN false ELSE coalesce(f.verdict, false) END AS render "
+            f"FROM ({seeds}) s LEFT JOIN ({feats}) f ON s.k = f.k")
+
+
+def q_seeds() -> str:
+    st = Stages("SELECT url AS seed_url FROM pages", name="sv")
+    parse_abs(st, "seed_url", "u")
+    sch = f"lower(regexp_extract({clean('seed_url')}, {q(U._SCHEME_RE)}, 1))"
+    reason = (f"CASE WHEN {sch} = '' THEN 'invalid url' WHEN {sch} NOT IN ('http', 'https') "
+              f"THEN 'scheme must be http or https' WHEN NOT u_ok THEN 'missing or invalid host' END")
+    return st.sql(f"SELECT seed_url, ({reason}) IS NULL AS ok, {reason} AS reason, u_host AS output FROM {{prev}}")
+
+
+def q_bundle() -> str:
+    return (f"SELECT site, count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes "
+            f"FROM ({mirror_plain_sql()}) WHERE regexp_extract(offline_path, '([^/]*)$', 1) <> '.sitegrab.json' "
+            f"GROUP BY site")
