@@ -289,3 +289,34 @@ def q_extract_nav_links(spark, sf):
 
 def q_rendered_requests(spark, sf):
     return X.rendered_requests(D.rendered_from_pages(_pages(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Streaming forms (final state of a replay equals the batch result)
+def _stream_source(spark, sf, pages=None):
+    from ..streaming import jobs as SJ
+    src = SJ.scratch_dir(spark, "captures")
+    SJ.write_capture_rounds(captures_from_pages(pages if pages is not None else _pages(spark, sf)), src)
+    return src
+
+
+def q_stream_visited(spark, sf):
+    from ..streaming import jobs as SJ
+    return SJ.stream_visited(spark, _stream_source(spark, sf), SJ.scratch_dir(spark, "visited"))
+
+
+def q_stream_stats(spark, sf):
+    from ..streaming import jobs as SJ
+    return SJ.stream_stats(spark, _stream_source(spark, sf), SJ.scratch_dir(spark, "stats"))
+
+
+def q_stream_manifest(spark, sf):
+    from ..streaming import jobs as SJ
+    m = SJ.stream_manifest(spark, _stream_source(spark, sf), SJ.scratch_dir(spark, "manifest"))
+    return m.select("site", "url", "path", "size", "hash", "mtime", "rtype", "out_hash", "seq")
+
+
+def q_stream_frontier(spark, sf):
+    from ..streaming import jobs as SJ
+    return SJ.stream_frontier(spark, _stream_source(spark, sf), _old_visited(spark, sf),
+                              SJ.scratch_dir(spark, "frontier"))

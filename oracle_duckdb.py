@@ -914,3 +914,22 @@ def q_bundle() -> str:
     return (f"SELECT site, count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes "
             f"FROM ({mirror_plain_sql()}) WHERE regexp_extract(offline_path, '([^/]*)$', 1) <> '.sitegrab.json' "
             f"GROUP BY site")
+
+
+# --------------------------------------------------------------------------
+# Streaming: the final state of a replay equals the batch result.
+def q_stream_visited() -> str:
+    return f"SELECT DISTINCT site, url FROM ({plain_links()})"
+
+
+def q_stream_stats() -> str:
+    rows = f"SELECT site, rtype, size, 0 AS err FROM ({mirror_plain_sql()})"
+    return (f"SELECT site, pages, images, css, js, total_bytes FROM ({stats_sql(rows)})")
+
+
+def q_stream_manifest() -> str:
+    return q_manifest_record()
+
+
+def q_stream_frontier() -> str:
+    return q_frontier()
