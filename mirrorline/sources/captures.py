@@ -29,7 +29,19 @@ RENDERED_SCHEMA = T.StructType([
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A large corpus already scans as thousands of splits and is left alone; a
+    single-row-group file (small test scales) would otherwise run every
+    regular expression of the job in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def captures_from_pages(pages: DataFrame) -> DataFrame:
