@@ -129,7 +129,6 @@ def _drop_sw_inline_scripts(html: Column) -> Column:
     def run(h):
         parts = F.split(h, INLINE_SCRIPT_RE)
         blocks = F.regexp_extract_all(h, lit_re(INLINE_SCRIPT_RE), 0)
-        hit = F.lit(False)
 
         def keep(p, b):
             body = F.regexp_replace(F.regexp_replace(b, r"(?is)^<script\b[^>]*?>", ""), r"(?i)</script>$", "")
@@ -138,7 +137,6 @@ def _drop_sw_inline_scripts(html: Column) -> Column:
                 bad = bad | body.contains(w)
             return F.concat(p, F.when(b.isNull() | bad, F.lit("")).otherwise(b))
 
-        del hit
         return F.array_join(F.zip_with(parts, blocks, keep), "")
 
     has_word = F.lit(False)
