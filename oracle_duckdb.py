@@ -933,3 +933,31 @@ def q_stream_manifest() -> str:
 
 def q_stream_frontier() -> str:
     return q_frontier()
+
+
+def q_rewrite_css() -> str:
+    from mirrorline.operators import rewrite as R
+    st = Stages(css_captures(), name="rc")
+    parse_abs(st, "url", "u")
+    st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'css'")
+    st.add(css_path=offline_path("u_path", "u_query"),
+           _parts=f"string_split_regex(body, {q(R.CSS_REF_RE)})",
+           _ms=f"regexp_extract_all(body, {q(R.CSS_REF_RE)}, 0)")
+    docs = st.last
+    st.select("SELECT *, unnest(range(1, len(_parts) + 1)) AS i FROM {prev}")
+    st.add(m="_ms[i]", part="_parts[i]")
+    st.add(imp="coalesce(starts_with(m, '@import'), false)")
+    st.add(txt=(f"CASE WHEN imp THEN regexp_extract(m, {q(R.CSS_REF_RE)}, 2) "
+                f"ELSE regexp_extract(m, {q(R.CSS_REF_RE)}, 1) END"))
+    st.add(_ref=f"CASE WHEN m IS NULL OR starts_with(txt, 'data:') OR {skip_ref('txt')} THEN NULL ELSE txt END")
+    resolve(st, "u", "_ref", "r")
+    st.add(_tgt=offline_path("r_path", "r_query"))
+    relative_link(st, "css_path", "_tgt", "rel")
+    st.add(_new=(f"CASE WHEN NOT coalesce(r_ok, false) OR {site_of('r_host')} <> {site_of('u_host')} THEN NULL "
+                 f"WHEN rel = txt OR rel = '.' OR rel = css_path THEN NULL ELSE rel END"))
+    st.add(piece=(f"part || coalesce(CASE WHEN _new IS NULL THEN m ELSE "
+                  f"(CASE WHEN imp THEN '@import ' ELSE '' END) || 'url(\"' || _new || '\")' END, '')"))
+    pieces = st.last
+    st.select(f"SELECT d.*, r.content FROM {docs} d JOIN (SELECT url AS k, string_agg(piece, '' ORDER BY i) "
+              f"AS content FROM {pieces} GROUP BY url) r ON d.url = r.k")
+    return st.sql(f"SELECT {serialize('u')} AS url, css_path AS offline_path, content FROM {{prev}}")

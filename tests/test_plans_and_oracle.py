@@ -18,7 +18,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_listed():
     assert set(E.oracle_sql()) <= set(E.queries())
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= {"rewrite_css"}
+    assert missing == set()
 
 
 def test_rewrite_is_map_only(spark):
