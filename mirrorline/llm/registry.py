@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, simhash
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
