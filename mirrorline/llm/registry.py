@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, simhash
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
 }
