@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
