@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, secrets, simhash
+from . import decontaminate, pieces, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }

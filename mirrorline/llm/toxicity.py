@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, SpanHash, char_starts, pieces, table, text_bytes, word_spans
+from .common import ALNUM, LOWER, SpanHash, char_starts, mixed, pieces, table, text_bytes, word_spans
 from .sample import labelled_sample, remainder
 
 WORD_BITS, START_BITS, START_BYTES = 18, 18, 5
 ROUNDS, RATE, DECAY = 14, 0.7, 1e-4
-MIN_DOCS, MIN_LIFT = 3, 12.0
+MIN_SEEN, MIN_SHARE, MIN_LIFT = 5, 0.01, 12.0
 
 # Bytes that end a sentence.
 SENTENCE_END = np.zeros(256, dtype=bool)
@@ -90,19 +90,25 @@ def marginals(emission, first, length, move):
 
 
 def _toxic_words(words: Words, y: np.ndarray) -> np.ndarray:
-    """Word labels: in toxic rows, words whose type (or beginning) lifts."""
+    """Word labels: in toxic rows, words whose type (or beginning) lifts. A type
+    counts once for each pair of neighbouring words, so that copies of a text
+    add nothing to the words they share."""
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    least = max(MIN_SEEN, MIN_SHARE * n1)
+    near = np.zeros(len(words.row), np.uint64)
+    near[1:] += words.word[:-1] * np.uint64(3)
+    near[:-1] += words.word[1:] * np.uint64(5)
+    toxic = y[words.row].astype(bool)
     out = np.zeros(len(words.row), dtype=bool)
     for kind in (words.word, words.start):
         types, of = np.unique(kind, return_inverse=True)
-        seen = np.unique(of * len(y) + words.row)  # a type counts once in a row
-        toxic = y[seen % len(y)].astype(bool)
-        of_type = seen // len(y)
-        a = np.bincount(of_type[toxic], minlength=len(types))
-        b = np.bincount(of_type[~toxic], minlength=len(types))
-        lift = (a / n1) / ((b + 0.5) / n0)
-        out |= ((a >= MIN_DOCS) & (lift >= MIN_LIFT))[of]
-    return out & y[words.row].astype(bool)
+        seen = []
+        for side in (toxic, ~toxic):
+            _, at = np.unique(near[side] ^ mixed(kind[side]), return_index=True)
+            seen.append(np.bincount(of[side][at], minlength=len(types)))
+        lift = (seen[0] / n1) / ((seen[1] + 0.5) / n0)
+        out |= ((seen[0] >= least) & (lift >= MIN_LIFT))[of]
+    return out & toxic
 
 
 class Model:
@@ -164,7 +170,7 @@ class Model:
         most = np.full(rows, 1e-6)
         np.maximum.at(most, words.row, p)
         most = np.clip(most, 1e-6, 1 - 1e-6)
-        total = np.bincount(words.row, weights=np.where(p > 0.05, p, 0.0), minlength=rows)
+        total = np.bincount(words.row, weights=np.where(p > 0.25, p, 0.0), minlength=rows)
         return np.stack((np.log(most / (1 - most)) / 4, np.log1p(total)), axis=1)
 
     def _calibrate(self, x, y):
