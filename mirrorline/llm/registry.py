@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from . import decontaminate, pieces, quality_rules, secrets, simhash, toxicity
 
+def pipeline(spark, sf_dir):
+    """The whole of corpus_pipeline over ``documents``."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, pieces, saved, table, text_bytes, word_spans
@@ -93,15 +93,18 @@ def fingerprint_rows(data, ends, shingle=SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed 64-bit integer."""
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(doc_id, text_hash, fp): one row per document, the fingerprint as a signed
+    64-bit integer, and a hash that tells apart rows that share an id."""
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
+                      F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for piece in pieces(batches, "text"):
-            data, ends = text_bytes(piece.column(1))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprint_rows(data, ends, shingle).view(np.int64))], ["doc_id", "fp"])
+            data, ends = text_bytes(piece.column(2))
+            fp = pa.array(fingerprint_rows(data, ends, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), fp], ["doc_id", "text_hash", "fp"])
 
-    return own.mapInArrow(run, "doc_id bigint, fp bigint")
+    return own.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _deals(max_distance: int) -> list[str]:
@@ -207,18 +210,37 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             .mapInArrow(_compare(max_distance), "a bigint, b bigint").distinct())
 
 
+def _grouped(docs, text, doc_id, shingle, max_distance):
+    """Saved (doc_id, text_hash, fp) rows, and saved (fp, first) rows, where
+    first is the group's row of smallest id: (no_id, doc_id, text_hash)."""
+    own = saved(fingerprints(docs, text, doc_id, shingle))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    per_fp = saved(own.groupBy("fp").agg(F.min(row).alias("first")))
+    label = components(links(per_fp.select("fp"), max_distance))
+    labelled = saved(per_fp.join(label.withColumnRenamed("node", "fp"), "fp", "left")
+                     .select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    smallest = saved(labelled.groupBy("label").agg(F.min("first").alias("first")))
+    return own, saved(labelled.select("fp", "label").join(smallest, "label").select("fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): one row per document; component_id is the
     smallest doc_id reachable over links, itself included."""
-    own = saved(fingerprints(docs, text, doc_id, shingle))
-    per_fp = saved(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    label = components(links(per_fp.select("fp"), max_distance))
-    labelled = saved(per_fp.join(label.withColumnRenamed("node", "fp"), "fp", "left")
-                     .select("fp", "least_id", F.coalesce("label", "fp").alias("label")))
-    smallest = saved(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")))
-    of_fp = saved(labelled.join(smallest, "label").select("fp", "component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    own, of_fp = _grouped(docs, text, doc_id, shingle, max_distance)
+    return own.join(of_fp, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest
+    id (of rows that share it, the one of smallest text hash, once)."""
+    _, of_fp = _grouped(docs, text, doc_id, shingle, max_distance)
+    kept = saved(of_fp.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct())
+    rows = docs.withColumn("_own_hash", F.xxhash64(F.col(text).cast("string"))).withColumn("_own_id", F.col(doc_id).cast("bigint"))
+    rows = rows.join(kept, (F.col("_own_hash") == F.col("_hash")) & F.col("_own_id").eqNullSafe(F.col("_id")), "left_semi")
+    once = Window.partitionBy("_own_id", "_own_hash").orderBy("_own_id")
+    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
