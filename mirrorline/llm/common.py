@@ -3,6 +3,10 @@ checkpoints, and byte-level views of Arrow text columns."""
 
 from __future__ import annotations
 
+import os
+import uuid
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,17 @@ ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if
+    it is not installed (a path that an executor lacks does no harm)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +50,44 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read
+    back: for wide rows, which a checkpoint would keep uncompressed."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches, keys: list[str], rows: int):
+    """Tables of about ``rows`` rows out of batches sorted by ``keys``, each
+    holding whole groups of equal keys only."""
+    held, n = [], 0
+
+    def last_cut(t: pa.Table) -> int:
+        differ = np.zeros(t.num_rows, dtype=bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            differ |= c != c[-1]
+        at = np.flatnonzero(differ)
+        return int(at[-1]) + 1 if len(at) else 0
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            cut = last_cut(t)
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+            n = t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def pieces(batches, column: str, max_bytes: int = PIECE_BYTES):
     """Record batches cut into row ranges of at most ``max_bytes`` of text
     each; one longer text is a piece of its own."""

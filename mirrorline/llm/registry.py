@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, pieces, quality_rules, secrets, simhash, substrings, toxicity
 
 def pipeline(spark, sf_dir):
     """The whole of corpus_pipeline over ``documents``."""
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
