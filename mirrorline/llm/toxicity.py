@@ -12,8 +12,8 @@ The fit uses a bounded sample of labelled rows (``sample.ROWS_PER_CLASS``,
 ``sample.MAX_BYTES``); scoring reads every whole text, in Arrow batches.
 
 Defined cases: null and empty texts have no words and score as the fitted model
-does for no evidence; without labelled rows of both classes every score is the
-share of label 1 (0 without labels); copies and repeated rows score alike; an
+does for no evidence; without labelled rows of both classes, or without a word
+that lifts, every score is the share of label 1 (0 without labels); copies and repeated rows score alike; an
 empty table gives an empty result. Other columns pass through; input columns
 named ``score`` and ``toxic_spans`` are replaced.
 """
@@ -123,6 +123,9 @@ class Model:
         data, ends = text_bytes(pa.array(texts, pa.large_string()))
         words = Words(data, ends, SpanHash())
         target = _toxic_words(words, y).astype(float)
+        self.fitted = bool(target.any())
+        if not self.fitted:
+            return
         self._fit_chain(words, target)
         self._calibrate(self._evidence(words, len(y)), y)
 
