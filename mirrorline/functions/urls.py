@@ -6,9 +6,9 @@ Python runs per row. A parsed URL is a struct column
 ``struct<scheme, host, port, path, query>`` whose parts are already in their
 serialised (lower-case host, percent-encoded, dot-segment-free) form, so
 ``serialize`` of it is the canonical string and the dedup key (fragments are
-never kept). Higher-order functions (``transform``/``aggregate``) are only
-evaluated behind a cheap ``rlike`` guard, so the common URL stays inside
-whole-stage code generation.
+never kept). Intermediates are bound with ``let``, a one-element ``transform``,
+which Spark interprets, so URL work runs outside whole-stage code generation;
+percent-encoding and dot segments are skipped behind a cheap ``rlike`` guard.
 """
 
 from __future__ import annotations
@@ -146,7 +146,8 @@ def parse_absolute(u: Column) -> Column:
 
     def build(h):
         scheme, host, port_raw = h["scheme"], h["host"], h["port_raw"]
-        port_num = F.when(port_raw.rlike("^[0-9]{1,5}$"), port_raw.cast("int"))
+        digits = F.regexp_replace(port_raw, "^0+(?=[0-9])", "")  # leading zeros say nothing
+        port_num = F.when(digits.rlike("^[0-9]{1,5}$"), digits.cast("int"))
         default = F.when(scheme == "http", F.lit(DEFAULT_PORTS["http"])).otherwise(F.lit(DEFAULT_PORTS["https"]))
         port = F.when((port_raw == "") | (port_num == default), F.lit(None).cast("string")) \
             .otherwise(port_num.cast("string"))
@@ -154,7 +155,7 @@ def parse_absolute(u: Column) -> Column:
                  & (host.startswith("[") | ~host.rlike(_BAD_HOST_RE))
                  & ((port_raw == "") | (port_num.isNotNull() & (port_num <= 65535))))
         query = F.when(h["query"] == "", F.lit(None).cast("string")).otherwise(
-            _normal_query(F.substring(h["query"], 2, 1 << 30)))
+            _normal_query(F.substr(h["query"], F.lit(2))))
         return F.when(valid, _url_struct(scheme, host, port, _normal_path(h["path"]), query))
 
     return let(let(let(clean_input(u), groups), hostport), build)
@@ -188,7 +189,7 @@ def resolve(base_col: Column, ref: Column) -> Column:
             new_path = (F.when(pp.rlike(r"^[/\\]"), pp)
                         .when(pp == "", base["path"])
                         .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), pp)))
-            new_query = (F.when(qq != "", _normal_query(F.substring(qq, 2, 1 << 30)))
+            new_query = (F.when(qq != "", _normal_query(F.substr(qq, F.lit(2))))
                          .when(pp == "", base["query"])
                          .otherwise(F.lit(None).cast("string")))
             return _url_struct(base["scheme"], base["host"], base["port"], _normal_path(new_path), new_query)
