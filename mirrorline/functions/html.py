@@ -112,9 +112,14 @@ def decode_entities(v: Column, in_text: bool = False) -> Column:
     def one(t):
         name = F.regexp_extract(t, "^&([A-Za-z][A-Za-z0-9]*)", 1)
         ended = F.when(t.endswith(";"), F.element_at(_table(_NAMED), name))
+        if in_text:  # the longest legacy name that it begins with, the rest as it is
+            short = F.regexp_extract(t, f"^&({_LEGACY_RE})", 1)
+            legacy = F.when(short != "", F.concat(F.element_at(_table(_LEGACY), short), F.substr(t, F.length(short) + 2)))
+        else:
+            legacy = F.when(~t.endswith(";"), F.element_at(_table(_LEGACY), name))
         return (F.when(~t.startswith("&"), t)
-                .when(t.rlike("^&#[xX]?[0-9a-fA-F]"), _numeric(t))
-                .otherwise(F.coalesce(ended, F.when(~t.endswith(";"), F.element_at(_table(_LEGACY), name)), t)))
+                .when(t.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), _numeric(t))
+                .otherwise(F.coalesce(ended, legacy, t)))
 
     def run(s):
         return F.array_join(F.transform(F.regexp_extract_all(s, lit_re(REFERENCE_IN_TEXT_RE if in_text else REFERENCE_RE), 1), one), "")

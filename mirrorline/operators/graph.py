@@ -23,37 +23,26 @@ def asset_dedupe(assets: DataFrame) -> DataFrame:
     return assets.dropDuplicates(["site", "url"])
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """URLs reachable from the seeds, with ``depth`` = fewest hops.
 
-    Semi-naive iteration: each round joins only the newest frontier with the
-    edges, anti-joins everything seen so far, and writes the round to the
-    reliable checkpoint folder (``spark.checkpoint.dir``), so lineage stays
-    one round deep and a lost executor recomputes at most one round. One
-    action per round; the loop ends when a round adds nothing (cycles end
-    because every URL enters once). ``max_rounds`` is only a safety stop
-    (None = until the closure is complete).
+    Semi-naive iteration: the edges are computed once and kept as a reliable
+    checkpoint; each round joins the newest frontier with them, anti-joins
+    everything seen so far and is checkpointed too (``spark.checkpoint.dir``),
+    so lineage stays one round deep and a lost executor loses nothing. Per round
+    one job computes and keeps the frontier and one looks whether it is empty.
+    It ends when a round adds nothing (cycles end because every URL enters once).
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select("src_url", "dst_url").where(F.col("src_url").isNotNull() & F.col("dst_url").isNotNull())
-    start = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    rounds = [start]
-    seen = start.select("url")
-    current = start
-    depth = 0
-    while max_rounds is None or depth < max_rounds:
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = (edges.select("src_url", "dst_url").where(F.col("src_url").isNotNull() & F.col("dst_url").isNotNull())
+         .distinct().checkpoint())
+    current = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    out, seen, depth = current, current.select("url"), 0
+    while not current.isEmpty():
         depth += 1
-        step = (current.join(e, current["url"] == e["src_url"]).select(F.col("dst_url").alias("url"))
-                .distinct().join(seen, "url", "left_anti")
-                .withColumn("depth", F.lit(depth)))
-        step = step.checkpoint()
-        if step.isEmpty():
-            break
-        rounds.append(step)
-        seen = seen.unionByName(step.select("url"))
-        current = step
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
+        current = (current.join(e, current["url"] == e["src_url"]).select(F.col("dst_url").alias("url"))
+                   .distinct().join(seen, "url", "left_anti")
+                   .withColumn("depth", F.lit(depth))).checkpoint()
+        out = out.unionByName(current)
+        seen = seen.unionByName(current.select("url"))
     return out

@@ -127,32 +127,42 @@ def build_mirror(captures: DataFrame) -> DataFrame:
     """mirror(site, offline_path, url, rtype, content, size, hash, out_size,
     out_hash, last_modified, seq): pages and CSS rewritten, everything else
     stored as captured. ``size``/``hash`` describe the captured body (what the
-    manifest records), ``out_*`` the stored content."""
+    manifest records), ``out_*`` the stored content.
+
+    Bodies may be BINARY: pages and CSS are then read as UTF-8 with U+FFFD for
+    malformed bytes, other resources are stored byte for byte, and ``content``
+    is binary."""
+    binary = dict(captures.dtypes)["body"] == "binary"
+    raw = F.col("body")
+    text = F.make_valid_utf8(raw.cast("string")) if binary else raw
     df = (captures.withColumn("_u", U.parse_absolute(F.col("url")))
           .where(F.col("_u").isNotNull())
           .withColumn("rtype", U.classify_resource(F.col("content_type"), F.col("_u.path"))))
-    content = (F.when(F.col("rtype") == "page", rewrite_html(F.col("body"), F.col("_u")))
-               .when(F.col("rtype") == "css", rewrite_css(F.col("body"), F.col("_u")))
-               .otherwise(F.col("body")))
+    kind = "binary" if binary else "string"
+    content = (F.when(F.col("rtype") == "page", rewrite_html(text, F.col("_u")).cast(kind))
+               .when(F.col("rtype") == "css", rewrite_css(text, F.col("_u")).cast(kind))
+               .otherwise(raw))
     out = df.select(
         U.site_of(F.col("_u.host")).alias("site"),
         U.offline_path(F.col("_u.path"), F.col("_u.query")).alias("offline_path"),
         U.serialize(F.col("_u")).alias("url"), "rtype", content.alias("content"),
-        TX.byte_size(F.col("body")).alias("size"), TX.content_hash(F.col("body")).alias("hash"),
+        TX.byte_size(raw).alias("size"), TX.content_hash(raw).alias("hash"),
         "last_modified", "seq")
     return (out.withColumn("out_size", TX.byte_size(F.col("content")))
             .withColumn("out_hash", TX.content_hash(F.col("content"))))
 
 
 def rewrite_rendered(rendered: DataFrame) -> DataFrame:
-    """Rendered pages: scripts removed first, then rewritten against the
-    final URL (the URL the browser ended on)."""
+    """Rendered pages as mirror rows: scripts removed first, then rewritten
+    against the final URL (the URL the browser ended on). Their size and hash
+    are those of the rewritten page; there is no Last-Modified."""
     df = (rendered.withColumn("_u", U.parse_absolute(F.col("final_url")))
           .where(F.col("_u").isNotNull()))
     content = rewrite_html(H.strip_scripts(F.col("html")), F.col("_u"))
-    return df.select(U.site_of(F.col("_u.host")).alias("site"),
-                     U.offline_path(F.col("_u.path"), F.col("_u.query")).alias("offline_path"),
-                     U.serialize(F.col("_u")).alias("url"), F.lit("page").alias("rtype"),
-                     content.alias("content")) \
-        .withColumn("size", TX.byte_size(F.col("content"))) \
-        .withColumn("hash", TX.content_hash(F.col("content")))
+    seq = F.col("seq") if "seq" in rendered.columns else F.lit(0).cast("bigint")
+    out = df.select(U.site_of(F.col("_u.host")).alias("site"),
+                    U.offline_path(F.col("_u.path"), F.col("_u.query")).alias("offline_path"),
+                    U.serialize(F.col("_u")).alias("url"), F.lit("page").alias("rtype"),
+                    content.alias("content"), F.lit(None).cast("string").alias("last_modified"), seq.alias("seq"))
+    return (out.withColumn("size", TX.byte_size(F.col("content"))).withColumn("hash", TX.content_hash(F.col("content")))
+            .withColumn("out_size", F.col("size")).withColumn("out_hash", F.col("hash")))

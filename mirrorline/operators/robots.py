@@ -31,12 +31,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
              .withColumn("text", trim_ws(F.col("raw")))
              .where((F.col("text") != "") & ~F.col("text").startswith("#")))
     agent = F.when(F.col("text").startswith(AGENT_FIELD),
-                   trim_ws(F.substring(F.col("text"), len(AGENT_FIELD) + 1, 1 << 30)) == "*")
+                   trim_ws(F.substr(F.col("text"), F.lit(len(AGENT_FIELD) + 1))) == "*")
     w = Window.partitionBy("site").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("agent", agent).withColumn(
         "universal", F.coalesce(F.last("agent", ignorenulls=True).over(w), F.lit(False)))
-    dis = trim_ws(F.substring(F.col("text"), len(DISALLOW_FIELD) + 1, 1 << 30))
-    alw = trim_ws(F.substring(F.col("text"), len(ALLOW_FIELD) + 1, 1 << 30))
+    dis = trim_ws(F.substr(F.col("text"), F.lit(len(DISALLOW_FIELD) + 1)))
+    alw = trim_ws(F.substr(F.col("text"), F.lit(len(ALLOW_FIELD) + 1)))
     rule = (F.when(F.col("text").startswith(DISALLOW_FIELD), nstruct(allow=F.lit(False), prefix=dis))
             .when(F.col("text").startswith(ALLOW_FIELD), nstruct(allow=F.lit(True), prefix=alw)))
     return (marked.where(F.col("agent").isNull() & F.col("universal"))

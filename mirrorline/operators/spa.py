@@ -19,15 +19,23 @@ def count_of(text: Column, needle: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+RAW_TEXT_RE = r"(?is)<(?:script|style)(?:[\s/][^>]*)?>(.*?)(?:</(?:script|style)\s*>|$)"
+
+
 def body_text_bytes(html: Column) -> Column:
-    """Trimmed byte length of the body's text (script text included)."""
+    """Trimmed byte length of the body's text. The text of script and style
+    elements counts whole, whatever signs it holds, and is not decoded."""
     def run(h):
         body = F.when(h.rlike(f"(?i)<body[{WS}/>]"),
                       F.regexp_extract(h, rf"(?is)<body(?:[{WS}/][^>]*)?>(.*)$", 1)) \
             .otherwise(F.regexp_replace(h, rf"(?is)<head(?:[{WS}/][^>]*)?>.*?</head[{WS}]*>", ""))
-        no_comments = F.regexp_replace(body, r"(?s)<!--.*?(?:-->|$)", "")
-        text = H.decode_entities(H.visible_text(no_comments))
-        return F.octet_length(trim_ws(text))
+        return let(F.regexp_replace(body, r"(?s)<!--.*?(?:-->|$)", ""), text)
+
+    def text(b):
+        outside = F.transform(F.split(b, RAW_TEXT_RE), lambda p: H.decode_entities(H.visible_text(p), in_text=True))
+        raw = F.regexp_extract_all(b, F.lit(RAW_TEXT_RE), 1)
+        whole = F.array_join(F.zip_with(outside, raw, lambda p, r: F.concat(F.coalesce(p, F.lit("")), F.coalesce(r, F.lit("")))), "")
+        return F.octet_length(trim_ws(whole))
     return let(html, run)
 
 

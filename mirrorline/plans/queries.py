@@ -39,7 +39,7 @@ def q_extract_srcset(spark, sf):
 
 def q_rewrite_pages(spark, sf):
     from ..operators.rewrite import build_mirror
-    m = build_mirror(successful(captures_from_pages(_pages(spark, sf))))
+    m = build_mirror(successful(captures_from_pages(D.enriched_html(_pages(spark, sf)))))
     return m.where("rtype = 'page'").select("url", "offline_path", "content", "size", "hash",
                                             "out_size", "out_hash")
 
@@ -48,9 +48,12 @@ def q_strip_offline_breakers(spark, sf):
     from pyspark.sql import functions as F
     from ..functions import html as H
     p = D.enriched_html(_pages(spark, sf))
-    out = p.select("page_id", "html", H.strip_offline_breakers(F.col("html")).alias("out"))
-    return out.select("page_id", F.col("out").alias("html"),
-                      (F.length("html") - F.length("out")).cast("bigint").alias("removed_chars"))
+    out = p.select("page_id", "html", H.without_breakers(F.col("html")).alias("out"))
+
+    def count(rule):
+        return F.size(F.filter("out.removed", lambda r: r == rule)).cast("bigint").alias(rule)
+    return out.select("page_id", F.col("out.html").alias("html"),
+                      (F.length("html") - F.length("out.html")).cast("bigint").alias("removed_chars"), *map(count, H.BREAKER_RULES))
 
 
 def q_strip_scripts(spark, sf):
@@ -141,9 +144,14 @@ def _links(spark, sf):
 
 
 def _old_visited(spark, sf):
-    """Visited set of an earlier run: link targets of every fourth page."""
-    caps = captures_from_pages(_pages(spark, sf).where(F.pmod(F.col("page_id"), F.lit(4)) == 0))
-    return X.extract_links(caps).select("site", F.col("dst_url").alias("url"))
+    """Visited set of an earlier run: link targets of every fourth page, and a
+    URL of every page's site that no page links to any more."""
+    pages = _pages(spark, sf)
+    caps = captures_from_pages(pages.where(F.pmod(F.col("page_id"), F.lit(4)) == 0))
+    gone = pages.select(U.parse_absolute(F.col("url")).alias("u"), "page_id").select(
+        U.site_of(F.col("u.host")).alias("site"),
+        F.concat(F.lit("https://"), F.col("u.host"), F.lit("/gone/"), F.col("page_id").cast("string")).alias("url"))
+    return X.extract_links(caps).select("site", F.col("dst_url").alias("url")).unionByName(gone)
 
 
 def q_frontier(spark, sf):
@@ -177,15 +185,22 @@ def q_error_stats(spark, sf):
 
 
 def q_site_stats(spark, sf):
-    """Totals of a run over mixed captures: saved resources by type and
-    bytes, failed responses (non-200) as errors."""
-    caps = D.mixed_captures(_pages(spark, sf))
-    mirror = url_dim(successful(caps)).join(
-        successful(caps).select(U.normalize_url(F.col("url")).alias("url"), TX.byte_size(F.col("body")).alias("size")),
-        "url")
+    """Totals of a run over mixed captures: saved resources by type and bytes
+    (a URL counts once), failed responses (non-200) as errors."""
+    caps = D.repeated_captures(D.mixed_captures(_pages(spark, sf)))
+    saved = url_dim(successful(caps), size=TX.byte_size(F.col("body")))
     errors = caps.where(F.col("status") != 200).select(
         U.site_of(U.parse_absolute(F.col("url"))["host"]).alias("site"))
-    return site_stats(mirror.select("site", "rtype", "size"), errors=errors)
+    return site_stats(saved.select("site", "rtype", "size"), errors=errors)
+
+
+def q_run_stats(spark, sf):
+    """Totals of a run whose errors come from the attempt log."""
+    caps = D.mixed_captures(_pages(spark, sf))
+    saved = url_dim(successful(caps), size=TX.byte_size(F.col("body")))
+    failed = FL.fetch_outcomes(D.attempts_from_events(read_table(spark, sf, "events"))).where(F.col("outcome").isin("failed", "exhausted"))
+    return site_stats(saved.select("site", "rtype", "size"),
+                      errors=failed.select(U.site_of(U.parse_absolute(F.col("url"))["host"]).alias("site")))
 
 
 def q_format_bytes(spark, sf):
@@ -196,17 +211,17 @@ def q_format_bytes(spark, sf):
 
 
 def q_spa_features(spark, sf):
-    f = S.spa_features(D.enriched_html(_pages(spark, sf)))
+    f = S.spa_features(D.spa_html(_pages(spark, sf)))
     return f.select("page_id", "has_marker", "module_scripts", "scripts", "has_root_id", "body_text_bytes",
                     S.spa_verdict().alias("spa"))
 
 
 def q_spa_shell(spark, sf):
-    return D.enriched_html(_pages(spark, sf)).select("page_id", S.spa_shell(F.col("html")).alias("shell"))
+    return D.spa_html(_pages(spark, sf)).select("page_id", S.spa_shell(F.col("html")).alias("shell"))
 
 
 def q_render_plan(spark, sf):
-    return S.render_plan(_seeds(spark, sf), D.mixed_captures(_pages(spark, sf)))
+    return S.render_plan(_seeds(spark, sf), D.mixed_captures(D.spa_html(_pages(spark, sf))))
 
 
 def q_manifest_record(spark, sf):
@@ -219,15 +234,21 @@ def q_content_hash(spark, sf):
                        TX.byte_size(F.col("text")).alias("size"))
 
 
+def _written_mirror(spark, sf):
+    """The mirror, written to the shared folder and scanned again."""
+    from ..sources import mirror as MS
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(spark, "mirror")
+    MS.write_mirror(_mirror_plain(spark, sf), path)
+    return MS.scan_mirror(spark, path)
+
+
 def _disk_files(spark, sf):
-    """Files of an earlier mirror: every page body, changed for page_id % 7 == 0
-    and missing for page_id % 11 == 0."""
-    p = _pages(spark, sf).where(F.pmod(F.col("page_id"), F.lit(11)) != 0)
-    u = U.parse_absolute(F.col("url"))
-    content = F.when(F.pmod(F.col("page_id"), F.lit(7)) == 0, F.concat(F.col("html"), F.lit("x"))).otherwise(
-        F.col("html"))
-    return p.select(U.site_of(u["host"]).alias("site"), U.offline_path(u["path"], u["query"]).alias("path"),
-                    content.alias("content"))
+    """The written mirror as a later run finds it: files changed for seq % 7 = 0
+    and gone for seq % 11 = 0."""
+    seq = F.col("seq")
+    return (_written_mirror(spark, sf).where(F.pmod(seq, F.lit(11)) != 0)
+            .withColumn("content", F.when(F.pmod(seq, F.lit(7)) == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))))
 
 
 def _entries(spark, sf):
@@ -236,11 +257,49 @@ def _entries(spark, sf):
 
 def _mirror_plain(spark, sf):
     from ..operators.rewrite import build_mirror
-    return build_mirror(_caps(spark, sf))
+    return build_mirror(D.repeated_captures(_caps(spark, sf)))
 
 
 def q_freshness(spark, sf):
-    return M.freshness(_entries(spark, sf), _disk_files(spark, sf)).select("site", "url", "path", "hash", "fresh")
+    return M.freshness(_entries(spark, sf), _disk_files(spark, sf)).select("site", "url", "path", "out_hash", "fresh")
+
+
+def q_mirror_roundtrip(spark, sf):
+    """A mirror just written is fresh, but for URLs that lost their path to a twin."""
+    return M.freshness(_entries(spark, sf), _written_mirror(spark, sf)).select("site", "url", "path", "fresh")
+
+
+def _stored_manifest(spark, sf, fmt):
+    """Entries of the plain captures written as a manifest, then upserted with
+    those of the repeated ones."""
+    from ..operators.rewrite import build_mirror
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(spark, "manifest")
+    M.write_manifest(M.manifest_record(build_mirror(_caps(spark, sf))), path, fmt)
+    return path
+
+
+def q_write_manifest(spark, sf):
+    """JSON lines, written and read back."""
+    return M.read_manifest(spark, _stored_manifest(spark, sf, "json"), "json")
+
+
+def q_read_manifest(spark, sf):
+    """A stored manifest brought up to date by a later run."""
+    old = M.read_manifest(spark, _stored_manifest(spark, sf, "parquet"))
+    return M.manifest_upsert(old, _entries(spark, sf))
+
+
+def q_manifest_lookup(spark, sf):
+    urls = _links(spark, sf).select("site", F.col("dst_url").alias("url")).distinct()
+    return M.manifest_lookup(urls, _entries(spark, sf))
+
+
+def q_manifest_init(spark, sf):
+    """Runs of all sites at one time, over those of an earlier time for some."""
+    seeds = _seeds(spark, sf)
+    old = M.manifest_init(seeds.where(F.pmod(F.length("site"), F.lit(2)) == 0), F.lit(1_700_000_000))
+    return M.manifest_touch(old, M.manifest_init(seeds, F.lit(1_800_000_000)))
 
 
 def _plan(spark, sf):
@@ -266,7 +325,7 @@ def q_skipped_stats(spark, sf):
 
 def q_seeds(spark, sf):
     from ..sources.captures import validate_seeds
-    return validate_seeds(_pages(spark, sf).select(F.col("url").alias("seed_url")))
+    return validate_seeds(D.seed_inputs(_pages(spark, sf)))
 
 
 def q_bundle(spark, sf):
@@ -283,6 +342,24 @@ def q_rewrite_css(spark, sf):
     return build_mirror(D.css_captures(_pages(spark, sf))).select("url", "offline_path", "content")
 
 
+def _rendered_pages(spark, sf):
+    from ..operators.rewrite import rewrite_rendered
+    return rewrite_rendered(D.rendered_from_pages(D.enriched_html(_pages(spark, sf))))
+
+
+def q_rewrite_rendered(spark, sf):
+    """Rendered pages as stored: scripts gone, links rewritten."""
+    return M.manifest_record(_rendered_pages(spark, sf)).select("site", "url", "path", "size", "hash", "out_hash")
+
+
+def q_rendered_frontier(spark, sf):
+    """What a rendered run fetches next: requested assets without noise, and
+    navigation links that are routes, each without what is in the manifest."""
+    from ..operators.rendered import rendered_frontier
+    rendered = D.rendered_from_pages(D.enriched_html(_pages(spark, sf)))
+    return rendered_frontier(rendered, M.manifest_record(_rendered_pages(spark, sf)))
+
+
 def q_extract_nav_links(spark, sf):
     return X.extract_nav_links(D.rendered_from_pages(_pages(spark, sf)))
 

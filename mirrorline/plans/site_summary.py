@@ -27,10 +27,10 @@ def site_summary(captures: DataFrame) -> DataFrame:
         F.count_if(F.col("rtype") == "page").alias("pages"),
         F.count("*").alias("resources"),
         F.sum("size").cast("bigint").alias("bytes"))
-    links = extract_links(ok).select("site", "dst_url")
-    per_link = links.groupBy("site").agg(F.count("*").alias("links"))
-    targets = links.distinct().groupBy("site").agg(F.count("*").alias("distinct_targets"))
-    out = (res.join(per_link, "site", "left").join(targets, "site", "left")
+    # One pass over the links: per target, then per site.
+    per_target = extract_links(ok).groupBy("site", "dst_url").agg(F.count("*").alias("n"))
+    totals = per_target.groupBy("site").agg(F.sum("n").alias("links"), F.count("*").alias("distinct_targets"))
+    out = (res.join(totals, "site", "left")
            .select("site", "pages", "resources", "bytes",
                    F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
                    F.coalesce("distinct_targets", F.lit(0)).cast("bigint").alias("distinct_targets")))

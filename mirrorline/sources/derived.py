@@ -109,7 +109,8 @@ def attempts_from_events(events: DataFrame) -> DataFrame:
     status = F.lit(None).cast("int")
     for et, st in reversed(STATUS_BY_EVENT):
         status = F.when(F.col("event_type") == et, F.lit(st).cast("int")).otherwise(status)
-    url = F.concat(F.lit("https://shop.example.com/u/"), F.col("user_id").cast("string"))
+    url = F.concat(F.lit("https://shop"), F.pmod(F.col("user_id"), F.lit(5)).cast("string"), F.lit(".example.com/u/"),
+                   F.col("user_id").cast("string"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return events.select(url.alias("url"), (F.row_number().over(w) - 1).cast("int").alias("attempt"),
                          status.alias("status"))
@@ -126,3 +127,40 @@ def graph_edges(pages: DataFrame) -> DataFrame:
     src = p.select(F.col("page_id").alias("src_id"), F.col("url").alias("src_url"))
     dst = p.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
     return e.join(src, "src_id").join(dst, "dst_id").select("src_url", "dst_url")
+
+
+def repeated_captures(captures: DataFrame) -> DataFrame:
+    """Captures with URLs fetched again (another body, a later seq, for every
+    13th) and twins of every 17th whose host gains or loses "www.", which map
+    to the same file."""
+    again = (captures.where(F.pmod(F.col("seq"), F.lit(13)) == 0)
+             .withColumn("body", F.concat(F.col("body"), F.lit("<p>again</p>")))
+             .withColumn("seq", F.col("seq") + 1_000_000_000))
+    bare = F.regexp_replace(F.col("url"), "^(https?://)www[.]", "$1")
+    twins = (captures.where(F.pmod(F.col("seq"), F.lit(17)) == 0)
+             .withColumn("url", F.when(bare != F.col("url"), bare).otherwise(F.regexp_replace(F.col("url"), "^(https?://)", "$1www.")))
+             .withColumn("seq", F.col("seq") + 2_000_000_000))
+    return captures.unionByName(again).unionByName(twins)
+
+
+def seed_inputs(pages: DataFrame) -> DataFrame:
+    """Seeds as users type them: good ones and each kind of bad one."""
+    url, r = F.col("url"), F.pmod(F.col("page_id"), F.lit(9))
+    rest = F.regexp_replace(url, "^https?://", "")
+    return pages.select(F.when(r == 0, F.concat(F.lit("ftp://"), rest)).when(r == 1, rest).when(r == 2, F.lit("http:///x"))
+                        .when(r == 3, F.concat(F.lit("  HTTPS://"), rest)).when(r == 4, F.concat(F.lit("https://a b/"), rest))
+                        .when(r == 5, F.concat(F.lit("mailto:"), rest)).otherwise(url).alias("seed_url"))
+
+
+def spa_html(pages: DataFrame) -> DataFrame:
+    """Pages of every site type: as they are, with a framework's marker, shells
+    with a mount point and text around the thresholds, many scripts."""
+    r, n = F.pmod(F.col("page_id"), F.lit(6)), F.col("page_id")
+    head = "<!doctype html><html><head><title>t</title></head><body>"
+    html = (F.when(r == 1, F.concat(F.col("html"), F.lit("<div data-reactroot></div>")))
+            .when(r == 2, F.concat(F.lit(head + '<div id="app"></div><script type="module" src="/a.js"></script><p>'), F.repeat(F.lit("x"), F.pmod(n * 7, F.lit(700)).cast("int")), F.lit("</p>")))
+            .when(r == 3, F.concat(F.lit(head + "<script>for(i=0;i<n;i++){}</script><script src=/b.js></script><script type='module'></script>"), F.repeat(F.lit("y "), F.pmod(n * 5, F.lit(120)).cast("int"))))
+            .when(r == 4, F.concat(F.lit(head + "<main id=q-app></main><p>&eacute;&#8364;&ampx;"), F.repeat(F.lit("z"), F.pmod(n, F.lit(50)).cast("int"))))
+            .when(r == 5, F.concat(F.lit(head + '<div id="root"></div><noscript>'), F.col("page_id").cast("string"), F.lit("</noscript>")))
+            .otherwise(F.col("html")))
+    return pages.select("page_id", "url", html.alias("html"))

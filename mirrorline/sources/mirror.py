@@ -1,45 +1,69 @@
-"""Mirror storage: write/scan the mirror table and bundle totals."""
+"""Mirror storage: write/scan the mirror table and bundle totals.
+
+A mirror holds one file per (site, path). URLs that map to the same path (www
+and bare host, http and https) compete: the capture of highest seq is kept.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the manifest file name kept out of bundles.
-MANIFEST_FILE = ".sitegrab.json"
+#: Name of a manifest file kept beside the stored files; never part of a bundle.
+MANIFEST_FILE = "mirror-manifest.json"
+
+_FILE = ["url", "rtype", "content", "size", "hash", "out_hash", "seq"]
+
+
+def stored_files(mirror: DataFrame) -> DataFrame:
+    """One row per (site, path): the winner of those that map to it."""
+    best = mirror.groupBy("site", F.col("offline_path").alias("path")).agg(
+        F.max_by(F.struct(*_FILE), F.struct("seq", "url")).alias("f"))
+    return best.select("site", "path", *[F.col(f"f.{c}").alias(c) for c in _FILE])
 
 
 def write_mirror(mirror: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One row per stored file, partitioned by site (map-only before the write)."""
-    (mirror.select("site", "offline_path", "url", "rtype", "content", "size", "hash")
-     .write.mode(mode).partitionBy("site").parquet(path))
+    """The stored files as Parquet, range-partitioned by (site, path): a site's
+    files lie together, a large site spans many files, a small one shares one."""
+    files = stored_files(mirror)
+    (files.repartitionByRange("site", "path").sortWithinPartitions("site", "path")
+     .write.mode(mode).parquet(path))
 
 
 def scan_mirror(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a written mirror: site, path, content and what was recorded."""
     return spark.read.parquet(path)
 
 
 def scan_mirror_files(spark: SparkSession, root: str) -> DataFrame:
     """A mirror written as a directory tree: site = first folder, path = rest."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/") + "/", "")
-    return df.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("site"),
-                     F.regexp_replace(rel, "^[^/]+/", "").alias("path"), F.col("content"),
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    rel = F.expr("substr(path, instr(path, :folder) + length(:folder))".replace(":folder", "'" + folder.replace("\\", "\\\\").replace("'", "\\'") + "'"))
+    return df.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("site"),
+                     F.substr(rel, F.instr(rel, "/") + 1).alias("path"), F.col("content"),
                      F.col("length").alias("size"))
 
 
-def bundle_totals(mirror: DataFrame) -> DataFrame:
+def _in_bundle(manifest_file: str):
+    return F.regexp_extract(F.col("path"), r"([^/]*)$", 1) != manifest_file
+
+
+def bundle_totals(mirror: DataFrame, manifest_file: str = MANIFEST_FILE) -> DataFrame:
     """Per site: files and bytes a bundle holds (manifest file excluded at any
-    depth). Partial + final hash aggregate."""
-    last = F.regexp_extract(F.col("offline_path"), r"([^/]*)$", 1)
-    size = F.octet_length(F.col("content")).cast("bigint")
-    return (mirror.where(last != MANIFEST_FILE)
-            .groupBy("site").agg(F.count("*").alias("files"), F.sum(size).cast("bigint").alias("bytes")))
-
-
-def write_bundle(mirror: DataFrame, path: str, codec: str = "zstd") -> None:
-    """Compressed per-site bundle of the stored files (Parquet, one folder per
-    site). The archive container format itself is not produced."""
-    last = F.regexp_extract(F.col("offline_path"), r"([^/]*)$", 1)
-    (mirror.where(last != MANIFEST_FILE).select("site", "offline_path", "content")
-     .write.mode("overwrite").option("compression", codec).partitionBy("site").parquet(path))
+    depth). The winner per path is chosen on sizes, without the content."""
+    sized = mirror.select("site", F.col("offline_path").alias("path"), "url", "seq",
+                          F.octet_length(F.col("content")).cast("bigint").alias("bytes"))
+    files = sized.groupBy("site", "path").agg(F.max_by("bytes", F.struct("seq", "url")).alias("bytes"))
+    return (files.where(_in_bundle(manifest_file))
+            .groupBy("site").agg(F.count("*").alias("files"), F.sum("bytes").cast("bigint").alias("bytes")))
+
+
+def write_bundle(mirror: DataFrame, path: str, codec: str = "zstd", manifest_file: str = MANIFEST_FILE) -> None:
+    """Compressed bundle of the stored files (Parquet, ordered by site and
+    path). The archive container format itself is not produced."""
+    files = stored_files(mirror).where(_in_bundle(manifest_file)).select("site", "path", "content")
+    (files.repartitionByRange("site", "path").sortWithinPartitions("site", "path")
+     .write.mode("overwrite").option("compression", codec).parquet(path))

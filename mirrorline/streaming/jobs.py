@@ -2,8 +2,8 @@
 
 A stream of capture files (one file per fetch round) drives:
 * ``stream_visited``  - every (site, url) admitted once: ``dropDuplicates``
-  without a watermark (state grows like the visited set; use the RocksDB
-  state store provider at scale).
+  without a watermark (state grows like the visited set, so the session keeps
+  it in RocksDB).
 * ``stream_stats``    - running per-site totals (``complete`` mode).
 * ``stream_manifest`` - manifest upserts in ``foreachBatch``, idempotent per
   batch id (the batch's entries overwrite their own partition; the manifest
@@ -36,16 +36,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def capture_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(CAPTURES_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(path))
+def capture_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Capture files as a stream; ``files_per_batch`` limits a micro-batch."""
+    reader = spark.readStream.schema(CAPTURES_SCHEMA).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def write_capture_rounds(captures: DataFrame, path: str, rounds: int = 3) -> None:
-    """Split captures into ``rounds`` files (by seq) to replay as a stream."""
-    (captures.withColumn("_round", F.pmod(F.col("seq"), F.lit(rounds)))
-     .repartition(rounds, "_round").drop("_round")
-     .write.mode("overwrite").parquet(path))
+    """Split captures into ``rounds`` folders (by seq) to replay as a stream.
+    Every task writes its own files; no body is moved."""
+    for k in range(rounds):
+        (captures.where(F.pmod(F.col("seq"), F.lit(rounds)) == k)
+         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/round-{k}"))
 
 
 def _run(query_writer, checkpoint: str):
@@ -98,9 +102,10 @@ def stream_manifest(spark: SparkSession, source: str, sink: str) -> DataFrame:
 
 
 def stream_frontier(spark: SparkSession, source: str, visited: DataFrame, sink: str) -> DataFrame:
+    known = scratch_dir(spark, "known")  # computed once, not again in every micro-batch
+    visited.select("site", "url").distinct().write.parquet(known)
     links = extract_links(successful(capture_stream(spark, source)))
     found = links.select("site", F.col("dst_url").alias("url"))
-    new = found.join(visited.select("site", "url").distinct(), ["site", "url"], "left_anti") \
-        .dropDuplicates(["site", "url"])
+    new = found.join(spark.read.parquet(known), ["site", "url"], "left_anti").dropDuplicates(["site", "url"])
     _run(new.writeStream.format("parquet").option("path", sink).outputMode("append"), sink + "_ckpt")
     return spark.read.parquet(sink)

@@ -1,17 +1,60 @@
 """DuckDB formulations of every registered query (the correctness oracle).
 
-Written independently of the Spark code, in DuckDB's SQL dialect (RE2
-regular expressions, ``lambda x:`` list functions). Long per-row rules are
-written as a chain of CTE stages so that each intermediate is a column, never
-a repeated sub-expression. Only the fixed values (patterns, word lists) are
-shared with the engine, because results must agree on them.
+Written apart from the Spark code, in DuckDB's SQL dialect (RE2 regular
+expressions, ``lambda x:`` list functions), and without importing it: every
+pattern, list and derived input is stated here again, so that a slip in the
+engine's own shows up as a difference. Long per-row rules are a chain of CTE
+stages, so that each intermediate is a column, never a repeated sub-expression.
 """
 
 from __future__ import annotations
 
-from mirrorline.functions import html as H
-from mirrorline.functions import urls as U
-from mirrorline.sources import derived as D
+import html.entities
+
+# --------------------------------------------------------------------------
+# Fixed values, stated for RE2.
+WS = r"\t\n\v\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PATH_KEPT = r"!$-;=@-_a-z|~"
+QUERY_KEPT = r"!$-&(-;=?-~"
+SCHEME = r"^([A-Za-z][-+.A-Za-z0-9]*):"
+ABSOLUTE = r"^([A-Za-z][-+.A-Za-z0-9]*):[/\\]*([^#/?\\]*)([^#?]*)(\?[^#]*)?(?:#.*)?$"
+HOST = r"^(\[[^\]]*\]|[^:]*)"
+PORT = r"^(?:\[[^\]]*\]|[^:]*):(.*)$"
+BAD_HOST = r"[\x00-\x20\x7F#%/:<>?@\[\]\\^|]"
+NO_LINKS = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
+QUERY_TO_FILE = '/\\:*?"<>|'
+JS_TYPES = ("application/javascript", "text/javascript", "application/x-javascript")
+PAGE_ENDS, CSS_ENDS, JS_ENDS = (".html", ".htm", ".php"), (".css",), (".js", ".mjs")
+IMAGE_ENDS = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".avif")
+SINGLE = (("a", "href"), ("link", "href"), ("area", "href"), ("script", "src"), ("img", "src"), ("source", "src"), ("video", "src"), ("audio", "src"),
+          ("img", "data-src"), ("img", "data-lazy-src"), ("source", "data-src"), ("source", "data-lazy-src"), ("video", "poster"))
+SETS = (("img", "srcset"), ("source", "srcset"))
+NAVIGATION = (("a", "href"), ("area", "href"))
+IN_TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+BLANKED = (r"(?is)<!--.*?(?:-->|$)|(<script(?:[\s/][^>]*)?>).*?(?:</script\s*>|$)|(<style(?:[\s/][^>]*)?>).*?(?:</style\s*>|$)"
+           r"|(<textarea(?:[\s/][^>]*)?>).*?(?:</textarea\s*>|$)|(<title(?:[\s/][^>]*)?>).*?(?:</title\s*>|$)")
+TAG = r"(?i)<(a|area|audio|base|img|link|script|source|video)((?:[\s/]" + IN_TAG + r")?)>"
+ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
+REWRITTEN = rf'(?i)[{WS}]+(href|src|action|poster|srcset)[{WS}]*=[{WS}]*"([^"]*)"'
+BASE_TAG = rf"""(?i)<base[{WS}]+[^>]*href[{WS}]*=[{WS}]*["']([^"']+)["']"""
+REWRITE_SIGNS = ("href=", "src=", "srcset=", "data-src")
+CSS_URL = rf"""url\([{WS}]*['"]?([^'")]+)['"]?[{WS}]*\)"""
+CSS_IMPORT = rf"""@import[{WS}]+['"]([^'"]+)['"]"""
+FRAMEWORK_SIGNS = ("__next_data__", "__nuxt__", "ng-version", "data-reactroot", "data-react-root", "data-server-rendered", "vite-plugin-pwa", "registersw", "data-v-app")
+ROOT_IDS = "root|app|__next|__nuxt|q-app|__vue"
+ROOT_TAG = rf"""<[A-Za-z][^>]*[{WS}/]id[{WS}]*=[{WS}]*(?:"(?:{ROOT_IDS})"|'(?:{ROOT_IDS})'|(?:{ROOT_IDS})[{WS}/>])"""
+MOUNT_SIGNS = ('id="app"', "id='app'", 'id="root"', "id='root'", 'id="__nuxt"', "data-v-app")
+WORKER_WORDS = ("serviceWorker", "registerSW", "workbox")
+WORKER_SRC = r"(?i)registersw|workbox|sw-?register|sw\.js"
+MODES = ("auto", "on", "off", "AUTO", "Yes", "bogus")
+MODES_ON, MODES_OFF = ("on", "yes", "true"), ("off", "no", "false")
+ASSET_PATHS = ("/cdn-cgi/rum?x=1", "/a/__cf_bm", "/beacon/rum", "/js/cloudflareinsights.js", "/ok/app.js", "/Docs/Guide.HTML", "/docs/v1.2/")
+# Derived inputs.
+TYPES = ("text/html; charset=utf-8", "text/html", "text/css", "application/javascript", "image/png", "font/woff2", "application/json", None, "TEXT/HTML", "image/svg+xml")
+MODIFIED = ("Mon, 01 Jan 2024 00:00:00 GMT", "", None)
+ROBOTS = ("User-agent: *\nDisallow: /en/\nAllow: /en/1\n", "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr\nDisallow:\n",
+          "user-agent: *\nDisallow: /es/\nUser-agent: *\r\nAllow: /es/9\nDisallow: /es/90\n", None)
+EVENT_STATUS = (("error", 503), ("click", 429), ("view", 200), ("signup", 404), ("purchase", None))
 
 
 def q(s: str) -> str:
@@ -63,7 +106,6 @@ class Stages:
 
 # --------------------------------------------------------------------------
 # URL rules
-WS = U.WS
 
 
 def trim_ws(x: str) -> str:
@@ -96,28 +138,27 @@ def dots(p: str) -> str:
 
 def parse_abs(st: Stages, src: str, o: str) -> Stages:
     """Adds {o}_scheme, {o}_host, {o}_port, {o}_path, {o}_query, {o}_ok."""
-    A = U._ABS_RE
     st.add(**{f"{o}_s": clean(src)})
     s = f"{o}_s"
-    st.add(**{f"{o}_m": f"regexp_matches({s}, {q(A)})",
-              f"{o}_sch": f"lower(regexp_extract({s}, {q(A)}, 1))",
-              f"{o}_hp": f"regexp_replace(regexp_extract({s}, {q(A)}, 2), '^.*@', '')",
-              f"{o}_rp": f"regexp_extract({s}, {q(A)}, 3)",
-              f"{o}_rq": f"regexp_extract({s}, {q(A)}, 4)"})
-    st.add(**{f"{o}_h": f"lower(regexp_extract({o}_hp, {q(U._HOST_RE)}, 1))",
-              f"{o}_pr": f"regexp_extract({o}_hp, {q(U._PORT_RE)}, 1)",
+    st.add(**{f"{o}_m": f"regexp_matches({s}, {q(ABSOLUTE)})",
+              f"{o}_sch": f"lower(regexp_extract({s}, {q(ABSOLUTE)}, 1))",
+              f"{o}_hp": f"regexp_replace(regexp_extract({s}, {q(ABSOLUTE)}, 2), '^.*@', '')",
+              f"{o}_rp": f"regexp_extract({s}, {q(ABSOLUTE)}, 3)",
+              f"{o}_rq": f"regexp_extract({s}, {q(ABSOLUTE)}, 4)"})
+    st.add(**{f"{o}_h": f"lower(regexp_extract({o}_hp, {q(HOST)}, 1))",
+              f"{o}_pr": f"regexp_extract({o}_hp, {q(PORT)}, 1)",
               f"{o}_p1": f"CASE WHEN replace({o}_rp, '\\', '/') = '' THEN '/' ELSE replace({o}_rp, '\\', '/') END",
               f"{o}_q1": f"CASE WHEN {o}_rq = '' THEN NULL ELSE substr({o}_rq, 2) END"})
-    st.add(**{f"{o}_pn": f"CASE WHEN regexp_matches({o}_pr, '^[0-9]{{1,5}}$') THEN CAST({o}_pr AS INTEGER) END",
+    st.add(**{f"{o}_pn": f"CASE WHEN regexp_matches({o}_pr, '^0*[0-9]{{1,5}}$') THEN CAST({o}_pr AS BIGINT) END",
               f"{o}_p2": dots(f"{o}_p1")})
     valid = (f"coalesce({o}_m AND {o}_sch IN ('http', 'https') AND {o}_h <> '' "
-             f"AND (starts_with({o}_h, '[') OR NOT regexp_matches({o}_h, {q(U._BAD_HOST_RE)})) "
+             f"AND (starts_with({o}_h, '[') OR NOT regexp_matches({o}_h, {q(BAD_HOST)})) "
              f"AND ({o}_pr = '' OR ({o}_pn IS NOT NULL AND {o}_pn <= 65535)), false)")
     default = f"CASE WHEN {o}_sch = 'http' THEN 80 ELSE 443 END"
     st.add(**{f"{o}_ok": valid,
               f"{o}_port0": f"CASE WHEN {o}_pr = '' OR {o}_pn = {default} THEN NULL ELSE CAST({o}_pn AS VARCHAR) END",
-              f"{o}_p3": enc(f"{o}_p2", U.PATH_SAFE),
-              f"{o}_q3": enc(f"{o}_q1", U.QUERY_SAFE)})
+              f"{o}_p3": enc(f"{o}_p2", PATH_KEPT),
+              f"{o}_q3": enc(f"{o}_q1", QUERY_KEPT)})
     st.add(**{f"{o}_scheme": f"CASE WHEN {o}_ok THEN {o}_sch END",
               f"{o}_host": f"CASE WHEN {o}_ok THEN {o}_h END",
               f"{o}_port": f"CASE WHEN {o}_ok THEN {o}_port0 END",
@@ -129,11 +170,10 @@ def parse_abs(st: Stages, src: str, o: str) -> Stages:
 def resolve(st: Stages, b: str, ref: str, o: str) -> Stages:
     """Join reference column ``ref`` against parsed base ``{b}_*``; adds
     {o}_scheme/host/port/path/query and {o}_ok."""
-    S = U._SCHEME_RE
     st.add(**{f"{o}_r": clean(ref)})
-    st.add(**{f"{o}_hs": f"regexp_matches({o}_r, {q(S)})",
-              f"{o}_sch": f"lower(regexp_extract({o}_r, {q(S)}, 1))",
-              f"{o}_rest": f"regexp_replace({o}_r, {q(S)}, '')"})
+    st.add(**{f"{o}_hs": f"regexp_matches({o}_r, {q(SCHEME)})",
+              f"{o}_sch": f"lower(regexp_extract({o}_r, {q(SCHEME)}, 1))",
+              f"{o}_rest": f"regexp_replace({o}_r, {q(SCHEME)}, '')"})
     st.add(**{f"{o}_r2": f"CASE WHEN {o}_hs AND {o}_sch = {b}_scheme THEN {o}_rest ELSE {o}_r END"})
     st.add(**{f"{o}_auth": (f"CASE WHEN {o}_hs AND {o}_sch <> {b}_scheme THEN {o}_sch || '://' || {o}_rest "
                             f"WHEN regexp_matches({o}_r2, {q(r'^[/\\]{2}')}) THEN {b}_scheme || ':' || {o}_r2 END"),
@@ -145,7 +185,7 @@ def resolve(st: Stages, b: str, ref: str, o: str) -> Stages:
               f"{o}_nq0": f"CASE WHEN {o}_qq <> '' THEN substr({o}_qq, 2) END"})
     st.add(**{f"{o}_np1": f"CASE WHEN replace({o}_np0, '\\', '/') = '' THEN '/' ELSE replace({o}_np0, '\\', '/') END"})
     st.add(**{f"{o}_np2": dots(f"{o}_np1")})
-    st.add(**{f"{o}_np3": enc(f"{o}_np2", U.PATH_SAFE), f"{o}_nq3": enc(f"{o}_nq0", U.QUERY_SAFE)})
+    st.add(**{f"{o}_np3": enc(f"{o}_np2", PATH_KEPT), f"{o}_nq3": enc(f"{o}_nq0", QUERY_KEPT)})
     parse_abs(st, f"{o}_auth", f"{o}_a")
     kind = (f"CASE WHEN {b}_scheme IS NULL THEN 'none' "
             f"WHEN {o}_hs AND {o}_sch NOT IN ('http', 'https') THEN 'none' "
@@ -172,7 +212,7 @@ def site_of(h: str) -> str:
 
 
 def skip_ref(v: str) -> str:
-    return "(" + " OR ".join(f"starts_with({v}, {q(p)})" for p in U.SKIP_PREFIXES) + ")"
+    return "(" + " OR ".join(f"starts_with({v}, {q(p)})" for p in NO_LINKS) + ")"
 
 
 def ends_any(c: str, suffixes) -> str:
@@ -182,15 +222,15 @@ def ends_any(c: str, suffixes) -> str:
 def classify_by_path(p: str) -> str:
     lp = f"lower({p})"
     last = f"regexp_extract({lp}, '([^/]*)$', 1)"
-    return (f"CASE WHEN {ends_any(lp, U.PAGE_SUFFIXES)} OR ends_with({lp}, '/') OR {lp} = '' "
+    return (f"CASE WHEN {ends_any(lp, PAGE_ENDS)} OR ends_with({lp}, '/') OR {lp} = '' "
             f"OR NOT contains({last}, '.') THEN 'page' "
-            f"WHEN {ends_any(lp, U.CSS_SUFFIXES)} THEN 'css' WHEN {ends_any(lp, U.JS_SUFFIXES)} THEN 'js' "
-            f"WHEN {ends_any(lp, U.IMAGE_SUFFIXES)} THEN 'image' ELSE 'other' END")
+            f"WHEN {ends_any(lp, CSS_ENDS)} THEN 'css' WHEN {ends_any(lp, JS_ENDS)} THEN 'js' "
+            f"WHEN {ends_any(lp, IMAGE_ENDS)} THEN 'image' ELSE 'other' END")
 
 
 def classify(ct: str, p: str) -> str:
     c = trim_ws(f"split_part({ct}, ';', 1)")
-    js = ", ".join(q(x) for x in U.JS_MEDIA_TYPES)
+    js = ", ".join(q(x) for x in JS_TYPES)
     return (f"CASE WHEN {ct} IS NULL THEN {classify_by_path(p)} "
             f"WHEN {c} = 'text/html' THEN 'page' WHEN {c} = 'text/css' THEN 'css' "
             f"WHEN {c} IN ({js}) THEN 'js' WHEN starts_with({c}, 'image/') THEN 'image' "
@@ -200,7 +240,7 @@ def classify(ct: str, p: str) -> str:
 
 def offline_path(p: str, qr: str) -> str:
     raw = f"regexp_replace({p}, '^/+', '')"
-    tr_from = U.PATH_UNSAFE_IN_QUERY
+    tr_from = QUERY_TO_FILE
     qs = (f"(CASE WHEN {qr} IS NOT NULL AND {qr} <> '' THEN '@' || translate({qr}, {q(tr_from)}, "
           f"{q('_' * len(tr_from))}) ELSE '' END)")
     last = f"regexp_extract({raw}, '([^/]*)$', 1)"
@@ -235,17 +275,35 @@ def unquote(raw: str) -> str:
     return f"regexp_replace({raw}, {q(UNQUOTE_RE)}, '\\1\\2')"
 
 
-def decode_entities(v: str) -> str:
-    out = v
-    for name, ch in H.NAMED_ENTITIES:
-        out = f"replace({out}, {q('&' + name + ';')}, {q(ch)})"
-    runs = f"regexp_extract_all(x, {q(r'(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)')}, 1)"
-    digits = f"regexp_extract(t, {q(r'^&#[xX]?([0-9a-fA-F]+);$')}, 1)"
-    cp = (f"CASE WHEN regexp_matches(t, '^&#[xX]') THEN CAST(('0x' || {digits}) AS INTEGER) "
-          f"ELSE CAST({digits} AS INTEGER) END")
-    one = f"lambda t: CASE WHEN starts_with(t, '&#') THEN chr({cp}) ELSE t END"
-    num = f"list_transform([{out}], lambda x: CASE WHEN contains(x, '&#') THEN array_to_string(list_transform({runs}, {one}), '') ELSE x END)[1]"
-    return f"CASE WHEN contains({v}, '&') THEN replace({num}, '&amp;', '&') ELSE {v} END"
+C1 = [chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in range(0x80, 0xA0)]
+NAMED = [(k[:-1], v) for k, v in html.entities.html5.items() if k.endswith(";")]
+LEGACY = [(k, v) for k, v in html.entities.html5.items() if not k.endswith(";")]
+
+
+def table(pairs) -> str:
+    return f"MAP({arr(k for k, _ in pairs)}, {arr(v for _, v in pairs)})"
+
+
+def decode_entities(v: str, in_text: bool = False) -> str:
+    """Tokens are references or what lies between; a legacy name without ';'
+    counts in a value if nothing that could go on with it follows, and in text by
+    its longest known beginning."""
+    tokens = f"regexp_extract_all({v}, {q(r'(&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|[^&]+|&)')}, 1)"
+    hexed = "regexp_extract(t, '^&#[xX]0*([0-9a-fA-F]*)', 1)"
+    digits = "regexp_extract(t, '^&#0*([0-9]*)', 1)"
+    code = (f"(CASE WHEN regexp_matches(t, '^&#[xX]') THEN (CASE WHEN length({hexed}) > 6 THEN 1114112 ELSE CAST('0x0' || {hexed} AS BIGINT) END) "
+            f"ELSE (CASE WHEN length({digits}) > 7 THEN 1114112 ELSE CAST('0' || {digits} AS BIGINT) END) END)")
+    number = (f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) "
+              f"WHEN {code} BETWEEN 128 AND 159 THEN ({arr(C1)})[{code} - 127] ELSE chr(CAST({code} AS INTEGER)) END")
+    name = "regexp_extract(t, '^&([A-Za-z0-9]*)', 1)"
+    legacy = f"CASE WHEN NOT ends_with(t, '=') THEN {table(LEGACY)}[{name}] END"
+    if in_text:
+        best = f"list_sort(list_transform(list_filter({arr(k for k, _ in LEGACY)}, lambda k: starts_with({name}, k)), lambda k: {{'n': length(k), 'k': k}}))[-1]"
+        legacy = f"{table(LEGACY)}[({best}).k] || substr(t, 2 + ({best}).n)"
+    one = (f"lambda t: CASE WHEN NOT starts_with(t, '&') OR t = '&' THEN t WHEN regexp_matches(t, '^&#') THEN {number} "
+           f"WHEN ends_with(t, ';') THEN coalesce({table(NAMED)}[{name}], {'coalesce(' + legacy + ', t)' if in_text else 't'}) "
+           f"ELSE coalesce({legacy}, t) END")
+    return f"CASE WHEN contains({v}, '&') THEN array_to_string(list_transform({tokens}, {one}), '') ELSE {v} END"
 
 
 def attr_lookup(names: str, raws: str, name: str) -> str:
@@ -254,8 +312,8 @@ def attr_lookup(names: str, raws: str, name: str) -> str:
 
 
 def attr_value(attrs: str, name: str) -> str:
-    names = f"regexp_extract_all(lower({attrs}), {q(H.ATTR_RE)}, 1)"
-    raws = f"regexp_extract_all({attrs}, {q(H.ATTR_RE)}, 2)"
+    names = f"regexp_extract_all(lower({attrs}), {q(ATTRIBUTE)}, 1)"
+    raws = f"regexp_extract_all({attrs}, {q(ATTRIBUTE)}, 2)"
     return attr_lookup(names, raws, name)
 
 
@@ -270,12 +328,12 @@ def pick(values, idx: str) -> str:
     return f"({arr(values)})[({idx}) + 1]"
 
 
-def mixed_captures() -> str:
-    n, m = len(D.MEDIA_TYPES), len(D.LAST_MODIFIED)
+def mixed_captures(table: str = "pages") -> str:
+    n, m = len(TYPES), len(MODIFIED)
     return (f"SELECT url, CASE WHEN page_id % 23 = 7 THEN 404 ELSE 200 END AS status, "
-            f"{pick(D.MEDIA_TYPES, f'page_id % {n}')} AS content_type, "
-            f"{pick(D.LAST_MODIFIED, f'page_id % {m}')} AS last_modified, "
-            f"html AS body, CAST(page_id AS BIGINT) AS seq FROM pages")
+            f"{pick(TYPES, f'page_id % {n}')} AS content_type, "
+            f"{pick(MODIFIED, f'page_id % {m}')} AS last_modified, "
+            f"html AS body, CAST(page_id AS BIGINT) AS seq FROM {table}")
 
 
 def enriched_pages() -> str:
@@ -303,9 +361,9 @@ def _tag_stage(source_sql: str, body: str, url: str, use_base: bool, name: str)
     st = Stages(source_sql, name=name)
     parse_abs(st, url, "u")
     st.where("u_ok")
-    st.add(_clean=f"regexp_replace({body}, {q(H.BLANK_RE)}, '\\1\\2\\3\\4', 'g')")
-    st.add(_names=f"list_transform(regexp_extract_all(_clean, {q(H.TAG_RE)}, 1), lambda x: lower(x))",
-           _attrs=f"regexp_extract_all(_clean, {q(H.TAG_RE)}, 2)")
+    st.add(_clean=f"regexp_replace({body}, {q(BLANKED)}, '\\1\\2\\3\\4', 'g')")
+    st.add(_names=f"list_transform(regexp_extract_all(_clean, {q(TAG)}, 1), lambda x: lower(x))",
+           _attrs=f"regexp_extract_all(_clean, {q(TAG)}, 2)")
     if use_base:
         first = (f"list_filter(list_transform(range(1, len(_names) + 1), lambda i: CASE WHEN _names[i] = 'base' "
                  f"THEN {attr_value('coalesce(_attrs[i], ' + EMPTY + ')', 'href')} END), lambda x: x IS NOT NULL)[1]")
@@ -320,8 +378,8 @@ def _tag_stage(source_sql: str, body: str, url: str, use_base: bool, name: str)
     st.select(f"SELECT {serialize('u')} AS src_url, {site_of('u_host')} AS site, u_host AS _host, {keep}, "
               f"i - 1 AS pos, _names[i] AS tag, coalesce(_attrs[i], {EMPTY}) AS _a "
               f"FROM (SELECT *, unnest(range(1, len(_names) + 1)) AS i FROM {{prev}}) WHERE _names[i] <> 'base'")
-    st.add(_an=f"regexp_extract_all(lower(_a), {q(H.ATTR_RE)}, 1)",
-           _ar=f"regexp_extract_all(_a, {q(H.ATTR_RE)}, 2)")
+    st.add(_an=f"regexp_extract_all(lower(_a), {q(ATTRIBUTE)}, 1)",
+           _ar=f"regexp_extract_all(_a, {q(ATTRIBUTE)}, 2)")
     return st
 
 
@@ -365,7 +423,7 @@ def links_sql(source_sql: str, name: str = "lk") -> Stages:
     st.where(f"pu_ok AND {classify('content_type', 'pu_path')} = 'page'")
     st2 = _tag_stage(f"SELECT url, body FROM {st.last}", "body", "url", True, name)
     st2.ctes = st.ctes + st2.ctes
-    return _link_stage(st2, H.LINK_PAIRS, H.SRCSET_PAIRS)
+    return _link_stage(st2, SINGLE, SETS)
 
 
 def q_extract_links() -> str:
@@ -378,7 +436,7 @@ def q_extract_srcset() -> str:
     st = Stages(src, name="ssp")
     st2 = _tag_stage(f"SELECT url, body FROM {st.last}", "body", "url", True, "ss")
     st2.ctes = st.ctes + st2.ctes
-    return _link_stage(st2, (), H.SRCSET_PAIRS).sql(LINK_SELECT)
+    return _link_stage(st2, (), SETS).sql(LINK_SELECT)
 
 
 def q_site_summary() -> str:
@@ -419,75 +477,88 @@ def q_path_collisions() -> str:
 
 # --------------------------------------------------------------------------
 # Rewriting
-def strip_breakers(st: Stages, col: str, o: str) -> Stages:
-    st.add(**{f"{o}_1": f"regexp_replace({col}, {q(H.SW_EXTERNAL_RE)}, '', 'g')"})
-    st.add(**{f"{o}_2": f"regexp_replace({o}_1, {q(H.MANIFEST_LINK_RE)}, '', 'g')"})
-    st.add(**{f"{o}_3": f"regexp_replace({o}_2, {q(H.MODULEPRELOAD_LINK_RE)}, '', 'g')"})
-    st.add(**{f"{o}_4": f"regexp_replace({o}_3, {q(H.SCRIPT_PRELOAD_LINK_RE)}, '', 'g')"})
-    words = " OR ".join(f"contains({{b}}, {q(w)})" for w in H.SW_INLINE_WORDS)
-    body = (f"regexp_replace(regexp_replace(blocks[i], {q(r'(?is)^<script\b[^>]*?>')}, ''), "
-            f"{q('(?i)</script>$')}, '')")
-    bad = "(" + words.format(b=body) + ")"
-    has = "(" + words.format(b=f"{o}_4") + ")"
-    st.add(**{f"{o}_parts": f"string_split_regex({o}_4, {q(H.INLINE_SCRIPT_RE)})",
-              f"{o}_blocks": f"regexp_extract_all({o}_4, {q(H.INLINE_SCRIPT_RE)})"})
-    rebuilt = (f"array_to_string(list_transform(range(1, len({o}_parts) + 1), lambda i: {o}_parts[i] || "
-               f"CASE WHEN i > len({o}_blocks) THEN '' WHEN {bad.replace('blocks[i]', f'{o}_blocks[i]')} THEN '' "
-               f"ELSE {o}_blocks[i] END), '')")
-    st.add(**{f"{o}_5": f"CASE WHEN {has} THEN {rebuilt} ELSE {o}_4 END"})
-    st.add(**{o: f"regexp_replace({o}_5, {q(H.CROSSORIGIN_RE)}, '', 'g')"})
+BREAKER_COUNTS = ("sw_script", "manifest_link", "modulepreload_link", "script_preload_link", "sw_inline_script")
+ELEMENT = r"(?is)<(?:link((?:[\s/]" + IN_TAG + r")?)>|script((?:[\s/]" + IN_TAG + r")?)>(.*?)</script\s*>)"
+START_TAG = "<[A-Za-z]" + IN_TAG + ">"
+CROSSORIGIN = rf"""(?i)[{WS}]+crossorigin(?:[{WS}]*=[{WS}]*(?:"[^"]*"|'[^']*'|[^{WS}>"']+))?([{WS}/>])"""
+
+
+def strip_breakers(st: Stages, col: str, o: str, key: str) -> Stages:
+    """Elements one per row: each is kept or named by the rule that removes it."""
+    st.add(**{f"{o}_parts": f"string_split_regex({col}, {q(ELEMENT)})", f"{o}_els": f"regexp_extract_all({col}, {q(ELEMENT)})"})
+    docs = st.last
+    st.select(f"SELECT {key} AS k, {o}_parts AS parts, {o}_els AS els, unnest(range(1, len({o}_parts) + 1)) AS i FROM {{prev}}")
+    st.add(part="parts[i]", el="els[i]")
+    st.add(link=f"regexp_extract(el, {q(ELEMENT)}, 1)", script=f"regexp_extract(el, {q(ELEMENT)}, 2)", inside=f"regexp_extract(el, {q(ELEMENT)}, 3)", is_link="el[2:5] ILIKE 'link'")
+    st.add(rel=f"lower({attr_value('link', 'rel')})", as_kind=f"lower({attr_value('link', 'as')})", src=attr_value("script", "src"))
+    inline = " OR ".join(f"contains(inside, {q(w)})" for w in WORKER_WORDS)
+    st.add(rule=(f"CASE WHEN el IS NULL THEN NULL WHEN is_link THEN (CASE WHEN rel = 'manifest' THEN 'manifest_link' WHEN rel = 'modulepreload' THEN 'modulepreload_link' "
+                 f"WHEN rel = 'preload' AND as_kind = 'script' THEN 'script_preload_link' END) "
+                 f"WHEN coalesce(regexp_matches(src, {q(WORKER_SRC)}), false) AND regexp_full_match(inside, '[ \\t\\n\\f\\r]*') THEN 'sw_script' "
+                 f"WHEN {inline} THEN 'sw_inline_script' END"))
+    rows = st.last
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = {q(r)}) AS {o}_{r}" for r in BREAKER_COUNTS)
+    st.select(f"SELECT d.*, r.* EXCLUDE (k) FROM {docs} d JOIN (SELECT k, string_agg(part || CASE WHEN el IS NULL OR rule IS NOT NULL THEN '' ELSE el END, '' ORDER BY i) AS {o}_0, {counts} "
+              f"FROM {rows} GROUP BY k) r ON d.{key} = r.k")
+    st.add(**{f"{o}_tp": f"string_split_regex({o}_0, {q(START_TAG)})", f"{o}_tt": f"regexp_extract_all({o}_0, {q(START_TAG)})"})
+    clean = f"regexp_replace({o}_tt[i], {q(CROSSORIGIN)}, '\\1', 'g')"
+    st.add(**{o: f"array_to_string(list_transform(range(1, len({o}_tp) + 1), lambda i: {o}_tp[i] || coalesce({clean}, '')), '')"})
     return st
 
 
 def rewrite_pages_sql(source_sql: str) -> str:
-    """Rewritten pages (double-quoted href/src/action/poster values; the
-    corpus has no srcset) followed by offline-breaker removal."""
-    from mirrorline.operators import rewrite as R
+    """Rewritten pages: double-quoted href/src/action/poster values and srcset
+    candidates (one row each), put together again, then breakers removed."""
     st = Stages(source_sql, name="rw")
     parse_abs(st, "url", "u")
     st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'page'")
-    st.add(_bh=f"regexp_extract(body, {q(R.BASE_HREF_RE)}, 1)")
-    st.add(_bref=f"CASE WHEN _bh <> '' THEN _bh END")
+    st.add(_bh=f"regexp_extract(body, {q(BASE_TAG)}, 1)")
+    st.add(_bref="CASE WHEN _bh <> '' THEN _bh END")
     resolve(st, "u", "_bref", "bb")
     for part in ("scheme", "host", "port", "path", "query"):
         st.add(**{f"b_{part}": f"CASE WHEN bb_ok THEN bb_{part} ELSE u_{part} END"})
-    st.add(page_path=offline_path("u_path", "u_query"),
-           _parts=f"string_split_regex(body, {q(R.ATTR_REWRITE_RE)})",
-           _ms=f"regexp_extract_all(body, {q(R.ATTR_REWRITE_RE)}, 0)")
+    st.add(row_key="row_number() OVER ()", page_path=offline_path("u_path", "u_query"),
+           _parts=f"string_split_regex(body, {q(REWRITTEN)})", _ms=f"regexp_extract_all(body, {q(REWRITTEN)}, 0)")
     pages_cte = st.last
-    st.select("SELECT *, unnest(range(1, len(_parts) + 1)) AS i FROM {prev}")
-    st.add(m="_ms[i]", part="_parts[i]")
-    st.add(m_name=f"lower(regexp_extract(m, {q(R.ATTR_REWRITE_RE)}, 1))",
-           m_value=f"regexp_extract(m, {q(R.ATTR_REWRITE_RE)}, 2)",
-           m_prefix=f"regexp_extract(m, {q(f'^([{WS}]+[A-Za-z]+)')}, 1)")
-    st.add(_ref=f"CASE WHEN m IS NULL OR m_name = 'srcset' OR {skip_ref('m_value')} THEN NULL ELSE m_value END")
+    keep = "row_key, page_path, b_scheme, b_host, b_port, b_path, b_query"
+    st.select(f"SELECT {keep}, _parts[i] AS part, _ms[i] AS m, i FROM (SELECT *, unnest(range(1, len(_parts) + 1)) AS i FROM {{prev}})")
+    st.add(m_name=f"lower(regexp_extract(m, {q(REWRITTEN)}, 1))", m_value=f"regexp_extract(m, {q(REWRITTEN)}, 2)", m_prefix=f"regexp_extract(m, {q(f'^([{WS}]+[A-Za-z]+)')}, 1)")
+    cands = f"list_filter(list_transform(string_split(m_value, ','), lambda c: {trim_ws('c')}), lambda c: c <> '')"
+    st.add(items=f"CASE WHEN m IS NULL THEN [''] WHEN m_name = 'srcset' THEN (CASE WHEN len({cands}) > 0 THEN {cands} ELSE [''] END) ELSE [m_value] END")
+    st.select("SELECT * EXCLUDE (items), items[j] AS item, j FROM (SELECT *, unnest(range(1, len(items) + 1)) AS j FROM {prev})")
+    st.add(val=f"CASE WHEN m_name = 'srcset' THEN regexp_extract(item, {q(f'^([^{WS}]+)')}, 1) ELSE item END")
+    rest = f"regexp_replace(item, {q(f'^[^{WS}]+')}, '')"
+    st.add(detail=f"CASE WHEN m_name = 'srcset' THEN regexp_replace({trim_ws(rest)}, {q(f'[{WS}]+')}, ' ', 'g') ELSE '' END")
+    st.add(_ref=f"CASE WHEN m IS NULL OR {skip_ref('val')} THEN NULL ELSE val END")
     resolve(st, "b", "_ref", "r")
     st.add(_tgt=offline_path("r_path", "r_query"))
     relative_link(st, "page_path", "_tgt", "rel")
     st.add(_new=(f"CASE WHEN NOT coalesce(r_ok, false) OR {site_of('r_host')} <> {site_of('b_host')} THEN NULL "
-                 f"WHEN rel = m_value OR rel = '.' OR rel = page_path THEN NULL ELSE rel END"))
-    st.add(piece=f"part || coalesce(CASE WHEN _new IS NULL THEN m ELSE m_prefix || '=\"' || _new || '\"' END, '')")
+                 f"WHEN rel = val OR rel = '.' OR rel = page_path THEN NULL ELSE rel END"))
+    st.select("SELECT row_key, i, any_value(part) AS part, any_value(m) AS m, any_value(m_prefix) AS m_prefix, bool_or(_new IS NOT NULL) AS changed, "
+              "string_agg(coalesce(_new, val) || CASE WHEN detail <> '' THEN ' ' || detail ELSE '' END, ', ' ORDER BY j) AS joined FROM {prev} GROUP BY row_key, i")
+    st.add(piece="part || coalesce(CASE WHEN NOT changed THEN m ELSE m_prefix || '=\"' || joined || '\"' END, '')")
     pieces = st.last
-    markers = " OR ".join(f"contains(body, {q(mk)})" for mk in R.EARLY_OUT_MARKERS)
+    markers = " OR ".join(f"contains(body, {q(mk)})" for mk in REWRITE_SIGNS)
     st.select(f"SELECT p.*, CASE WHEN {markers} THEN r.rebuilt ELSE body END AS rew FROM {pages_cte} p "
-              f"LEFT JOIN (SELECT url AS k, string_agg(piece, '' ORDER BY i) AS rebuilt FROM {pieces} GROUP BY url) r "
-              f"ON p.url = r.k")
-    strip_breakers(st, "rew", "content")
-    return st.sql(f"SELECT {serialize('u')} AS url, page_path AS offline_path, content, "
+              f"LEFT JOIN (SELECT row_key AS k, string_agg(piece, '' ORDER BY i) AS rebuilt FROM {pieces} GROUP BY row_key) r ON p.row_key = r.k")
+    strip_breakers(st, "rew", "content", "row_key")
+    return st.sql(f"SELECT {serialize('u')} AS url, {site_of('u_host')} AS site, page_path AS offline_path, content, seq, last_modified, "
                   f"CAST(octet_length(encode(body)) AS BIGINT) AS size, 'sha256:' || sha256(body) AS hash, "
                   f"CAST(octet_length(encode(content)) AS BIGINT) AS out_size, "
                   f"'sha256:' || sha256(content) AS out_hash FROM {{prev}}")
 
 
 def q_rewrite_pages() -> str:
-    return rewrite_pages_sql(captures_from_pages())
+    src = captures_from_pages("(" + enriched_pages() + ")")
+    return f"SELECT url, offline_path, content, size, hash, out_size, out_hash FROM ({rewrite_pages_sql(src)})"
 
 
 def q_strip_offline_breakers() -> str:
     st = Stages(enriched_pages(), name="sb")
-    strip_breakers(st, "html", "out")
-    return st.sql("SELECT page_id, out AS html, CAST(length(html) - length(out) AS BIGINT) AS removed_chars "
-                  "FROM {prev}")
+    strip_breakers(st, "html", "out", "page_id")
+    counts = ", ".join(f"CAST(out_{r} AS BIGINT) AS {r}" for r in BREAKER_COUNTS)
+    return st.sql(f"SELECT page_id, out AS html, CAST(length(html) - length(out) AS BIGINT) AS removed_chars, {counts} FROM {{prev}}")
 
 
 def q_strip_scripts() -> str:
@@ -509,8 +580,8 @@ def page_site(url: str = "url") -> str:
 
 
 def robots_texts() -> str:
-    n = len(D.ROBOTS_BODIES)
-    return (f"SELECT site, {pick(D.ROBOTS_BODIES, f'length(site) % {n}')} AS body "
+    n = len(ROBOTS)
+    return (f"SELECT site, {pick(ROBOTS, f'length(site) % {n}')} AS body "
             f"FROM (SELECT DISTINCT {page_site()} AS site FROM pages)")
 
 
@@ -525,21 +596,20 @@ def css_captures() -> str:
             f"{body} AS body, CAST(page_id AS BIGINT) AS seq FROM pages")
 
 
-def rendered_pages() -> str:
+def rendered_pages(table: str = "pages") -> str:
     origin = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
     hrefs = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
     reqs = (f"list_concat([url], list_transform({hrefs}, lambda h: {origin} || h || '#frag'), "
             f"['not a url', 'https://cdn.example.invalid/lib.js'])")
-    return f"SELECT url, regexp_replace(url, '#.*$', '') AS final_url, html, {reqs} AS requested_urls FROM pages"
+    return f"SELECT url, regexp_replace(url, '#.*$', '') AS final_url, html, {reqs} AS requested_urls FROM {table}"
 
 
 def q_extract_css_refs() -> str:
-    from mirrorline.operators import extract as X
     st = Stages(css_captures(), name="cr")
     parse_abs(st, "url", "u")
     st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'css'")
-    st.add(_urls=f"regexp_extract_all(body, {q(X.CSS_URL_RE)}, 1)",
-           _imps=f"regexp_extract_all(body, {q(X.CSS_IMPORT_RE)}, 1)")
+    st.add(_urls=f"regexp_extract_all(body, {q(CSS_URL)}, 1)",
+           _imps=f"regexp_extract_all(body, {q(CSS_IMPORT)}, 1)")
     st.select("SELECT *, unnest(list_concat(list_transform(_urls, lambda v, i: {'attr': 'url', 'pos': i - 1, 'value': v}), "
               "list_transform(_imps, lambda v, i: {'attr': 'import', 'pos': i - 1, 'value': v}))) AS c FROM {prev}")
     st.where("NOT starts_with(c.value, 'data:')")
@@ -553,27 +623,55 @@ def q_extract_css_refs() -> str:
 
 def q_extract_nav_links() -> str:
     st = _tag_stage(rendered_pages(), "html", "final_url", False, "nv")
-    return _link_stage(st, H.NAV_PAIRS, ()).sql(LINK_SELECT)
+    return _link_stage(st, NAVIGATION, ()).sql(LINK_SELECT)
 
 
 def q_rendered_requests() -> str:
-    st = Stages(rendered_pages(), name="rr")
+    return rendered_requests_sql(f"({rendered_pages()})")
+
+
+def rendered_requests_sql(source: str) -> str:
+    st = Stages(f"SELECT *, row_number() OVER () AS rk FROM {source}", name="rr")
     parse_abs(st, "final_url", "u")
     st.where("u_ok")
     parse_abs(st, "url", "q")
     st.select(f"SELECT {serialize('u')} AS src_url, {site_of('u_host')} AS site, "
-              f"CASE WHEN q_ok THEN {serialize('q')} END AS _req, r, ri FROM "
+              f"CASE WHEN q_ok THEN {serialize('q')} END AS _req, r, ri, rk FROM "
               f"(SELECT *, unnest(requested_urls) AS r, generate_subscripts(requested_urls, 1) AS ri FROM {{prev}})")
     parse_abs(st, "r", "x")
     st.where("x_ok")
     st.add(dst=serialize("x"))
-    st.select("SELECT src_url, site, _req, dst, min(ri) AS first FROM {prev} GROUP BY ALL")
+    st.select("SELECT rk, src_url, site, _req, dst, min(ri) AS first FROM {prev} GROUP BY ALL")
     st.where(f"{page_site('dst')} = site")
-    st.add(pos="CAST(row_number() OVER (PARTITION BY src_url ORDER BY first) - 1 AS INTEGER)")
+    st.add(pos="CAST(row_number() OVER (PARTITION BY rk ORDER BY first) - 1 AS INTEGER)")
     return st.sql("SELECT src_url, dst AS dst_url, site, pos FROM {prev} "
                   "WHERE dst <> src_url AND dst <> coalesce(_req, '')")
 
 
+def rendered_entries() -> str:
+    strip = f"CASE WHEN contains(lower(html), '<script') THEN regexp_replace(html, {q(r'(?si)<script[^>]*>.*?</script>')}, '', 'g') ELSE html END"
+    src = f"SELECT final_url AS url, 'text/html' AS content_type, NULL::VARCHAR AS last_modified, {strip} AS body, 0 AS seq FROM ({rendered_pages('(' + enriched_pages() + ')')})"
+    return rewrite_pages_sql(src)
+
+
+def q_rewrite_rendered() -> str:
+    return (f"SELECT site, url, offline_path AS path, out_size AS size, out_hash AS hash, out_hash FROM ({rendered_entries()}) "
+            f"QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY out_hash DESC) = 1")
+
+
+def q_rendered_frontier() -> str:
+    src = f"({rendered_pages('(' + enriched_pages() + ')')})"
+    nav = _link_stage(_tag_stage(f"SELECT * FROM {src}", "html", "final_url", False, "nv"), NAVIGATION, ()).sql(f"SELECT site, {serialize('d')} AS url, d_path AS path FROM {{prev}}")
+    asked = rendered_requests_sql(src)
+    st = Stages(f"SELECT site, dst_url AS url FROM ({asked})", name="rf")
+    parse_abs(st, "url", "u")
+    asset = st.sql("SELECT site, url, u_path AS path FROM {prev}")
+    noise = "starts_with(path, '/cdn-cgi/') OR contains(path, '/__cf_') OR contains(path, 'cloudflareinsights') OR ends_with(path, '/rum')"
+    route = "NOT contains(regexp_extract(lower(path), '([^/]*)$', 1), '.') OR ends_with(lower(path), '.html') OR ends_with(lower(path), '.htm')"
+    return (f"SELECT site, url, max(kind) AS kind FROM (SELECT site, url, 'asset' AS kind FROM ({asset}) WHERE NOT ({noise}) UNION ALL "
+            f"SELECT site, url, 'route' FROM ({nav}) WHERE {route}) f WHERE NOT EXISTS (SELECT 1 FROM ({q_rewrite_rendered()}) e WHERE e.site = f.site AND e.url = f.url) GROUP BY site, url")
+
+
 # --------------------------------------------------------------------------
 # Robots
 def rules_sql() -> str:
@@ -621,18 +719,15 @@ def q_robots_filter() -> str:
 
 
 def asset_candidates() -> str:
-    from mirrorline.plans.queries import NOISE_PATHS
     st = Stages("SELECT url FROM pages", name="ac")
     parse_abs(st, "url", "u")
     st.where("u_ok")
-    return st.sql(f"SELECT {site_of('u_host')} AS site, u_host AS host, unnest(list_concat([u_path], {arr(NOISE_PATHS)})) AS path FROM {{prev}}")
+    return st.sql(f"SELECT {site_of('u_host')} AS site, u_host AS host, unnest(list_concat([u_path], {arr(ASSET_PATHS)})) AS path FROM {{prev}}")
 
 
 def q_noise_filter() -> str:
-    from mirrorline.operators import robots as RB
-    cond = " OR ".join([f"starts_with(path, {q(p)})" for p in RB.NOISE_PREFIXES]
-                       + [f"contains(path, {q(c)})" for c in RB.NOISE_CONTAINS]
-                       + [f"ends_with(path, {q(s)})" for s in RB.NOISE_SUFFIXES])
+    cond = ("starts_with(path, '/cdn-cgi/') OR contains(path, '/__cf_') OR contains(path, 'cloudflareinsights') "
+            "OR ends_with(path, '/rum')")
     return f"SELECT * FROM ({asset_candidates()}) WHERE NOT ({cond})"
 
 
@@ -649,13 +744,20 @@ def plain_links(where: str = "TRUE", name: str = "pl") -> str:
     return links_sql(src, name).sql(f"SELECT site, {serialize('d')} AS url, tag FROM {{prev}}")
 
 
+def old_visited() -> str:
+    st = Stages("SELECT * FROM pages", name="gv")
+    parse_abs(st, "url", "u")
+    gone = st.sql(f"SELECT {site_of('u_host')} AS site, 'https://' || u_host || '/gone/' || CAST(page_id AS VARCHAR) AS url FROM {{prev}}")
+    return f"SELECT site, url FROM ({plain_links('page_id % 4 = 0', 'ov')}) UNION ALL SELECT site, url FROM ({gone})"
+
+
 def q_frontier() -> str:
     return (f"SELECT DISTINCT site, url FROM ({plain_links()}) l WHERE NOT EXISTS "
-            f"(SELECT 1 FROM ({plain_links('page_id % 4 = 0', 'ov')}) v WHERE v.site = l.site AND v.url = l.url)")
+            f"(SELECT 1 FROM ({old_visited()}) v WHERE v.site = l.site AND v.url = l.url)")
 
 
 def q_visited_union() -> str:
-    return (f"SELECT site, url FROM ({plain_links('page_id % 4 = 0', 'ov')}) UNION "
+    return (f"SELECT site, url FROM ({old_visited()}) UNION "
             f"SELECT site, url FROM ({plain_links()})")
 
 
@@ -679,29 +781,54 @@ def q_reachable() -> str:
 
 # --------------------------------------------------------------------------
 # Manifest, statistics, fetch log, features
-def mirror_plain_sql() -> str:
-    """Mirror rows of the plain captures (all pages): rewritten content."""
-    st = Stages(captures_from_pages(), name="mp")
-    parse_abs(st, "url", "u")
-    st.where("u_ok")
-    typed = st.sql(f"SELECT {serialize('u')} AS url, {site_of('u_host')} AS site, "
-                   f"{offline_path('u_path', 'u_query')} AS offline_path FROM {{prev}}")
-    rw = rewrite_pages_sql(captures_from_pages())
-    return (f"SELECT t.site, t.offline_path, t.url, 'page' AS rtype, r.content, r.size, r.hash, "
-            f"NULL::VARCHAR AS last_modified, r.out_hash, c.seq FROM ({typed}) t JOIN ({rw}) r ON t.url = r.url "
-            f"JOIN (SELECT url AS k, max(seq) AS seq FROM ({mirror_seq()}) GROUP BY url) c ON c.k = t.url")
+def repeated(source_sql: str) -> str:
+    bare = "regexp_replace(url, '^(https?://)www[.]', '\\1')"
+    twin = f"CASE WHEN {bare} <> url THEN {bare} ELSE regexp_replace(url, '^(https?://)', '\\1www.') END"
+    return (f"SELECT * FROM ({source_sql}) UNION ALL "
+            f"SELECT url, status, content_type, last_modified, body || '<p>again</p>', seq + 1000000000 FROM ({source_sql}) WHERE seq % 13 = 0 UNION ALL "
+            f"SELECT {twin}, status, content_type, last_modified, body, seq + 2000000000 FROM ({source_sql}) WHERE seq % 17 = 0")
 
 
-def mirror_seq() -> str:
-    st = Stages(captures_from_pages(), name="ms")
-    parse_abs(st, "url", "u")
-    st.where("u_ok")
-    return st.sql(f"SELECT {serialize('u')} AS url, seq FROM {{prev}}")
+def mirror_plain_sql(source: str | None = None) -> str:
+    """Mirror rows (every capture): all of the inputs are pages."""
+    return f"SELECT *, 'page' AS rtype FROM ({rewrite_pages_sql(source or repeated(captures_from_pages()))})"
+
+
+def entries_sql(source: str | None = None) -> str:
+    return (f"SELECT site, url, offline_path AS path, size, hash, last_modified AS mtime, rtype, out_hash, seq FROM ({mirror_plain_sql(source)}) "
+            f"QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY seq DESC, out_hash DESC) = 1")
+
+
+def files_sql() -> str:
+    return (f"SELECT site, offline_path AS path, url, content, seq FROM ({mirror_plain_sql()}) "
+            f"QUALIFY row_number() OVER (PARTITION BY site, offline_path ORDER BY seq DESC, url DESC) = 1")
 
 
 def q_manifest_record() -> str:
-    return (f"SELECT site, url, offline_path AS path, size, hash, last_modified AS mtime, rtype, out_hash, seq "
-            f"FROM ({mirror_plain_sql()})")
+    return entries_sql()
+
+
+def q_write_manifest() -> str:
+    return entries_sql(captures_from_pages())
+
+
+def q_read_manifest() -> str:
+    return entries_sql()
+
+
+def q_manifest_lookup() -> str:
+    return (f"SELECT l.site, l.url, e.rtype, e.path FROM (SELECT DISTINCT site, url FROM ({plain_links()})) l "
+            f"LEFT JOIN ({entries_sql()}) e ON l.site = e.site AND l.url = e.url")
+
+
+def q_manifest_init() -> str:
+    return (f"SELECT site, 1 AS version, seed_url AS start_url, CASE WHEN length(site) % 2 = 0 THEN '1700000000' ELSE '1800000000' END AS created_at, "
+            f"'1800000000' AS updated_at FROM ({seeds_sql()})")
+
+
+def q_mirror_roundtrip() -> str:
+    return (f"SELECT e.site, e.url, e.path, coalesce('sha256:' || sha256(f.content) = e.out_hash, false) AS fresh FROM ({entries_sql()}) e "
+            f"LEFT JOIN ({files_sql()}) f ON e.site = f.site AND e.path = f.path")
 
 
 def q_content_hash() -> str:
@@ -710,20 +837,16 @@ def q_content_hash() -> str:
 
 
 def disk_files_sql() -> str:
-    st = Stages("SELECT * FROM pages WHERE page_id % 11 <> 0", name="df")
-    parse_abs(st, "url", "u")
-    return st.sql(f"SELECT {site_of('u_host')} AS site, {offline_path('u_path', 'u_query')} AS path, "
-                  f"CASE WHEN page_id % 7 = 0 THEN html || 'x' ELSE html END AS content FROM {{prev}}")
+    return f"SELECT site, path, CASE WHEN seq % 7 = 0 THEN content || 'x' ELSE content END AS content FROM ({files_sql()}) WHERE seq % 11 <> 0"
 
 
 def freshness_sql() -> str:
-    return (f"SELECT e.site, e.url, e.path, e.hash, e.rtype, coalesce('sha256:' || sha256(f.content) = e.hash, false) "
-            f"AS fresh FROM ({q_manifest_record()}) e LEFT JOIN ({disk_files_sql()}) f "
-            f"ON e.site = f.site AND e.path = f.path")
+    return (f"SELECT e.site, e.url, e.path, e.out_hash, e.rtype, coalesce('sha256:' || sha256(f.content) = e.out_hash, false) "
+            f"AS fresh FROM ({entries_sql()}) e LEFT JOIN ({disk_files_sql()}) f ON e.site = f.site AND e.path = f.path")
 
 
 def q_freshness() -> str:
-    return f"SELECT site, url, path, hash, fresh FROM ({freshness_sql()})"
+    return f"SELECT site, url, path, out_hash, fresh FROM ({freshness_sql()})"
 
 
 def plan_sql() -> str:
@@ -733,7 +856,7 @@ def plan_sql() -> str:
     parse_abs(st, "url", "u")
     durls = st.sql("SELECT site, url, u_path AS path FROM {prev}")
     allowed = robots_filter_sql(durls)
-    return (f"WITH d AS ({disc}), v AS (SELECT DISTINCT site, url FROM ({plain_links('page_id % 4 = 0', 'ov')})), "
+    return (f"WITH d AS ({disc}), v AS (SELECT DISTINCT site, url FROM ({old_visited()})), "
             f"f AS ({freshness_sql()}), a AS ({allowed}) "
             f"SELECT d.site, d.url, CASE WHEN v.url IS NOT NULL THEN 'visited' WHEN coalesce(f.fresh, false) THEN 'fresh' "
             f"WHEN NOT coalesce(a.allowed, true) THEN 'robots' ELSE 'fetch' END AS decision, "
@@ -763,24 +886,30 @@ def stats_sql(rows_sql: str) -> str:
             f"CAST(sum(err) AS BIGINT) AS errors FROM ({rows_sql}) GROUP BY site)")
 
 
-def q_site_stats() -> str:
-    ok = f"SELECT * FROM ({mixed_captures()}) WHERE status = 200"
-    dim = q_url_dim(ok)
-    st = Stages(ok, name="ss")
+def saved_sizes(source: str) -> str:
+    st = Stages(f"SELECT * FROM ({source}) WHERE status = 200", name="ss")
     parse_abs(st, "url", "u")
     st.where("u_ok")
-    sizes = st.sql(f"SELECT {serialize('u')} AS url, CAST(octet_length(encode(body)) AS BIGINT) AS size FROM {{prev}}")
-    st2 = Stages(f"SELECT * FROM ({mixed_captures()}) WHERE status <> 200", name="se")
+    return st.sql(f"SELECT {serialize('u')} AS url, {site_of('u_host')} AS site, {classify('content_type', 'u_path')} AS rtype, "
+                  f"CAST(octet_length(encode(body)) AS BIGINT) AS size FROM {{prev}} QUALIFY row_number() OVER (PARTITION BY {serialize('u')} ORDER BY seq DESC) = 1")
+
+
+def q_site_stats() -> str:
+    source = repeated(mixed_captures())
+    st2 = Stages(f"SELECT * FROM ({source}) WHERE status <> 200", name="se")
     parse_abs(st2, "url", "u")
     errs = st2.sql(f"SELECT {site_of('u_host')} AS site FROM {{prev}}")
-    rows = (f"SELECT d.site, d.rtype, s.size, 0 AS err FROM ({dim}) d JOIN ({sizes}) s ON d.url = s.url "
-            f"UNION ALL SELECT site, NULL, 0, 1 FROM ({errs})")
-    return stats_sql(rows)
+    return stats_sql(f"SELECT site, rtype, size, 0 AS err FROM ({saved_sizes(source)}) UNION ALL SELECT site, NULL, 0, 1 FROM ({errs})")
+
+
+def q_run_stats() -> str:
+    return stats_sql(f"SELECT site, rtype, size, 0 AS err FROM ({saved_sizes(mixed_captures())}) UNION ALL "
+                     f"SELECT {page_site()}, NULL, 0, 1 FROM ({outcomes_sql()}) WHERE outcome IN ('failed', 'exhausted')")
 
 
 def q_skipped_stats() -> str:
     plan = plan_sql()
-    mirror = mirror_plain_sql()
+    mirror = mirror_plain_sql()  # every capture, as the run saves them
     rows = (f"SELECT p.site, m.rtype, m.size, 0 AS err FROM ({plan}) p JOIN ({mirror}) m "
             f"ON p.site = m.site AND p.url = m.url WHERE p.decision = 'fetch' "
             f"UNION ALL SELECT site, rtype, 0, 0 FROM ({plan}) WHERE decision = 'fresh'")
@@ -789,8 +918,8 @@ def q_skipped_stats() -> str:
 
 def attempts_sql() -> str:
     status = "CASE event_type " + " ".join(
-        f"WHEN {q(et)} THEN {('NULL' if st is None else st)}" for et, st in D.STATUS_BY_EVENT) + " END"
-    return (f"SELECT 'https://shop.example.com/u/' || CAST(user_id AS VARCHAR) AS url, "
+        f"WHEN {q(et)} THEN {('NULL' if st is None else st)}" for et, st in EVENT_STATUS) + " END"
+    return (f"SELECT 'https://shop' || CAST(user_id % 5 AS VARCHAR) || '.example.com/u/' || CAST(user_id AS VARCHAR) AS url, "
             f"CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS attempt, "
             f"CAST({status} AS INTEGER) AS status FROM events")
 
@@ -827,22 +956,40 @@ def count_of(text: str, needle: str) -> str:
     return f"CAST((length({text}) - length(replace({text}, {q(needle)}, ''))) / {len(needle)} AS INTEGER)"
 
 
+def spa_pages() -> str:
+    head = "<!doctype html><html><head><title>t</title></head><body>"
+    pid = "CAST(page_id AS VARCHAR)"
+    return (f"SELECT page_id, url, CASE page_id % 6 WHEN 1 THEN html || '<div data-reactroot></div>' "
+            f"WHEN 2 THEN {q(head + '<div id="app"></div><script type="module" src="/a.js"></script><p>')} || repeat('x', CAST(page_id * 7 % 700 AS INTEGER)) || '</p>' "
+            f"WHEN 3 THEN {q(head + "<script>for(i=0;i<n;i++){}</script><script src=/b.js></script><script type='module'></script>")} || repeat('y ', CAST(page_id * 5 % 120 AS INTEGER)) "
+            f"WHEN 4 THEN {q(head + '<main id=q-app></main><p>&eacute;&#8364;&ampx;')} || repeat('z', CAST(page_id % 50 AS INTEGER)) "
+            f"WHEN 5 THEN {q(head + '<div id="root"></div><noscript>')} || {pid} || '</noscript>' ELSE html END AS html FROM pages")
+
+
+RAW_ELEMENT = r"(?is)<(?:script|style)(?:[\s/][^>]*)?>(.*?)(?:</(?:script|style)\s*>|$)"
+
+
+def body_text(st: Stages) -> None:
+    """_dec: text of _nc; that of script and style elements whole."""
+    seen = f"regexp_replace(regexp_replace(p, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')"
+    st.add(_rp=f"list_transform(string_split_regex(_nc, {q(RAW_ELEMENT)}), lambda p: {seen})", _rr=f"regexp_extract_all(_nc, {q(RAW_ELEMENT)}, 1)")
+    st.add(_rp2=f"list_transform(_rp, lambda p: {decode_entities('p', True)})")
+    st.add(_dec="array_to_string(list_transform(range(1, len(_rp2) + 1), lambda i: _rp2[i] || coalesce(_rr[i], '')), '')")
+
+
 def spa_sql() -> str:
-    from mirrorline.operators import spa as S
-    st = Stages(enriched_pages(), name="sp")
+    st = Stages(spa_pages(), name="sp")
     st.add(lo="lower(html)")
-    marker = " OR ".join(f"contains(lo, {q(m)})" for m in H.SPA_MARKERS)
-    root_re = S.ROOT_ID_RE.replace("IDS", "|".join(H.SPA_ROOT_IDS))
+    marker = " OR ".join(f"contains(lo, {q(m)})" for m in FRAMEWORK_SIGNS)
     st.add(has_marker=f"({marker})",
            module_scripts=f"{count_of('lo', 'type=' + chr(34) + 'module' + chr(34))} + {count_of('lo', chr(39).join(['type=', 'module', '']))}",
            scripts=count_of("lo", "<script"),
-           has_root_id=f"regexp_matches(regexp_replace(html, {q(H.BLANK_RE)}, '\\1\\2\\3\\4', 'g'), {q(root_re)})",
+           has_root_id=f"regexp_matches(regexp_replace(html, {q(BLANKED)}, '\\1\\2\\3\\4', 'g'), {q(ROOT_TAG)})",
            _body=(f"CASE WHEN regexp_matches(html, {q(f'(?i)<body[{WS}/>]')}) THEN "
                   f"regexp_extract(html, {q(rf'(?is)<body(?:[{WS}/][^>]*)?>(.*)$')}, 1) "
                   f"ELSE regexp_replace(html, {q(rf'(?is)<head(?:[{WS}/][^>]*)?>.*?</head[{WS}]*>')}, '') END"))
     st.add(_nc=f"regexp_replace(_body, {q(r'(?s)<!--.*?(?:-->|$)')}, '', 'g')")
-    st.add(_vt=f"regexp_replace(regexp_replace(_nc, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')")
-    st.add(_dec=decode_entities("_vt"))
+    body_text(st)
     st.add(body_text_bytes=f"CAST(octet_length(encode({trim_ws('_dec')})) AS INTEGER)")
     st.add(spa=("has_marker OR (has_root_id AND module_scripts >= 1 AND body_text_bytes < 500) "
                 "OR (scripts >= 3 AND body_text_bytes < 200 AND module_scripts >= 1)"))
@@ -856,37 +1003,33 @@ def q_spa_features() -> str:
 
 
 def q_spa_shell() -> str:
-    mount = " OR ".join(f"contains(lower(html), {q(m)})" for m in H.SPA_MOUNT_MARKERS)
+    mount = " OR ".join(f"contains(lower(html), {q(m)})" for m in MOUNT_SIGNS)
     vt = f"regexp_replace(regexp_replace(lower(html), {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')"
     return (f"SELECT page_id, (({mount}) AND contains(lower(html), '<script') AND "
-            f"length(regexp_replace({vt}, {q(f'[{WS}]')}, '', 'g')) < 200) AS shell FROM ({enriched_pages()})")
+            f"length(regexp_replace({vt}, {q(f'[{WS}]')}, '', 'g')) < 200) AS shell FROM ({spa_pages()})")
 
 
 def seeds_sql() -> str:
-    from mirrorline.plans.queries import SEED_MODES
     first = f"SELECT {page_site()} AS site, arg_min(url, page_id) AS seed_url FROM pages GROUP BY 1"
-    return (f"SELECT site, seed_url, {pick(SEED_MODES, f'length(site) % {len(SEED_MODES)}')} AS mode "
+    return (f"SELECT site, seed_url, {pick(MODES, f'length(site) % {len(MODES)}')} AS mode "
             f"FROM ({first})")
 
 
 def q_render_plan() -> str:
-    from mirrorline.operators import spa as S
-    st = Stages(f"SELECT * FROM ({mixed_captures()}) WHERE status = 200", name="rp")
+    st = Stages(f"SELECT * FROM ({mixed_captures('(' + spa_pages() + ')')}) WHERE status = 200", name="rp")
     parse_abs(st, "url", "u")
     st.where("u_ok")
     st.add(k=serialize("u"), lo="lower(body)", html="body")
-    marker = " OR ".join(f"contains(lo, {q(m)})" for m in H.SPA_MARKERS)
-    root_re = S.ROOT_ID_RE.replace("IDS", "|".join(H.SPA_ROOT_IDS))
+    marker = " OR ".join(f"contains(lo, {q(m)})" for m in FRAMEWORK_SIGNS)
     st.add(has_marker=f"({marker})",
            module_scripts=f"{count_of('lo', 'type=' + chr(34) + 'module' + chr(34))} + {count_of('lo', chr(39).join(['type=', 'module', '']))}",
            scripts=count_of("lo", "<script"),
-           has_root_id=f"regexp_matches(regexp_replace(html, {q(H.BLANK_RE)}, '\\1\\2\\3\\4', 'g'), {q(root_re)})",
+           has_root_id=f"regexp_matches(regexp_replace(html, {q(BLANKED)}, '\\1\\2\\3\\4', 'g'), {q(ROOT_TAG)})",
            _body=(f"CASE WHEN regexp_matches(html, {q(f'(?i)<body[{WS}/>]')}) THEN "
                   f"regexp_extract(html, {q(rf'(?is)<body(?:[{WS}/][^>]*)?>(.*)$')}, 1) "
                   f"ELSE regexp_replace(html, {q(rf'(?is)<head(?:[{WS}/][^>]*)?>.*?</head[{WS}]*>')}, '') END"))
     st.add(_nc=f"regexp_replace(_body, {q(r'(?s)<!--.*?(?:-->|$)')}, '', 'g')")
-    st.add(_vt=f"regexp_replace(regexp_replace(_nc, {q(r'(?s)<[^>]*(?:>|$)')}, '', 'g'), '>', '', 'g')")
-    st.add(_dec=decode_entities("_vt"))
+    body_text(st)
     st.add(bt=f"octet_length(encode({trim_ws('_dec')}))")
     st.add(verdict=("has_marker OR (has_root_id AND module_scripts >= 1 AND bt < 500) "
                     "OR (scripts >= 3 AND bt < 200 AND module_scripts >= 1)"))
@@ -894,17 +1037,19 @@ def q_render_plan() -> str:
     s2 = Stages(seeds_sql(), name="sd")
     parse_abs(s2, "seed_url", "u")
     seeds = s2.sql(f"SELECT site, seed_url, mode, CASE WHEN u_ok THEN {serialize('u')} END AS k FROM {{prev}}")
-    on = ", ".join(q(x) for x in S.RENDER_ON)
-    off = ", ".join(q(x) for x in S.RENDER_OFF)
+    on = ", ".join(q(x) for x in MODES_ON)
+    off = ", ".join(q(x) for x in MODES_OFF)
     return (f"SELECT s.site, s.seed_url, s.mode, CASE WHEN lower(s.mode) IN ({on}) THEN true "
             f"WHEN lower(s.mode) IN ({off}) THEN false ELSE coalesce(f.verdict, false) END AS render "
             f"FROM ({seeds}) s LEFT JOIN ({feats}) f ON s.k = f.k")
 
 
 def q_seeds() -> str:
-    st = Stages("SELECT url AS seed_url FROM pages", name="sv")
+    rest = "regexp_replace(url, '^https?://', '')"
+    st = Stages(f"SELECT CASE page_id % 9 WHEN 0 THEN 'ftp://' || {rest} WHEN 1 THEN {rest} WHEN 2 THEN 'http:///x' WHEN 3 THEN '  HTTPS://' || {rest} "
+                f"WHEN 4 THEN 'https://a b/' || {rest} WHEN 5 THEN 'mailto:' || {rest} ELSE url END AS seed_url FROM pages", name="sv")
     parse_abs(st, "seed_url", "u")
-    sch = f"lower(regexp_extract({clean('seed_url')}, {q(U._SCHEME_RE)}, 1))"
+    sch = f"lower(regexp_extract({clean('seed_url')}, {q(SCHEME)}, 1))"
     reason = (f"CASE WHEN {sch} = '' THEN 'invalid url' WHEN {sch} NOT IN ('http', 'https') "
               f"THEN 'scheme must be http or https' WHEN NOT u_ok THEN 'missing or invalid host' END")
     return st.sql(f"SELECT seed_url, ({reason}) IS NULL AS ok, {reason} AS reason, u_host AS output FROM {{prev}}")
@@ -912,8 +1057,7 @@ def q_seeds() -> str:
 
 def q_bundle() -> str:
     return (f"SELECT site, count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes "
-            f"FROM ({mirror_plain_sql()}) WHERE regexp_extract(offline_path, '([^/]*)$', 1) <> '.sitegrab.json' "
-            f"GROUP BY site")
+            f"FROM ({files_sql()}) WHERE regexp_extract(path, '([^/]*)$', 1) <> 'mirror-manifest.json' GROUP BY site")
 
 
 # --------------------------------------------------------------------------
@@ -923,12 +1067,12 @@ def q_stream_visited() -> str:
 
 
 def q_stream_stats() -> str:
-    rows = f"SELECT site, rtype, size, 0 AS err FROM ({mirror_plain_sql()})"
+    rows = f"SELECT site, rtype, size, 0 AS err FROM ({mirror_plain_sql(captures_from_pages())})"
     return (f"SELECT site, pages, images, css, js, total_bytes FROM ({stats_sql(rows)})")
 
 
 def q_stream_manifest() -> str:
-    return q_manifest_record()
+    return entries_sql(captures_from_pages())
 
 
 def q_stream_frontier() -> str:
@@ -936,19 +1080,18 @@ def q_stream_frontier() -> str:
 
 
 def q_rewrite_css() -> str:
-    from mirrorline.operators import rewrite as R
     st = Stages(css_captures(), name="rc")
     parse_abs(st, "url", "u")
     st.where(f"u_ok AND {classify('content_type', 'u_path')} = 'css'")
     st.add(css_path=offline_path("u_path", "u_query"),
-           _parts=f"string_split_regex(body, {q(R.CSS_REF_RE)})",
-           _ms=f"regexp_extract_all(body, {q(R.CSS_REF_RE)}, 0)")
+           _parts=f"string_split_regex(body, {q(CSS_URL + '|' + CSS_IMPORT)})",
+           _ms=f"regexp_extract_all(body, {q(CSS_URL + '|' + CSS_IMPORT)}, 0)")
     docs = st.last
     st.select("SELECT *, unnest(range(1, len(_parts) + 1)) AS i FROM {prev}")
     st.add(m="_ms[i]", part="_parts[i]")
     st.add(imp="coalesce(starts_with(m, '@import'), false)")
-    st.add(txt=(f"CASE WHEN imp THEN regexp_extract(m, {q(R.CSS_REF_RE)}, 2) "
-                f"ELSE regexp_extract(m, {q(R.CSS_REF_RE)}, 1) END"))
+    st.add(txt=(f"CASE WHEN imp THEN regexp_extract(m, {q(CSS_URL + '|' + CSS_IMPORT)}, 2) "
+                f"ELSE regexp_extract(m, {q(CSS_URL + '|' + CSS_IMPORT)}, 1) END"))
     st.add(_ref=f"CASE WHEN m IS NULL OR starts_with(txt, 'data:') OR {skip_ref('txt')} THEN NULL ELSE txt END")
     resolve(st, "u", "_ref", "r")
     st.add(_tgt=offline_path("r_path", "r_query"))
