@@ -9,7 +9,7 @@ from .common import saved
 
 #: Bounds of a fitting sample: rows of each class, and bytes of text over all.
 ROWS_PER_CLASS = 4000
-MAX_BYTES = 16 << 20
+MAX_BYTES = 9 << 20
 
 _STEPS = 1 << 30
 
@@ -44,8 +44,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed,
     # The sample is bounded by rows_per_class, so it can be broadcast.
     rows = saved(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                  .join(F.broadcast(own.where(taken)), "doc_id"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        rows = rows.where(_share(2) < int(_STEPS * max_bytes / size))
+    sizes = sorted((r["size"], r["y"]) for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("size")).collect())
+    kept, left = F.lit(False), max_bytes
+    for k, (size, y) in enumerate(sizes):  # the smaller class first: it may take its part whole
+        part = min(size, left // (len(sizes) - k))
+        kept = kept | ((F.col("y") == y) & (_share(2) < int(_STEPS * (part / size if size else 1.0))))
+        left -= part
+    rows = rows.where(kept)
     got = sorted(((r["doc_id"], r["text"], r["y"]) for r in rows.toLocalIterator()))
     return [t for _, t, _ in got], [y for _, _, y in got]

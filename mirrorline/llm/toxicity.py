@@ -3,9 +3,9 @@
 Labels are given per document, so words are labelled first: in a toxic document
 a word is toxic if it, or its first bytes, occur in toxic documents far more
 often than in clean ones. The chain (two states per word, sentences as chains)
-is then fitted to these labelled words; its weights belong to hashed words and
-word beginnings. Forward-backward marginals are scored per document by the most
-toxic word and the expected number of toxic words, calibrated on the sample,
+is then fitted to these labelled words; its weights belong to words and word
+beginnings (by 64-bit hash). Forward-backward marginals are combined per document to the chance that some word is
+toxic, calibrated on the sample,
 and words whose marginal is at least one half give the offending offsets.
 
 The fit uses a bounded sample of labelled rows (``sample.ROWS_PER_CLASS``,
@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from .common import ALNUM, LOWER, SpanHash, char_starts, mixed, pieces, table, text_bytes, word_spans
 from .sample import labelled_sample, remainder
 
-WORD_BITS, START_BITS, START_BYTES = 18, 18, 5
+LEAST_WEIGHT = 0.1  # features of less weight are left out of the fitted model
+BEGINNINGS = (5, 7)  # bytes of a word that are features beside the whole word
 ROUNDS, RATE, DECAY = 14, 0.7, 1e-4
-MIN_SEEN, MIN_SHARE, MIN_LIFT = 5, 0.01, 12.0
+MIN_ROWS, MIN_LIFT, CHANCE = 4, 12.0, 0.3  # CHANCE: types expected to pass by chance alone
 
 # Bytes that end a sentence.
 SENTENCE_END = np.zeros(256, dtype=bool)
@@ -46,7 +47,10 @@ class Words:
         self.starts, self.stops, self.row = word_spans(ALNUM[low], ends)
         sums = hasher.prefix(low)
         self.word = hasher.spans(sums, self.starts, self.stops)
-        self.start = hasher.spans(sums, self.starts, np.minimum(self.stops, self.starts + START_BYTES))
+        self.kinds = [self.word]
+        for b in BEGINNINGS:  # a word that is no longer than the beginning has only itself
+            longer = self.stops - self.starts > b
+            self.kinds.append(np.where(longer, hasher.spans(sums, self.starts, np.minimum(self.stops, self.starts + b)), ~self.word))
         n = len(self.row)
         ends_before = np.zeros(len(data) + 1, np.int64)
         np.cumsum(SENTENCE_END[data], out=ends_before[1:])
@@ -56,8 +60,18 @@ class Words:
         self.first = np.flatnonzero(new)
         self.length = np.diff(np.concatenate((self.first, [n])))
 
-    def features(self):
-        return (self.word & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), (self.start & np.uint64((1 << START_BITS) - 1)).astype(np.int64)
+    @classmethod
+    def joined(cls, texts: list[str], size: int = 1 << 19) -> "Words":
+        """The words of many texts, hashed a few at a time (without positions)."""
+        hasher, parts, at, rows = SpanHash(), [], 0, 0
+        for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], "text", size):
+            w = cls(*text_bytes(piece.column(0)), hasher)
+            parts.append(((w.row + rows).astype(np.int32), w.first + at, w.length, *w.kinds))
+            at, rows = at + len(w.word), rows + piece.num_rows
+        out = cls.__new__(cls)
+        out.row, out.first, out.length, *out.kinds = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out.word = out.kinds[0]
+        return out
 
 
 def marginals(emission, first, length, move):
@@ -89,26 +103,44 @@ def marginals(emission, first, length, move):
     return left, right
 
 
-def _toxic_words(words: Words, y: np.ndarray) -> np.ndarray:
+def _toxic_words(words: Words, y: np.ndarray, features: list) -> np.ndarray:
     """Word labels: in toxic rows, words whose type (or beginning) lifts. A type
-    counts once for each pair of neighbouring words, so that copies of a text
-    add nothing to the words they share."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    least = max(MIN_SEEN, MIN_SHARE * n1)
+    counts once for each pair of neighbouring words and once a row, so that
+    copies of a text and words repeated in one text add nothing. Rows with a
+    labelled word are explained; the others are searched again on their own,
+    where rarer words stand out, until nothing is found. ``features``: the types
+    of each kind, and the type of each word."""
     near = np.zeros(len(words.row), np.uint64)
     near[1:] += words.word[:-1] * np.uint64(3)
     near[:-1] += words.word[1:] * np.uint64(5)
-    toxic = y[words.row].astype(bool)
+
+    def rows_of(kind, of, size, side):
+        _, at = np.unique(near[side] ^ mixed(kind[side]), return_index=True)
+        in_rows = np.unique(of[side][at].astype(np.int64) * len(y) + words.row[side][at])
+        return np.bincount(in_rows // len(y), minlength=size)
+
+    clean = [rows_of(kind, of, len(types), y[words.row] == 0) for kind, (types, of) in zip(words.kinds, features, strict=True)]
+    n0 = max(1, int((y == 0).sum()))
     out = np.zeros(len(words.row), dtype=bool)
-    for kind in (words.word, words.start):
-        types, of = np.unique(kind, return_inverse=True)
-        seen = []
-        for side in (toxic, ~toxic):
-            _, at = np.unique(near[side] ^ mixed(kind[side]), return_index=True)
-            seen.append(np.bincount(of[side][at], minlength=len(types)))
-        lift = (seen[0] / n1) / ((seen[1] + 0.5) / n0)
-        out |= ((seen[0] >= least) & (lift >= MIN_LIFT))[of]
-    return out & toxic
+    unexplained = y == 1
+    while unexplained.any():
+        n1 = int(unexplained.sum())
+        share, side = n1 / (n1 + n0), unexplained[words.row]
+        new = np.zeros(len(words.row), dtype=bool)
+        for kind, (types, of), b in zip(words.kinds, features, clean, strict=True):
+            a = rows_of(kind, of, len(types), side)
+            lift = (a / n1) / ((b + 0.5) / n0)
+            n = a + b
+            p = np.clip(a / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+            surprise = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))  # Chernoff's bound
+            new |= ((a >= MIN_ROWS) & (lift >= MIN_LIFT) & (surprise >= np.log(len(types) / CHANCE)))[of]
+        new &= (y == 1)[words.row]
+        found = np.bincount(words.row[new], minlength=len(y)) > 0
+        if not (found & unexplained).any():
+            break
+        out |= new
+        unexplained &= ~found
+    return out
 
 
 class Model:
@@ -120,37 +152,35 @@ class Model:
         self.fitted = len(set(labels)) == 2
         if not self.fitted:
             return
-        data, ends = text_bytes(pa.array(texts, pa.large_string()))
-        words = Words(data, ends, SpanHash())
-        target = _toxic_words(words, y).astype(float)
+        words = Words.joined(texts)
+        features = [(types, of.astype(np.int32)) for types, of in (np.unique(kind, return_inverse=True) for kind in words.kinds)]
+        target = _toxic_words(words, y, features).astype(float)
         self.fitted = bool(target.any())
         if not self.fitted:
             return
-        self._fit_chain(words, target)
+        self._fit_chain(words, target, features)
         self._calibrate(self._evidence(words, len(y)), y)
 
-    def _fit_chain(self, words, target):
-        f, g = words.features()
-        self.bias, self.by_word, self.by_start = -4.0, np.zeros(1 << WORD_BITS), np.zeros(1 << START_BITS)
+    def _fit_chain(self, words, target, features):
+        self.bias, weights = -4.0, [np.zeros(len(types)) for types, _ in features]
         self.move = np.zeros((2, 2))
-        squares = [np.full(1 << WORD_BITS, 1e-6), np.full(1 << START_BITS, 1e-6)]
+        squares = [np.full(len(types), 1e-6) for types, _ in features]
+        counts = [np.bincount(of, minlength=len(types)) for types, of in features]
         inner = np.ones(len(target), dtype=bool)
         inner[words.first] = False
         to = np.flatnonzero(inner)
         seen = 2 * target[to - 1] + target[to]
         observed = np.bincount(seen.astype(int), minlength=4).reshape(2, 2)
-        count_w = np.bincount(f, minlength=1 << WORD_BITS)
-        count_s = np.bincount(g, minlength=1 << START_BITS)
         for _ in range(ROUNDS):
             move = np.exp(self.move)
-            emission = self.bias + self.by_word[f] + self.by_start[g]
+            emission = self.bias + sum(w[of] for w, (_, of) in zip(weights, features, strict=True))
             left, right = marginals(emission, words.first, words.length, move)
             odds = left * right
             gap = target - odds / (1 + odds)
-            for weights, of, count, sq in ((self.by_word, f, count_w, squares[0]), (self.by_start, g, count_s, squares[1])):
-                step = np.bincount(of, weights=gap, minlength=len(weights)) - DECAY * count * weights
+            for w, (_, of), count, sq in zip(weights, features, counts, squares, strict=True):
+                step = np.bincount(of, weights=gap, minlength=len(w)) - DECAY * count * w
                 sq += step * step
-                weights += RATE * 2 * step / np.sqrt(sq)
+                w += RATE * 2 * step / np.sqrt(sq)
             self.bias += RATE * float(np.clip(gap.mean() * 20, -1, 1))
             if len(to):  # expected transitions
                 w = np.exp(np.clip(emission[to], -30, 30)) * right[to]
@@ -160,29 +190,36 @@ class Model:
                 step = (observed - expected) / (observed + expected + 10)
                 step[0, 0] = 0.0  # the fixed reference
                 self.move += 0.5 * step
+        self.weights = []
+        for w, (types, _) in zip(weights, features, strict=True):
+            kept = np.abs(w) >= LEAST_WEIGHT
+            kept[0] = True
+            self.weights.append((types[kept], w[kept]))
 
     def word_marginals(self, words: Words) -> np.ndarray:
-        f, g = words.features()
-        left, right = marginals(self.bias + self.by_word[f] + self.by_start[g], words.first, words.length, np.exp(self.move))
+        emission = np.full(len(words.row), self.bias)
+        for kind, (types, weights) in zip(words.kinds, self.weights, strict=True):
+            at = np.minimum(np.searchsorted(types, kind), len(types) - 1)
+            emission += np.where(types[at] == kind, weights[at], 0.0)
+        left, right = marginals(emission, words.first, words.length, np.exp(self.move))
         odds = left * right
         return odds / (1 + odds)
 
     def _evidence(self, words, rows, p=None):
-        """Per row: logit of the largest marginal and log of the expected count."""
+        """Per row: logit that some word is toxic, from marginals over a quarter
+        (the many small ones of a long clean text would add up to one)."""
         p = self.word_marginals(words) if p is None else p
-        most = np.full(rows, 1e-6)
-        np.maximum.at(most, words.row, p)
-        most = np.clip(most, 1e-6, 1 - 1e-6)
-        total = np.bincount(words.row, weights=np.where(p > 0.25, p, 0.0), minlength=rows)
-        return np.stack((np.log(most / (1 - most)) / 4, np.log1p(total)), axis=1)
+        none = np.bincount(words.row, weights=np.where(p > 0.25, np.log1p(-np.minimum(p, 1 - 1e-9)), 0.0), minlength=rows)
+        some = np.clip(-np.expm1(none), 1e-3, 1 - 1e-3)
+        return np.log(some / (1 - some))[:, None]
 
     def _calibrate(self, x, y):
         """Logistic regression by Newton steps, with classes as the sample has them."""
         x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-        w = np.zeros(3)
+        w = np.zeros(2)
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p) + 1e-3)[:, None]).T @ x + 1e-2 * np.eye(3)
+            h = (x * (p * (1 - p) + 1e-3)[:, None]).T @ x + 1e-2 * np.eye(2)
             w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
         self.calibration = w
 
@@ -194,7 +231,7 @@ class Model:
         words = Words(data, ends, hasher)
         p = self.word_marginals(words)
         x = self._evidence(words, rows, p)
-        s = 1 / (1 + np.exp(-np.clip(x @ self.calibration[:2] + self.calibration[2], -30, 30)))
+        s = 1 / (1 + np.exp(-np.clip(x[:, 0] * self.calibration[0] + self.calibration[1], -30, 30)))
         bad = np.flatnonzero(p >= 0.5)
         return s, np.stack((words.row[bad], words.starts[bad], words.stops[bad]), axis=1)
 
