@@ -37,7 +37,7 @@ from .common import SpanHash, mixed, pieces, saved, stored, table, text_bytes, w
 
 LENGTH = 200
 GRAM = 40
-HOT = 1000
+HOT = 20_000  # stretches of one anchor that a task sorts (some 6 MB)
 SHALLOW = 64
 CHUNK = 1 << 21
 _PLACE = np.uint64((1 << 31) - 1)
