@@ -25,9 +25,14 @@ def _lookup(names, raws, name: str):
 
 def _page_frame(captures: DataFrame, url_col: str = "url") -> DataFrame:
     """Parsed page URL (`_u`) and its type; rows with unusable URLs drop out."""
-    return (captures
-            .withColumn("_u", U.parse_absolute(F.col(url_col)))
-            .where(F.col("_u").isNotNull()))
+    return _once(captures, "_u", U.parse_absolute(F.col(url_col))).where(F.col("_u").isNotNull())
+
+
+def _once(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column that is computed once per row, however many filters
+    and projections use it: a one-element explode, through which the optimizer
+    pushes no filter on the new column and copies no expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def html_pages(captures: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def _links_from_tags(tags: DataFrame, pairs, srcset_pairs) -> DataFrame:
              .select("src_url", "site", "_host", "_base", "pos", "tag",
                      F.explode(_candidates(pairs, srcset_pairs)).alias("_c"))
              .where(F.col("_c").isNotNull() & F.col("_c.value").isNotNull()))
-    resolved = cands.withColumn("_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
+    resolved = _once(cands, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
     return (resolved
             .where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site", "tag",
@@ -149,7 +154,7 @@ def extract_css_refs(captures: DataFrame) -> DataFrame:
             F.transform("_urls", lambda v, i: U.nstruct(attr=F.lit("url"), pos=i, value=v)),
             F.transform("_imports", lambda v, i: U.nstruct(attr=F.lit("import"), pos=i, value=v)))).alias("_c"))
     refs = refs.where(~F.col("_c.value").startswith("data:"))
-    resolved = refs.withColumn("_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
+    resolved = _once(refs, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
     return (resolved.where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site",
                     F.col("_c.attr").alias("attr"), F.col("_c.pos").cast("int").alias("pos")))

@@ -86,6 +86,9 @@ def test_every_branch_is_taken(spark):
     assert all(totals)
 
 
-def test_url_work_is_not_repeated_in_the_plan(spark):
-    plan = _plan(E.queries()["site_summary"](spark, SF))
-    assert plan.count("posexplode") <= 1 or plan.count("Generate posexplode") <= 2
+def test_resolution_stands_once_in_the_plan(spark):
+    """The pattern of an absolute URL, five times in one parse: for the page, the
+    base and the link, not again in filters or projections."""
+    from mirrorline.functions import urls as U
+    plan = _plan(E.queries()["extract_links"](spark, SF))
+    assert "Exchange" not in plan and plan.count(U._ABS_RE) == 15
