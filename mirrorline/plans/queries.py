@@ -319,7 +319,7 @@ def q_plan_incremental(spark, sf):
 def q_skipped_stats(spark, sf):
     plan = _plan(spark, sf)
     fetched = plan.where("decision = 'fetch'").select("site", "url").join(
-        _mirror_plain(spark, sf).select("site", "url", "rtype", "size"), ["site", "url"])
+        _entries(spark, sf).select("site", "url", "rtype", "size"), ["site", "url"])  # a URL counts once
     return site_stats(fetched.select("site", "rtype", "size"), skipped=M.skipped_stats(plan))
 
 

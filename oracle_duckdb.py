@@ -909,7 +909,7 @@ def q_run_stats() -> str:
 
 def q_skipped_stats() -> str:
     plan = plan_sql()
-    mirror = mirror_plain_sql()  # every capture, as the run saves them
+    mirror = entries_sql()
     rows = (f"SELECT p.site, m.rtype, m.size, 0 AS err FROM ({plan}) p JOIN ({mirror}) m "
             f"ON p.site = m.site AND p.url = m.url WHERE p.decision = 'fetch' "
             f"UNION ALL SELECT site, rtype, 0, 0 FROM ({plan}) WHERE decision = 'fresh'")
