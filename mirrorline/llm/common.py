@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 #: Text bytes that a Python task looks at in one piece (a longer text is one piece).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 # Word classes of the query contracts, as byte tables of UTF-8
 # (every byte from 0x80 belongs to a non-ASCII character, a word character).

@@ -236,11 +236,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``docs`` with one row of each near-duplicate group: that of the smallest
     id (of rows that share it, the one of smallest text hash, once)."""
     _, of_fp = _grouped(docs, text, doc_id, shingle, max_distance)
-    kept = saved(of_fp.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct())
-    rows = docs.withColumn("_own_hash", F.xxhash64(F.col(text).cast("string"))).withColumn("_own_id", F.col(doc_id).cast("bigint"))
-    rows = rows.join(kept, (F.col("_own_hash") == F.col("_hash")) & F.col("_own_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = Window.partitionBy("_own_id", "_own_hash").orderBy("_own_id")
-    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+
+    def key(id_, hash_):  # without nulls, so that the join and the window share one exchange
+        return [F.coalesce(id_, F.lit(0).cast("bigint")).alias("_id"), id_.isNull().alias("_no_id"), hash_.alias("_hash")]
+
+    kept = saved(of_fp.select(*key(F.col("first.doc_id"), F.col("first.text_hash"))).distinct())
+    rows = docs.select("*", *key(F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text).cast("string"))))
+    names = ["_id", "_no_id", "_hash"]
+    once = Window.partitionBy(*names).orderBy("_id")
+    return (rows.join(kept, names, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
