@@ -44,9 +44,19 @@ def captures_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def load_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a captures table with its fixed schema (never inferred)."""
-    return spark.read.schema(CAPTURES_SCHEMA).format(fmt).load(path)
+def load_captures(spark: SparkSession, path: str, fmt: str = "parquet", binary: bool = False) -> DataFrame:
+    """Read a captures table with its fixed schema (never inferred). ``binary``:
+    bodies are bytes, as images and fonts need (see ``build_mirror``)."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if binary and f.name == "body" else f for f in CAPTURES_SCHEMA.fields])
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def text_bodies(captures: DataFrame) -> DataFrame:
+    """Captures with binary bodies read as UTF-8, U+FFFD for malformed bytes: what
+    the link extraction takes."""
+    if dict(captures.dtypes)["body"] != "binary":
+        return captures
+    return captures.withColumn("body", F.make_valid_utf8(F.col("body").cast("string")))
 
 
 def successful(captures: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from mirrorline.operators import fetchlog as FL
 from mirrorline.operators import manifest as M
 from mirrorline.operators import robots as RB
 from mirrorline.operators import spa as S
+from mirrorline.operators.extract import extract_links
 from mirrorline.operators.rewrite import build_mirror
 from mirrorline.operators.stats import site_stats
 from mirrorline.operators.url_dim import url_dim
 from mirrorline.sources import mirror as MS
+from mirrorline.sources.captures import load_captures, text_bodies
 
 
 def _allowed(spark, rules, paths):
@@ -92,6 +94,14 @@ def test_binary_bodies(spark):
     assert bytes(got["https://a.b/"].content).decode() == '<a href="x/index.html">\ufffd</a>'
 
 
+def test_binary_captures_are_read_and_extracted(spark, tmp_path):
+    rows = [("https://a.b/", 200, "text/html", None, b"\xff<a href=\"/x\">", 2)]
+    spark.createDataFrame(rows, CAPTURE.replace("body string", "body binary")).write.parquet(str(tmp_path / "c"))
+    caps = load_captures(spark, str(tmp_path / "c"), binary=True)
+    assert dict(caps.dtypes)["body"] == "binary"
+    assert [r.dst_url for r in extract_links(text_bodies(caps)).collect()] == ["https://a.b/x"]
+
+
 def test_site_stats_counts_a_url_once(spark):
     rows = [("https://a.b/", 200, "text/html", None, "12345", 1), ("https://a.b/#f", 200, "text/html", None, "123", 2)]
     caps = spark.createDataFrame(rows, CAPTURE)
