@@ -22,7 +22,6 @@ input columns of these names.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -24,7 +24,6 @@ import io
 import re
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
