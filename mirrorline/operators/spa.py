@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.urls import WS, let, nstruct, trim_ws
+from ..functions.urls import WS, let, trim_ws
 
 # Render modes accepted by the seed table.
 RENDER_ON = ("on", "yes", "true")
