@@ -37,8 +37,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # longest runs, so the shorter ones that fai
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-PERCENT = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9+/_.=~-]*){2,}")
-UNICODE = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:\\u[0-9A-Fa-f]{4}[A-Za-z0-9+/_.=~-]*){2,}")
+PERCENT = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9+/_.=~-]*)+")
+UNICODE = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:\\u[0-9A-Fa-f]{4}[A-Za-z0-9+/_.=~-]*)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_INFLATED = 64 << 20
 

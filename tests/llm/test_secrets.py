@@ -52,6 +52,15 @@ def test_layers_map_to_the_outer_run(name):
     assert (9, 0, 9 + len(run)) in found and base == []
 
 
+ONE_ESCAPE = [f"password{mark}hunter2hunter" for mark in ("%3D", "%3a", "%253D", "%25253a", r"\u003d", r"\u003A", r"\u005cu003d", r"\u005Cu003a", r"%5Cu003d", r"\u00253D")]
+
+
+@pytest.mark.parametrize("run", ONE_ESCAPE)
+def test_one_escape_is_enough(run):
+    base, found = secrets.find_in_text(f"ñ before {run} after")
+    assert (9, 0, 9 + len(run)) in found and base == []
+
+
 def test_clean_runs_and_cycles():
     words = "andtheonlyverylongwordofthistext " + B64(bytes(range(128, 200))) + " %41%42%43 \\u0041\\u0042"
     assert secrets.find_in_text(words)[1] == []
