@@ -1,10 +1,12 @@
 """Secret scans with a recursive decoding worklist.
 
-Every layer of a text is scanned for the base kinds. Encoded runs inside a layer
-(percent escapes, ``\\uXXXX`` escapes, base64, and compressed bytes inside
-base64) are unwrapped to new layers, which are scanned in turn until no layer
-is new; layers seen before end a cycle. A secret found in an inner layer is
-reported at the outermost run that held it, in characters of the text.
+Every layer of a text is scanned for the base kinds. The whole layer with its
+percent escapes decoded, the whole layer with its ``\\uXXXX`` escapes decoded (of
+both, the stretches that this changes), and the content of each base64 run (also
+compressed bytes) are new layers, which are scanned in turn until no layer is
+new; layers seen before end a cycle. A secret found behind escapes is reported at
+the characters that stand for it, one found in base64 at the outermost run that
+held it, in characters of the text.
 
 A compressed layer that opens to more than ``MAX_INFLATED`` bytes raises an
 error rather than being cut, unless the caller sets a larger bound.
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +41,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # longest runs, so the shorter ones that fai
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-PERCENT = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9+/_.=~-]*)+")
-UNICODE = re.compile(r"[A-Za-z0-9+/_.=~-]*(?:\\u[0-9A-Fa-f]{4}[A-Za-z0-9+/_.=~-]*)+")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+STRETCH = re.compile(r"""[A-Za-z0-9+/_.=~:"'%\\\x20\x09-\x0D-]+""")  # all characters that matches and encoded runs can hold
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_INFLATED = 64 << 20
 
@@ -90,45 +95,101 @@ def _from_base64(run: str, most: int) -> str | None:
     return _text_of(data)
 
 
-def _from_percent(run: str) -> str | None:
-    data = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), run.encode("utf-8"))
-    return _text_of(data)
-
-
-def _from_unicode(run: str) -> str | None:
-    units = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), run)
-    try:
-        return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le")
-    except UnicodeDecodeError:
-        return None
-
-
-def unwrapped(layer: str, most: int = MAX_INFLATED):
-    """(start, end, inner text) of every encoded run of a layer."""
-    if "%" in layer:
-        for m in PERCENT.finditer(layer):
-            yield m.start(), m.end(), _from_percent(m[0])
-    if "\\u" in layer:
-        for m in UNICODE.finditer(layer):
-            yield m.start(), m.end(), _from_unicode(m[0])
+def _percent(run: str) -> list[tuple[str, int]]:
+    """Characters of a run of percent escapes, each with the length of its
+    escapes; bytes that are no UTF-8 stay one character each."""
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [(c, 3 if c < "\x80" else 3 * len(c.encode("utf-8", "surrogateescape"))) for c in text]
+
+
+def _unicode(run: str) -> list[tuple[str, int]]:
+    units = "".join(chr(int(u, 16)) for u in run.split("\\u")[1:])
+    return [(c, 12 if c > "\uffff" else 6) for c in units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")]
+
+
+class Place:
+    """Where the characters of a layer lie in the text: each has its own start
+    and end there, or all lie in one encoded run."""
+
+    def __init__(self, starts, ends):
+        self.starts, self.ends = starts, ends
+
+    def of(self, start: int, end: int) -> tuple[int, int]:
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (self.starts[start], self.ends[end - 1])
+
+    def run(self, start: int, end: int) -> Place:
+        """The place of a layer that lies in one run of this layer."""
+        return Place(*self.of(start, end))
+
+    def key(self):
+        return (self.starts, self.ends) if isinstance(self.starts, int) else hashlib.sha256(self.starts.tobytes() + self.ends.tobytes()).digest()
+
+
+def decoded(layer: str, place: Place, escapes: re.Pattern, opened):
+    """The layer with all its escapes of one kind decoded: (text, its place) of
+    every stretch that a decoded character is in or beside. No match and no
+    encoded run leaves its stretch, and the other stretches are as they were."""
+    inside, at, n, texts, fresh = isinstance(place.starts, int), 0, 0, [], []
+    starts, ends = array("q"), array("q")
+    for m in escapes.finditer(layer):
+        chars = opened(m[0])
+        texts += layer[at:m.start()], "".join(c for c, _ in chars)
+        n += m.start() - at
+        fresh.append((n, n + len(chars)))
+        n += len(chars)
+        if not inside:
+            starts.extend(place.starts[at:m.start()])
+            ends.extend(place.ends[at:m.start()])
+            k = m.start()
+            for _, width in chars:
+                starts.append(place.starts[k])
+                k += width
+                ends.append(place.ends[k - 1])
+        at = m.end()
+    if not fresh:
+        return
+    texts.append(layer[at:])
+    if not inside:
+        starts.extend(place.starts[at:])
+        ends.extend(place.ends[at:])
+    k = 0
+    for m in STRETCH.finditer("".join(texts)):
+        while k < len(fresh) and fresh[k][1] < m.start():
+            k += 1
+        if k == len(fresh):
+            return
+        if fresh[k][0] <= m.end():
+            yield m[0], place if inside else Place(starts[m.start():m.end()], ends[m.start():m.end()])
+
+
+def unwrapped(layer: str, place: Place, most: int = MAX_INFLATED):
+    """(inner text, its place) of everything encoded in a layer."""
+    for sign, escapes, opened in (("%", PERCENT, _percent), ("\\u", UNICODE, _unicode)):
+        if sign in layer:
+            yield from decoded(layer, place, escapes, opened)
     for m in BASE64.finditer(layer):
-        yield m.start(), m.end(), _from_base64(m[0], most)
+        inner = _from_base64(m[0], most)
+        if inner is not None:
+            yield inner, place.run(m.start(), m.end())
 
 
 def find_in_text(text: str, most: int = MAX_INFLATED) -> tuple[list, list]:
     """Base matches of the text itself, and all spans with those of inner layers
-    mapped to the run of the text that holds them: (start, kind, end)."""
+    mapped to the text: (start, kind, end)."""
     base = scan(text)
-    found = set(base)
-    todo = [(a, b, inner) for a, b, inner in unwrapped(text, most) if inner is not None]
-    seen = {(a, b, inner) for a, b, inner in todo} | {(0, len(text), text)}
+    found, seen = set(base), set()
+    todo = [(text, Place(range(len(text)), range(1, len(text) + 1)))]
     while todo:
-        start, end, layer = todo.pop()
-        found.update((start, kind, end) for _, kind, _ in scan(layer))
-        for _, _, inner in unwrapped(layer, most):
-            if inner is not None and (start, end, inner) not in seen:
-                seen.add((start, end, inner))
-                todo.append((start, end, inner))
+        layer, place = todo.pop()
+        if layer is not text:
+            for start, kind, end in scan(layer):
+                start, end = place.of(start, end)
+                found.add((start, kind, end))
+        for inner, where in unwrapped(layer, place, most):
+            key = (inner, where.key())
+            if key not in seen:
+                seen.add(key)
+                todo.append((inner, where))
     return base, sorted(found)
 
 

@@ -61,6 +61,34 @@ def test_one_escape_is_enough(run):
     assert (9, 0, 9 + len(run)) in found and base == []
 
 
+SPLIT = [  # key, separator and value in several runs, or partly plain
+    "password: %68%75nter2hunter", r"password: \u0068\u0075nter2hunter", "password%22: %22hunter2hunter", r"password\u0022: \u0022hunter2hunter",
+    "password%2522: %2522hunter2hunter", r"password\u005cu0022: \u005cu0022hunter2hunter", r"password%22: \u0022hunter2hunter", r"password\u0022%20=%20\u0022hunter2hunter",
+    "p%61ssword = hunter2%68unter", "%70%61%73%73word: 'hunter2hunter"]
+
+
+@pytest.mark.parametrize("part", SPLIT)
+def test_key_separator_and_value_in_several_runs(part):
+    for head, tail in (("ñ {%C3%B1%F0%9F%98%80%FF \\ud83d\\ude00\\ud83d ", "} after"), ("/a%20b?x=1&", "&y=%2041"), ('{"a,%2C": "', '", "b": 1}')):
+        base, found = secrets.find_in_text(head + part + tail)
+        assert (len(head), 0, len(head + part)) in found, found
+        assert all(a >= len(head) and b <= len(head + part) for a, _, b in found)
+
+
+def test_base64_behind_escapes_in_part():
+    run = B64(SECRET * 3).replace("c", "%63").replace("3", "\\u0033")
+    found = secrets.find_in_text(f"ñ%20: {run} after")[1]
+    assert (6, 0, 6 + len(run)) in found and all(a >= 6 and b <= 6 + len(run) for a, _, b in found)
+    inner = B64(b"x, password%22: %22hunter2hunter, y")  # the run is reported where only it is in the text
+    assert secrets.find_in_text(f"ñ%20: {inner} after")[1] == [(6, 0, 6 + len(inner))]
+
+
+def test_deep_escapes_in_a_long_text():
+    run = "password%" + "25" * 300 + "3Dhunter2hunter"
+    text = "plain words, " * 20000
+    assert (len(text), 0, len(text + run)) in secrets.find_in_text(text + run + ", " + text)[1]
+
+
 def test_clean_runs_and_cycles():
     words = "andtheonlyverylongwordofthistext " + B64(bytes(range(128, 200))) + " %41%42%43 \\u0041\\u0042"
     assert secrets.find_in_text(words)[1] == []
