@@ -2,9 +2,11 @@
 
 Every layer of a text is scanned for the base kinds. The whole layer with its
 percent escapes decoded, the whole layer with its ``\\uXXXX`` escapes decoded (of
-both, the stretches that this changes), and the content of each base64 run (also
-compressed bytes) are new layers, which are scanned in turn until no layer is
-new; layers seen before end a cycle. A secret found behind escapes is reported at
+both, the stretches that this changes), and the content of each base64 run (on one
+line or wrapped, from any character on, also compressed bytes of one or several
+members, whole or broken) are new layers, which are scanned in turn until no
+layer is new; layers seen before end a cycle. Bytes that are no text do not end a
+layer. A secret found behind escapes is reported at
 the characters that stand for it, one found in base64 at the outermost run that
 held it, in characters of the text.
 
@@ -19,12 +21,12 @@ columns named ``secrets`` are replaced.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +47,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 STRETCH = re.compile(r"""[A-Za-z0-9+/_.=~:"'%\\\x20\x09-\x0D-]+""")  # all characters that matches and encoded runs can hold
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"  # as it is or, as in JSON, escaped
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)++)(={{0,2}})")
+BREAK = re.compile(_BREAK)
+LINE_END = re.compile(r"""[\x20\t]*(?:\r?\n|(?:\\r)?\\n|\Z)|["'`<)}\]]""")
+URL_SAFE = str.maketrans("-_", "+/")
+GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 MAX_INFLATED = 64 << 20
 
 
@@ -57,42 +65,86 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _text_of(data: bytes) -> str | None:
-    """Bytes as readable text: valid UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text) else None
-
-
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """Content of gzip or zlib bytes; None if they are neither."""
-    if not (data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
-        return None
-    try:
-        unpack = zlib.decompressobj(wbits=47)  # either header
-        out = unpack.decompress(data, most)
-    except zlib.error:
-        return None
-    if unpack.unconsumed_tail:
-        raise ValueError(f"a compressed layer opens to more than {most} bytes")
-    return out if unpack.eof else None
-
-
-def _from_base64(run: str, most: int) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    opened = _inflated(data, most)
-    while opened is not None:  # compressed more than once
-        data = opened
-        opened = _inflated(data, most)
-    return _text_of(data)
+def _compressed(data: bytes, at: int) -> bool:
+    """Whether a gzip or zlib header is there."""
+    if data[at:at + 3] == b"\x1f\x8b\x08":
+        return True
+    return len(data) > at + 2 and data[at] & 0x8F == 8 and not data[at + 1] & 0x20 and (data[at] << 8 | data[at + 1]) % 31 == 0
+
+
+def _members(data: bytes, at: int, most: int) -> tuple[bytes, int]:
+    """Content of the compressed members that follow each other from a place on,
+    and the end of the last whole one. Of a member that is broken or ends early,
+    all that opens counts."""
+    out, total, view = [], 0, memoryview(data)
+    while _compressed(data, at):
+        unpack, next_ = zlib.decompressobj(wbits=47), at  # either header
+        step = 1024
+        while not unpack.eof and next_ < len(data):
+            before = unpack.copy() if step > 1 else None
+            try:
+                part = unpack.decompress(view[next_:next_ + step], most + 1 - total)
+            except zlib.error:
+                if step == 1:
+                    return b"".join(out), at
+                unpack, step = before, 1
+                continue
+            out.append(part)
+            total += len(part)
+            if total > most:
+                raise ValueError(f"a compressed layer opens to more than {most} bytes")
+            next_ += step
+            step = min(2 * step, 1 << 20) if step > 1 else 1
+        if not unpack.eof:
+            break
+        at = min(next_, len(data)) - len(unpack.unused_data)
+    return b"".join(out), at
+
+
+def _opened(data: bytes, places, most: int):
+    """Contents of the compressed members at the places or, gzip, anywhere, and
+    of those inside them."""
+    seen, todo = set(), [(data, places)]
+    while todo:
+        data, places = todo.pop()
+        end = 0
+        for at in sorted({*places, *(m.start() for m in GZIP.finditer(data))}):
+            if at >= end and _compressed(data, at):
+                inner, end = _members(data, at, most)
+                if inner and inner not in seen:
+                    seen.add(inner)
+                    yield inner
+                    todo.append((inner, (0,)))
+
+
+def _from_base64(body: str, lines, most: int):
+    """Texts that a run of base64 characters holds. Content may begin anywhere in
+    the run (behind parts of a path, say), so all four alignments are read;
+    compressed bytes are looked for at the start of a line and after each
+    character that separates parts. Bytes that are no UTF-8 stay in the text."""
+    body = body.translate(URL_SAFE)
+    begins = {*lines, *(m.end() for m in re.finditer("[+/]", body))}
+    for k in range(4):
+        n = len(body) - k
+        n -= n % 4 == 1  # six bits are no byte
+        data = binascii.a2b_base64(body[k:k + n] + "=" * (-n % 4))
+        yield data.decode("utf-8", "surrogateescape")
+        for inner in _opened(data, [(p - k) // 4 * 3 for p in begins if p % 4 == k], most):
+            yield inner.decode("utf-8", "surrogateescape")
+
+
+def _wrapped(layer: str):
+    """(start, end, characters, starts of its lines among them) of base64 over several lines."""
+    for m in WRAPPED.finditer(layer):
+        breaks = [x.span() for x in BREAK.finditer(layer, m.start(), m.end(1))]
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end(1)]))
+        sizes, end = [b - a for a, b in lines], m.end()
+        # Other text after the last line: it is of the run if that is evidently wrapped.
+        if not m[2] and not LINE_END.match(layer, end) and not (sizes[-2] >= 60 and sizes[-2] % 4 == 0 or len(sizes) > 2 and sizes[-2] == sizes[-3]):
+            del lines[-1], sizes[-1]
+            end = lines[-1][1]
+        if len(lines) > 1:
+            yield m.start(), end, "".join(layer[a:b] for a, b in lines), [0, *accumulate(sizes[:-1])]
 
 
 def _percent(run: str) -> list[tuple[str, int]]:
@@ -167,10 +219,12 @@ def unwrapped(layer: str, place: Place, most: int = MAX_INFLATED):
     for sign, escapes, opened in (("%", PERCENT, _percent), ("\\u", UNICODE, _unicode)):
         if sign in layer:
             yield from decoded(layer, place, escapes, opened)
-    for m in BASE64.finditer(layer):
-        inner = _from_base64(m[0], most)
-        if inner is not None:
-            yield inner, place.run(m.start(), m.end())
+    runs = [(m.start(), m.end(), m[0].rstrip("="), [0]) for m in BASE64.finditer(layer)]
+    if runs:
+        runs += _wrapped(layer)
+    for start, end, body, lines in runs:
+        for inner in _from_base64(body, lines, most):
+            yield inner, place.run(start, end)
 
 
 def find_in_text(text: str, most: int = MAX_INFLATED) -> tuple[list, list]:

@@ -89,6 +89,54 @@ def test_deep_escapes_in_a_long_text():
     assert (len(text), 0, len(text + run)) in secrets.find_in_text(text + run + ", " + text)[1]
 
 
+NOISE = random.Random(5).randbytes(900)
+FILL = " ".join(f"word{i}" for i in range(40)).encode()
+
+
+def wrap(data, columns, mark="\n"):
+    run = B64(data)
+    return mark.join(run[i: i + columns] for i in range(0, len(run), columns))
+
+
+WHOLE = {
+    "second gzip member": B64(gzip.compress(FILL, mtime=0) + gzip.compress(SECRET, mtime=0)),
+    "secret over two members": B64(gzip.compress(FILL + SECRET[:12], mtime=0) + gzip.compress(SECRET[12:], mtime=0)),
+    "zlib members": B64(zlib.compress(FILL) + zlib.compress(FILL) + zlib.compress(SECRET)),
+    "bytes between members": B64(gzip.compress(FILL, mtime=0) + b"\0\0-" + gzip.compress(SECRET, mtime=0)),
+    "plain after a member": B64(gzip.compress(FILL, mtime=0) + SECRET),
+    "gzip without its end": B64(gzip.compress(SECRET + NOISE, mtime=0)[:-300]),
+    "gzip with a wrong sum": B64(gzip.compress(SECRET, mtime=0)[:-8] + b"12345678"),
+    "invalid bytes": B64(b"\xff\xfe\0\1 " + SECRET + b"\x80\0"),
+    "six bits too many": B64(SECRET + b"..") + "A",
+    **{f"{head} and {name}": head + B64(body) for head in ("callback/", "a/callback/", "xy/callback/", "xyz/callback/", "abc-", "abc_de-")
+       for name, body in (("plain", b"." + SECRET + b"."), ("gzip", gzip.compress(SECRET, mtime=0)), ("zlib", zlib.compress(SECRET)))},
+    **{f"plain at {n}, {mark!r}": wrap(b"." * (n * 3 // 4 - 9) + SECRET + FILL, n, mark) for n in (64, 76) for mark in ("\n", "\r\n", "\n  ", r"\n")},
+    **{f"{name} at {n}": wrap(pack(NOISE + SECRET), n) for n in (64, 76) for name, pack in (("gzip", gzip.compress), ("zlib", zlib.compress))},
+    "wrapped at 20 after a line": "thisisnopartofthecontent\n" + wrap(zlib.compress(NOISE[:60] + SECRET), 20),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_base64_is_read_whole(name):
+    run = WHOLE[name]
+    for head, tail in (("ñ before ", " after"), ('{"a": "', '"}'), ("https://h.", "\n")):
+        base, found = secrets.find_in_text(head + run + tail)
+        assert (len(head), 0, len(head + run)) in found and base == [], found
+        assert all(a >= len(head) and b <= len(head + run) for a, _, b in found)
+
+
+def test_the_line_after_a_run_is_not_of_it():
+    run = B64(SECRET + b"..")
+    assert secrets.find_in_text(f"{run}\nnext: words")[1] == [(0, 0, len(run))]
+
+
+def test_bound_holds_over_members():
+    run = B64(gzip.compress(b"y" * 60, mtime=0) + gzip.compress(b"z" * 60, mtime=0))
+    assert secrets.find_in_text(run, 120)[1] == []
+    with pytest.raises(ValueError, match="more than 119 bytes"):
+        secrets.find_in_text(run, 119)
+
+
 def test_clean_runs_and_cycles():
     words = "andtheonlyverylongwordofthistext " + B64(bytes(range(128, 200))) + " %41%42%43 \\u0041\\u0042"
     assert secrets.find_in_text(words)[1] == []
