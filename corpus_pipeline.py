@@ -25,8 +25,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (fitted on rows that are not held out) accepts."""
+    """Documents that the toxicity model (fitted on rows that are not held out)
+    accepts; all if the labels do not let it be fitted."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    if not model.fitted:
+        return docs
     return toxicity.tag(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
 
 

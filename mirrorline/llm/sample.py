@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ def remainder(doc_id, mod: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed,
+def weighted_sample(docs: DataFrame, labels: DataFrame, label: str, allowed,
                     rows_per_class: int = ROWS_PER_CLASS, max_bytes: int = MAX_BYTES):
-    """(texts, labels 0/1) of a sample fixed by the ids, as lists on the driver.
+    """(texts, labels 0/1, weights) of a sample fixed by the ids, as lists on the
+    driver. A row's weight is the number of its class's documents it stands for.
 
     At most about ``rows_per_class`` rows of each class and ``max_bytes`` of text:
     the share taken is worked out from the classes' counts and the bytes. Rows
@@ -40,11 +43,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed,
         part = (F.col("y") == y) & (_share(1) < int(_STEPS * min(1.0, rows_per_class / n)))
         taken = part if taken is None else taken | part
     if taken is None:
-        return [], []
+        return [], [], []
     # The sample is bounded by rows_per_class, so it can be broadcast.
     rows = saved(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                  .join(F.broadcast(own.where(taken)), "doc_id"))
-    sizes = sorted((r["size"], r["y"]) for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("size")).collect())
+    classes = rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).collect()
+    whole = {r["y"]: r["rows"] * max(1.0, counts[r["y"]] / rows_per_class) for r in classes}
+    sizes = sorted((r["size"], r["y"]) for r in classes)
     kept, left = F.lit(False), max_bytes
     for k, (size, y) in enumerate(sizes):  # the smaller class first: it may take its part whole
         part = min(size, left // (len(sizes) - k))
@@ -52,4 +57,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed,
         left -= part
     rows = rows.where(kept)
     got = sorted(((r["doc_id"], r["text"], r["y"]) for r in rows.toLocalIterator()))
-    return [t for _, t, _ in got], [y for _, _, y in got]
+    n = Counter(y for _, _, y in got)
+    return [t for _, t, _ in got], [y for _, _, y in got], [whole[y] / n[y] for _, _, y in got]
+
+
+def labelled_sample(*args, **kwargs):
+    """(texts, labels 0/1) of ``weighted_sample``."""
+    return weighted_sample(*args, **kwargs)[:2]

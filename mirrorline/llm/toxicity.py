@@ -5,7 +5,7 @@ a word is toxic if it, or its first bytes, occur in toxic documents far more
 often than in clean ones. The chain (two states per word, sentences as chains)
 is then fitted to these labelled words; its weights belong to words and word
 beginnings (by 64-bit hash). Forward-backward marginals are combined per document to the chance that some word is
-toxic, calibrated on the sample,
+toxic, calibrated on the sample with the classes weighted as the labels have them,
 and words whose marginal is at least one half give the offending offsets.
 
 The fit uses a bounded sample of labelled rows (``sample.ROWS_PER_CLASS``,
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM, LOWER, SpanHash, char_starts, mixed, pieces, table, text_bytes, word_spans
-from .sample import labelled_sample, remainder
+from .sample import remainder, weighted_sample
 
 LEAST_WEIGHT = 0.1  # features of less weight are left out of the fitted model
 BEGINNINGS = (5, 7)  # bytes of a word that are features beside the whole word
@@ -146,9 +146,10 @@ def _toxic_words(words: Words, y: np.ndarray, features: list) -> np.ndarray:
 class Model:
     """Chain weights and the calibration of document scores."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
+    def __init__(self, texts: list[str], labels: list[int], weights: list[float] | None = None):
         y = np.array(labels, np.int64)
-        self.prior = float(y.mean()) if len(y) else 0.0
+        weight = np.ones(len(y)) if weights is None else np.array(weights, float)
+        self.prior = float(np.average(y, weights=weight)) if len(y) else 0.0
         self.fitted = len(set(labels)) == 2
         if not self.fitted:
             return
@@ -159,7 +160,7 @@ class Model:
         if not self.fitted:
             return
         self._fit_chain(words, target, features)
-        self._calibrate(self._evidence(words, len(y)), y)
+        self._calibrate(self._evidence(words, len(y)), y, weight)
 
     def _fit_chain(self, words, target, features):
         self.bias, weights = -4.0, [np.zeros(len(types)) for types, _ in features]
@@ -213,14 +214,16 @@ class Model:
         some = np.clip(-np.expm1(none), 1e-3, 1 - 1e-3)
         return np.log(some / (1 - some))[:, None]
 
-    def _calibrate(self, x, y):
-        """Logistic regression by Newton steps, with classes as the sample has them."""
+    def _calibrate(self, x, y, weight):
+        """Logistic regression by Newton steps, with classes as the labels have
+        them: the sample may hold other shares of them."""
+        weight = weight / weight.mean()
         x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
         w = np.zeros(2)
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p) + 1e-3)[:, None]).T @ x + 1e-2 * np.eye(2)
-            w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+            h = (x * (weight * (p * (1 - p) + 1e-3))[:, None]).T @ x + 1e-2 * np.eye(2)
+            w += np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
         self.calibration = w
 
     def score(self, data, ends, hasher: SpanHash):
@@ -238,7 +241,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed) -> Model:
     """The model of a bounded labelled sample (see ``sample``)."""
-    return Model(*labelled_sample(docs, labels, "toxic", allowed))
+    return Model(*weighted_sample(docs, labels, "toxic", allowed))
 
 
 _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

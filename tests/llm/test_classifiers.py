@@ -105,3 +105,36 @@ def test_fitted_toxicity_on_odd_rows(odd):
 def test_toxicity_without_a_lifting_word_falls_back_to_the_share():
     model = toxicity.Model(["a b c"] * 30 + ["a b c"] * 10, [0] * 30 + [1] * 10)
     assert not model.fitted and model.prior == 0.25
+
+
+def test_calibration_does_not_move_with_the_share_sampled():
+    rnd = np.random.default_rng(4)
+    y = np.array([0] * 4000 + [1] * 400)
+    x = np.concatenate((rnd.normal(-2, 2, 4000), rnd.normal(2, 2, 400)))[:, None]
+    part = np.arange(len(y)) % 10 == 0
+    part |= y == 1  # as a sample that holds all of one class and a tenth of the other
+    model = toxicity.Model([], [])
+    model._calibrate(x, y, np.ones(len(y)))
+    full = model.calibration
+    model._calibrate(x[part], y[part], np.where(y[part] == 0, 10.0, 1.0))
+    assert np.abs(model.calibration - full).max() < 0.5
+    model._calibrate(x[part], y[part], np.ones(part.sum()))
+    assert abs(model.calibration[1] - full[1]) > 1.5  # what the weights are for
+    assert toxicity.Model(["a", "b"], [0, 1], [9.0, 1.0]).prior == pytest.approx(0.1)
+
+
+def test_sample_weights_stand_for_the_classes(spark):
+    docs = spark.range(1200).selectExpr("id doc_id", "repeat('word ', 20) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 12 = 0) toxic")
+    for bounds, whole in (((4000, 1 << 20), True), ((100, 1 << 20), False), ((4000, 12000), False)):
+        _, y, w = sample.weighted_sample(docs, labels, "toxic", F.lit(True), *bounds)
+        assert (len(y) == 1200 and set(w) == {1.0}) == whole
+        of = [sum(v for v, c in zip(w, y, strict=True) if c == k) for k in (0, 1)]
+        assert 0.7 * 1100 < of[0] < 1.3 * 1100 and 0.7 * 100 < of[1] < 1.3 * 100
+
+
+def test_unfitted_toxicity_drops_nothing(spark, tmp_path):
+    import corpus_pipeline
+    docs = spark.range(30).selectExpr("id doc_id", "concat('text ', id) text")
+    docs.selectExpr("doc_id", "1 toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 30
