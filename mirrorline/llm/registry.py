@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, pieces, quality_model, quality_rules, secrets, simhash, substrings, toxicity, warc
+from . import (decontaminate, divergence, licences, main_text, pieces, quality_model, quality_rules, secrets, simhash, substrings,
+               toxicity, vector_codes, warc)
+
 
 def pipeline(spark, sf_dir):
     """The whole of corpus_pipeline over ``documents``."""
@@ -22,6 +24,9 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_main_text": main_text.op11_main_text,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -29,4 +34,6 @@ ORACLE_SQL = {
     "op4_licence_scan": licences.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
