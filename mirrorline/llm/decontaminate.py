@@ -8,14 +8,19 @@ at once. Occurrences are located by walking back to sampled suffix positions,
 checked against the phrase, and merged to spans per document.
 
 Runs of vocabulary words shorter than the shortest phrase cannot hold an
-occurrence and are left out of the index. The benchmark is read in blocks of at
-most ``BLOCK_BYTES`` of text; each block is one pass over the documents that
-adds to the spans found so far, so no size of benchmark has to fit in memory.
+occurrence and are left out of the index. Words are looked up by hash; those of
+the runs that remain are compared by their bytes before they are indexed.
+
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text; each block is
+a search that adds to the spans found so far. After ``BLOCKS_PER_PASS`` blocks
+the documents with their spans are written to the shared folder and the blocks'
+broadcasts freed, so memory holds that many blocks, whatever the benchmark's size.
 
 Defined cases: null and empty texts (documents or items) have no words and are
-never hit; copies and repeated rows get equal results, each on its own; items
-with equal phrases are all reported; an item of fewer words than a phrase is
-one phrase; empty tables give empty or clean results. Documents may carry any
+never hit; an item with a null id hits like any other but is not named; copies
+and repeated rows get equal results, each on its own; items with equal phrases
+are all reported; an item of fewer words than a phrase is one phrase; empty
+tables give empty or clean results. Documents may carry any
 other columns; the operator adds ``n_words``, ``spans`` and ``items``, dropping
 input columns of these names.
 """
@@ -29,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, SpanHash, char_starts, pieces, table, text_bytes, word_spans
+from .common import ALNUM, LOWER, SpanHash, char_starts, pieces, stored, table, text_bytes, word_spans
 
 PHRASE = 10
 BLOCK_BYTES = 16 << 20
+BLOCKS_PER_PASS = 4
 SAMPLE = 16
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -40,29 +46,51 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 
 def _words(data, ends, hasher):
-    """Lower-cased words: byte starts, byte ends, row and 64-bit hash of each."""
+    """Lower-cased text and its words: byte starts, byte ends, row and 64-bit hash."""
     data = LOWER[data]
     starts, stops, row = word_spans(ALNUM[data], ends)
-    return starts, stops, row, hasher.spans(hasher.prefix(data), starts, stops)
+    return data, starts, stops, row, hasher.spans(hasher.prefix(data), starts, stops)
+
+
+def equal_spans(a, a_starts, a_stops, b, b_starts, b_stops) -> np.ndarray:
+    """Whether byte ranges of two texts are equal, pair by pair."""
+    size = a_stops - a_starts
+    same = size == b_stops - b_starts
+    at = np.flatnonzero(same)
+    size = size[at]
+    if len(at):
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differ = a[np.repeat(a_starts[at], size) + inside] != b[np.repeat(b_starts[at], size) + inside]
+        same[at[np.repeat(np.arange(len(at)), size)[differ]]] = False
+    return same
 
 
 class Phrases:
-    """Distinct phrases of a block of items over an integer vocabulary (from 1)."""
-
-    def __init__(self, items: list[tuple[str, str]], length: int):
-        hasher = SpanHash()
-        texts = pa.array([t or "" for _, t in items], pa.large_string())
-        data, ends = text_bytes(texts)
-        _, _, row, words = _words(data, ends, hasher)
-        self.vocabulary, ids = np.unique(words, return_inverse=True)
-        ids = ids + 1
+    """Distinct phrases of a block of items over an integer vocabulary (from 1),
+    which lists distinct words by their hashes."""
+
+    def __init__(self, items: list[tuple[str | None, str]], length: int, hash_of=SpanHash):
+        hasher = hash_of()
+        data, ends = text_bytes(pa.array([t or "" for _, t in items], pa.large_string()))
+        data, starts, stops, row, hashes = _words(data, ends, hasher)
+        raw = data.tobytes()
+        spelt = [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        first_of = {}
+        for k, word in enumerate(spelt):
+            first_of.setdefault(word, k)
+        order = sorted(first_of.items(), key=lambda e: (int(hashes[e[1]]), e[0]))
+        self.hash_of = hash_of
+        self.vocabulary = np.array([hashes[k] for _, k in order], np.uint64)
+        self.letters = np.frombuffer(b"".join(w for w, _ in order), np.uint8)
+        self.ends = np.concatenate(([0], np.cumsum([len(w) for w, _ in order]))).astype(np.int64)
+        number = {w: i + 1 for i, (w, _) in enumerate(order)}
+        ids = [number[w] for w in spelt]
         found: dict[tuple, set] = {}
-        first = np.searchsorted(row, np.arange(len(items)))
+        bounds = np.searchsorted(row, np.arange(len(items) + 1)).tolist()
         for k, (item, _) in enumerate(items):
-            end = first[k + 1] if k + 1 < len(items) else len(row)
-            own = ids[first[k]: end].tolist()
+            own = ids[bounds[k]: bounds[k + 1]]
             for p in range(max(1, len(own) - length + 1) if own else 0):
-                found.setdefault(tuple(own[p: p + length]), set()).add(item)
+                found.setdefault(tuple(own[p: p + length]), set()).update([] if item is None else [item])
         self.items = [sorted(s) for s in found.values()]
         self.sizes = np.array([len(p) for p in found], np.int64)
         self.words = np.zeros((len(found), length), np.int64)  # right-aligned: the last word is the last column
@@ -70,11 +98,29 @@ class Phrases:
             self.words[k, length - len(p):] = p
 
     def ids(self, words: np.ndarray) -> np.ndarray:
+        """The first vocabulary word of each hash, or 0."""
         if len(self.vocabulary) == 0:
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == words, at + 1, 0)
 
+    def proved(self, ids, row, data, starts, stops) -> np.ndarray:
+        """``ids`` with those in runs that could hold a phrase compared by bytes: a
+        word takes the id of its own spelling, among those of its hash, or none."""
+        if len(self.sizes) == 0:
+            return ids
+        open_ = _kept_runs(ids, row, int(self.sizes.min()))
+        ids = ids.copy()
+        while len(open_):
+            at = ids[open_] - 1
+            open_ = open_[~equal_spans(data, starts[open_], stops[open_], self.letters, self.ends[at], self.ends[at + 1])]
+            at = ids[open_]  # the next word of the vocabulary
+            after = np.minimum(at, len(self.vocabulary) - 1)
+            goes_on = (at < len(self.vocabulary)) & (self.vocabulary[after] == self.vocabulary[at - 1])
+            ids[open_] = np.where(goes_on, at + 1, 0)
+            open_ = open_[goes_on]
+        return ids
+
 
 class WaveletMatrix:
     """Bit planes of a symbol sequence, most significant first; each plane is
@@ -226,7 +272,7 @@ def occurrences(ids: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.
     for j in range(length):
         behind = length - 1 - j
         use = phrases.sizes[of] > behind
-        end = np.minimum(place + phrases.sizes[of] - 1 - behind, len(symbols) - 1)
+        end = np.clip(place + phrases.sizes[of] - 1 - behind, 0, len(symbols) - 1)  # shorter phrases are masked
         right &= ~use | (symbols[end] == phrases.words[of, j])
     if not right.all():
         raise AssertionError("an index position does not hold its phrase")
@@ -235,13 +281,14 @@ def occurrences(ids: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.
 
 def _pass(phrases_of, columns: list[str], text: str, chained: bool):
     def run(batches):
-        phrases, hasher = phrases_of.value, SpanHash()
+        phrases = phrases_of.value
+        hasher = phrases.hash_of()
         for piece in pieces(batches, text):
             data, ends = text_bytes(piece.column(piece.schema.get_field_index(text)))
-            starts, stops, row, words = _words(data, ends, hasher)
+            data, starts, stops, row, words = _words(data, ends, hasher)
             rows = piece.num_rows
             n_words = np.bincount(row, minlength=rows)
-            of, at = occurrences(phrases.ids(words), row, phrases)
+            of, at = occurrences(phrases.proved(phrases.ids(words), row, data, starts, stops), row, phrases)
             cover = np.zeros(len(words) + 1, np.int64)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + phrases.sizes[of], -1)
@@ -283,7 +330,7 @@ _SPANS_ARROW = pa.list_(pa.struct([(f.name, pa.int64()) for f in SPANS.elementTy
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
     """The benchmark's items in blocks of bounded text, read one partition at a time."""
-    own = benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).where(F.col(text).isNotNull() & F.col(item).isNotNull())
+    own = benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).where(F.col(text).isNotNull())
     block, size = [], 0
     for row in own.toLocalIterator():
         block.append((row[0], row[1]))
@@ -303,8 +350,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = own.withColumn(text, F.col(text).cast("string"))
     schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()),
                            T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    held = []
     for k, block in enumerate(_blocks(benchmark, item, item_text)):
-        out = out.mapInArrow(_pass(sc.broadcast(Phrases(block, phrase)), own.columns, text, k > 0), schema)
+        if len(held) == BLOCKS_PER_PASS:
+            out = stored(out)
+            for one in held:
+                one.unpersist()
+            held = []
+        held.append(sc.broadcast(Phrases(block, phrase)))
+        out = out.mapInArrow(_pass(held[-1], own.columns, text, k > 0), schema)
     return out
 
 

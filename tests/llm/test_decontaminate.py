@@ -37,7 +37,7 @@ def brute(text, items, size=10):
             for a in range(len(own) - len(win) + 1):
                 if own[a: a + len(win)] == win:
                     hit |= set(range(a, a + len(win)))
-                    named.add(str(i))
+                    named |= set() if i is None else {str(i)}
     return len(own), len(hit), sorted(named)
 
 
@@ -58,12 +58,45 @@ def test_matches_plain_search_in_one_or_many_blocks(spark, monkeypatch):
     docs, items = _case()
     d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    real = [(i, t) for i, t in items if i is not None]
     for block in (1 << 20, 100):
         monkeypatch.setattr(D, "BLOCK_BYTES", block)
         for r in D.find_passages(d, b).collect():
             n = sum(s["last_word"] - s["first_word"] + 1 for s in r["spans"])
-            assert (r["n_words"], n, r["items"]) == brute(r["text"], real), r["text"]
+            assert (r["n_words"], n, r["items"]) == brute(r["text"], items), r["text"]
+
+
+def _found(spark, texts, items):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    return [(r["n_words"], sum(s["last_word"] - s["first_word"] + 1 for s in r["spans"]), r["items"])
+            for r in D.find_passages(d, b).orderBy("doc_id").collect()]
+
+
+def test_short_items_in_tables_of_one_document(spark):
+    nine = "one two three four five six seven eight nine"
+    for text, item in (("alpha", "alpha"), ("see alpha beta gamma now", "alpha beta gamma"), (nine, nine), (f"x {nine} y", nine), ("", "alpha")):
+        assert _found(spark, [text], [(1, item)]) == [brute(text, [(1, item)])], text
+
+
+def test_words_of_equal_hashes_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 give the Thue-Morse word of 1,024 letters and
+    its complement one value, whatever the base."""
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    hasher = D.SpanHash()
+    *_, hashes = D._words(*D.text_bytes(D.pa.array([f"{morse} {other}"])), hasher)
+    assert hashes[0] == hashes[1]
+    texts = [morse, other, f"{other} {morse} {other}", f"{morse} c"]
+    for items in ([(1, morse)], [(1, other)], [(1, morse), (2, other)], [(1, f"{morse} {other}"), (2, f"{other} c")]):
+        assert _found(spark, texts, items) == [brute(t, items) for t in texts]
+
+
+def test_blocks_of_a_pass_are_written_before_the_next(spark, monkeypatch):
+    docs, items = _case()
+    items = [*items, (None, docs[0][1] + " a B a B")]
+    monkeypatch.setattr(D, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(D, "BLOCKS_PER_PASS", 5)
+    assert _found(spark, [t for _, t in docs], items) == [brute(t, items) for _, t in docs]
 
 
 def test_cut_spans_leaves_the_rest(spark):
