@@ -40,18 +40,32 @@ SW_INLINE_WORDS = ("serviceWorker", "registerSW", "workbox")
 
 _TAG_NAMES = sorted({t for t, _ in LINK_PAIRS + SRCSET_PAIRS} | {"base"})
 
+# The patterns below are tokens of a left-to-right scan. Every loop is possessive
+# (Java runs it without a stack frame per turn, and never goes back into it), and
+# each pattern has a last branch that takes the rest of the document when a tag or
+# an element does not end: by the standard nothing follows there, and what a failed
+# attempt has read is not read again from the next "<". So a scan is linear.
+
+# Attributes up to the tag's ">"; a quote counts only where a value begins.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)|[^\s>]*+))*+"
+_NAME_END = r"(?=[\s/>])"
+
+
+def _until(end: str) -> str:
+    """Everything before the next tag that begins with ``</end``."""
+    return rf"(?:[^<]++|<(?!/{end}))*+"
+
+
+_RAW = ("script", "style", "textarea", "title")
 # Comments and raw-text element bodies (the start tag is kept, so script@src
 # still counts); an unterminated one runs to the end of the document.
-BLANK_RE = (r"(?is)<!--.*?(?:-->|$)"
-            r"|(<script(?:[\s/][^>]*)?>).*?(?:</script\s*>|$)"
-            r"|(<style(?:[\s/][^>]*)?>).*?(?:</style\s*>|$)"
-            r"|(<textarea(?:[\s/][^>]*)?>).*?(?:</textarea\s*>|$)"
-            r"|(<title(?:[\s/][^>]*)?>).*?(?:</title\s*>|$)")
+BLANK_RE = (r"(?is)<!--(?:-?+>|(?:[^-]++|-(?!->))*+(?:-->|\z))"
+            + "".join(rf"|(<{n}{_NAME_END}{_ATTRS}>){_until(n + r'\s*+>')}(?:</{n}\s*+>|\z)" for n in _RAW)
+            + rf"|<(?:{'|'.join(_RAW)}){_NAME_END}.*+")
 # Start tags of the link-carrying elements: group 1 name, group 2 attributes.
-# Possessive throughout: a tag of any length is matched by loops, not by one
-# stack frame per character, and an unclosed one fails without backtracking.
-_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-TAG_RE = r"(?i)<(" + "|".join(_TAG_NAMES) + r")((?:[\s/]" + _ATTRS + r")?+)>"
+TAG_RE = rf"(?is)<({'|'.join(_TAG_NAMES)}){_NAME_END}({_ATTRS})>|<(?:{'|'.join(_TAG_NAMES)}){_NAME_END}.*+"
+# Any start tag: group 1 the tag, group 2 its attributes, group 3 what is left behind one without end.
+ANY_TAG_RE = rf"(?s)(<[A-Za-z][^\s/>]*+({_ATTRS})>)|(<[A-Za-z].*+)"
 # One attribute: group 1 name, group 2 raw value (with its quotes).
 ATTR_RE = r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
 
@@ -68,6 +82,16 @@ def tag_attrs(clean: Column) -> Column:
     return F.regexp_extract_all(clean, lit_re(TAG_RE), 2)
 
 
+def base_attrs(html: Column) -> Column:
+    """The attributes of every base tag that has any, wherever it stands."""
+    return F.regexp_extract_all(html, lit_re(rf"(?is)<base(?=[{WS}])({_ATTRS})>|<base(?=[{WS}]).*+"), 1)
+
+
+def all_attrs(clean: Column) -> Column:
+    """The attributes of every start tag."""
+    return F.regexp_extract_all(clean, lit_re(ANY_TAG_RE), 2)
+
+
 def unquote(raw: Column) -> Column:
     return F.regexp_replace(raw, r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2")
 
@@ -137,10 +161,13 @@ def attr_value(attrs: Column, name: str) -> Column:
     return let(attrs, run)
 
 
+_SCRIPT_RE = rf"(?si)<script[^>]*+>{_until('script>')}</script>|(<script.*+)"
+
+
 def strip_scripts(html: Column) -> Column:
-    """Remove every <script ...>...</script> block (used for rendered pages)."""
-    return F.when(F.lower(html).contains("<script"),
-                  F.regexp_replace(html, r"(?si)<script[^>]*>.*?</script>", "")).otherwise(html)
+    """Remove every <script ...>...</script> block (used for rendered pages); a
+    script without end stays, and all behind it."""
+    return F.when(F.lower(html).contains("<script"), F.regexp_replace(html, _SCRIPT_RE, "$1")).otherwise(html)
 
 
 def visible_text(html: Column) -> Column:
@@ -152,9 +179,9 @@ def visible_text(html: Column) -> Column:
 SW_SRC_RE = r"(?i)registersw|workbox|sw-?register|sw\.js"
 # Link elements and whole script elements: group 1 the link's attributes, group
 # 2 the script's, group 3 its body.
-BREAKER_RE = (r"(?is)<(?:link((?:[\s/]" + _ATTRS + r")?+)>|script((?:[\s/]" + _ATTRS + r")?+)>(.*?)</script\s*+>)")
-_START_TAG_RE = r"<[A-Za-z]" + _ATTRS + ">"
-_CROSSORIGIN_RE = rf"(?i)[{WS}]++crossorigin(?:[{WS}]*+=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+'|[^{WS}>\"']++))?+(?=[{WS}/>])"
+BREAKER_RE = (rf"(?is)<(?:link{_NAME_END}({_ATTRS})>|script{_NAME_END}({_ATTRS})>({_until(r'script\s*+>')})</script\s*+>)"
+              rf"|<(?:link|script){_NAME_END}.*+")
+_CROSSORIGIN_RE = rf"(?i)(?<![{WS}])[{WS}]++crossorigin(?:[{WS}]*+=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+'|[^{WS}>\"']++))?+(?=[{WS}/>])"
 
 #: Reasons for removing an element, and what is counted per document.
 BREAKER_RULES = ("sw_script", "manifest_link", "modulepreload_link", "script_preload_link", "sw_inline_script")
@@ -194,9 +221,11 @@ def without_breakers(doc: Column) -> Column:
 def _without_crossorigin(doc: Column) -> Column:
     """crossorigin attributes removed, inside start tags only."""
     def run(h):
-        parts, tags = F.split(h, _START_TAG_RE), F.regexp_extract_all(h, lit_re(_START_TAG_RE), 0)
+        parts, tags, rest = F.split(h, ANY_TAG_RE), F.regexp_extract_all(h, lit_re(ANY_TAG_RE), 1), F.regexp_extract_all(h, lit_re(ANY_TAG_RE), 3)
         clean = F.transform(tags, lambda t: F.regexp_replace(t, _CROSSORIGIN_RE, ""))
-        return F.array_join(F.zip_with(parts, clean, lambda p, t: F.concat(F.coalesce(p, F.lit("")), F.coalesce(t, F.lit("")))), "")
+        whole = F.zip_with(F.zip_with(parts, clean, lambda p, t: F.concat(F.coalesce(p, F.lit("")), F.coalesce(t, F.lit("")))), rest,
+                           lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+        return F.array_join(whole, "")
     return F.when(doc.rlike("(?i)crossorigin"), let(doc, run)).otherwise(doc)
 
 

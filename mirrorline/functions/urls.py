@@ -13,9 +13,15 @@ percent-encoding and dot segments are skipped behind a cheap ``rlike`` guard.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let, nstruct
+from .hosts import canonical_host, plain_host
+
 # ---------------------------------------------------------------------------
 # Fixed values (they must equal the behaviour being reproduced).
 # Unicode White_Space, which is what trim() and \s mean in the original rules.
@@ -42,40 +48,22 @@ IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".av
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _ABS_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
-_HOST_RE = r"^(\[[^\]]*\]|[^:]*)"
-_PORT_RE = r"^(?:\[[^\]]*\]|[^:]*):(.*)$"
-_BAD_HOST_RE = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+# Host (in brackets or up to the first colon) and port; no other form is one.
+_HOST_PORT_RE = r"^(\[[^\]]*\]|[^:\[]*)(?::(.*))?$"
 
 
 def lit_re(pattern: str) -> Column:
     return F.lit(pattern)
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
-
-    Keeps expression trees linear when an intermediate is used several times
-    (inlining would otherwise copy it into every use), and works inside other
-    higher-order functions, where staged projections cannot be used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def nstruct(**fields: Column) -> Column:
-    """Struct with explicit field names (aliases inside lambdas may be trimmed)."""
-    args = []
-    for name, value in fields.items():
-        args += [F.lit(name), value]
-    return F.named_struct(*args)
-
-
 def trim_ws(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(c, rf"^[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def clean_input(c: Column) -> Column:
     """URL-parser input clean-up: strip C0/space at both ends, drop tab/CR/LF."""
-    c = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    c = F.regexp_replace(c, r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z", "")
     return F.regexp_replace(c, r"[\t\n\r]", "")
 
 
@@ -126,82 +114,104 @@ def _url_struct(scheme, host, port, path, query) -> Column:
     return nstruct(scheme=scheme, host=host, port=port, path=path, query=query)
 
 
+def _split_absolute(s: Column) -> Column:
+    """Scheme, host, port, path and query (with its "?") as they stand."""
+    hp = F.regexp_replace(F.regexp_extract(s, _ABS_RE, 2), "^.*@", "")
+    return let(hp, lambda a: nstruct(
+        ok=s.rlike(_ABS_RE) & a.rlike(_HOST_PORT_RE), scheme=F.lower(F.regexp_extract(s, _ABS_RE, 1)),
+        host=F.regexp_extract(a, _HOST_PORT_RE, 1), port=F.regexp_extract(a, _HOST_PORT_RE, 2),
+        path=F.regexp_extract(s, _ABS_RE, 3), query=F.regexp_extract(s, _ABS_RE, 4)))
+
+
+def _url_of(parts: Column, hosts: Column | None = None) -> Column:
+    """URL struct of split parts, every part in its canonical form, or NULL.
+    Canonical parts come out as they are. ``hosts``: see ``odd_hosts``."""
+    def host_of(h):
+        return canonical_host(h) if hosts is None else F.when(plain_host(h), h).otherwise(F.element_at(hosts, h))
+
+    def build(p):
+        scheme = p["scheme"]
+        digits = F.regexp_replace(p["port"], "^0+(?=[0-9])", "")  # leading zeros say nothing
+        number = F.when(digits.rlike("^[0-9]{1,5}$"), digits.cast("int"))
+        default = F.when(scheme == "http", F.lit(DEFAULT_PORTS["http"])).otherwise(F.lit(DEFAULT_PORTS["https"]))
+        port = F.when((p["port"] != "") & (number != default), number.cast("string"))
+        valid = (p["ok"] & scheme.isin("http", "https") & (p["host"] != "")
+                 & ((p["port"] == "") | (number.isNotNull() & (number <= 65535))))
+        query = F.when(p["query"] != "", _normal_query(F.substr(p["query"], F.lit(2))))
+
+        def with_host(host):
+            return F.when(host.isNotNull(), _url_struct(scheme, host, port, _normal_path(p["path"]), query))
+        return F.when(valid, let(host_of(p["host"]), with_host))
+    return let(parts, build)
+
+
 def parse_absolute(u: Column) -> Column:
     """Parse an absolute http(s) URL into the URL struct; NULL when it is not
     an http(s) URL or would be rejected by a URL parser."""
-    def groups(s):
-        return nstruct(
-            ok=s.rlike(_ABS_RE),
-            scheme=F.lower(F.regexp_extract(s, _ABS_RE, 1)),
-            hp=F.regexp_replace(F.regexp_extract(s, _ABS_RE, 2), "^.*@", ""),
-            path=F.regexp_extract(s, _ABS_RE, 3),
-            query=F.regexp_extract(s, _ABS_RE, 4))
-
-    def hostport(g):
-        return nstruct(
-            ok=g["ok"], scheme=g["scheme"],
-            host=F.lower(F.regexp_extract(g["hp"], _HOST_RE, 1)),
-            port_raw=F.regexp_extract(g["hp"], _PORT_RE, 1),
-            path=g["path"], query=g["query"])
-
-    def build(h):
-        scheme, host, port_raw = h["scheme"], h["host"], h["port_raw"]
-        digits = F.regexp_replace(port_raw, "^0+(?=[0-9])", "")  # leading zeros say nothing
-        port_num = F.when(digits.rlike("^[0-9]{1,5}$"), digits.cast("int"))
-        default = F.when(scheme == "http", F.lit(DEFAULT_PORTS["http"])).otherwise(F.lit(DEFAULT_PORTS["https"]))
-        port = F.when((port_raw == "") | (port_num == default), F.lit(None).cast("string")) \
-            .otherwise(port_num.cast("string"))
-        valid = (h["ok"] & scheme.isin("http", "https") & (host != "")
-                 & (host.startswith("[") | ~host.rlike(_BAD_HOST_RE))
-                 & ((port_raw == "") | (port_num.isNotNull() & (port_num <= 65535))))
-        query = F.when(h["query"] == "", F.lit(None).cast("string")).otherwise(
-            _normal_query(F.substr(h["query"], F.lit(2))))
-        return F.when(valid, _url_struct(scheme, host, port, _normal_path(h["path"]), query))
+    return let(clean_input(u), lambda s: _url_of(_split_absolute(s)))
+
+
+@functools.lru_cache(maxsize=256)
+def _built(build, name: str, context: int) -> Column:
+    return build(F.col(name))
+
 
-    return let(let(let(clean_input(u), groups), hostport), build)
+def parsed(name: str) -> Column:
+    """``parse_absolute`` of a column given by its name. The expression is built
+    once per Spark context: it is the same wherever the name stands."""
+    return _built(parse_absolute, name, id(SparkContext._active_spark_context))
 
 
-def resolve(base_col: Column, ref: Column) -> Column:
+def hosts_in(name: str) -> Column:
+    """``odd_hosts`` of a column given by its name, built once."""
+    return _built(odd_hosts, name, id(SparkContext._active_spark_context))
+
+
+def odd_hosts(text: Column) -> Column:
+    """Map of the hosts in a text's addresses that are not plain lower-case names
+    to their canonical form. The analyzer takes a pass for each level of nested
+    lambdas and stops after a hundred; code that is itself deeply nested looks
+    such hosts up here, in a column of their own, instead of working them out."""
+    after_slashes = F.regexp_extract_all(text, lit_re(r"[/\\]{2}([^/\\?#\"'\s<>)]++)"), 1)
+    hosts = F.transform(F.filter(after_slashes, lambda a: ~plain_host(a)),
+                        lambda a: F.regexp_extract(F.regexp_replace(a, "^.*@", ""), _HOST_PORT_RE, 1))
+    odd = F.filter(F.array_distinct(hosts), lambda h: (h != "") & ~plain_host(h))
+    return F.map_from_entries(F.transform(odd, lambda h: nstruct(raw=h, host=canonical_host(h))))
+
+
+def resolve(base_col: Column, ref: Column, hosts: Column | None = None) -> Column:
     """Join a reference against a parsed base URL (WHATWG rules for the http(s)
     schemes). Returns the URL struct, or NULL when the result is not http(s)
-    or not a valid URL. ``base`` is a URL struct column."""
+    or not a valid URL. ``base`` is a URL struct column. Whatever its form, a
+    reference is first split into parts, which are made canonical in one place."""
     def split_ref(r):
-        has_scheme = r.rlike(_SCHEME_RE)
         scheme = F.lower(F.regexp_extract(r, _SCHEME_RE, 1))
         rest = F.regexp_replace(r, _SCHEME_RE, "")
-        return nstruct(has_scheme=has_scheme, scheme=scheme, rest=rest, r=r)
-
-    def classify(x):
-        same = x["has_scheme"] & (x["scheme"] == base["scheme"])
-        r2 = F.when(same, x["rest"]).otherwise(x["r"])
-        return nstruct(has_scheme=x["has_scheme"], scheme=x["scheme"], rest=x["rest"], r2=r2)
+        same = scheme == base["scheme"]
+        return nstruct(scheme=scheme, rest=rest, r2=F.when(same, rest).otherwise(r), other=(scheme != "") & ~same)
 
     def build(x):
         r2 = x["r2"]
-        other_scheme = x["has_scheme"] & (x["scheme"] != base["scheme"])
-        authority = F.when(other_scheme, F.concat(x["scheme"], F.lit("://"), x["rest"])) \
+        authority = F.when(x["other"], F.concat(x["scheme"], F.lit("://"), x["rest"])) \
             .when(r2.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), r2))
-        path_part = F.regexp_extract(r2, r"^([^?#]*)", 1)
+        pp = F.regexp_extract(r2, r"^([^?#]*)", 1)
         q = F.regexp_extract(r2, r"^[^?#]*(\?[^#]*)", 1)
 
         def relative(pq):
-            pp, qq = pq["pp"], pq["q"]
-            new_path = (F.when(pp.rlike(r"^[/\\]"), pp)
-                        .when(pp == "", base["path"])
-                        .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), pp)))
-            new_query = (F.when(qq != "", _normal_query(F.substr(qq, F.lit(2))))
-                         .when(pp == "", base["query"])
-                         .otherwise(F.lit(None).cast("string")))
-            return _url_struct(base["scheme"], base["host"], base["port"], _normal_path(new_path), new_query)
-
-        return (F.when(x["has_scheme"] & ~x["scheme"].isin("http", "https"), F.lit(None))
-                .when(authority.isNotNull(), parse_absolute(authority))
-                .otherwise(let(nstruct(pp=path_part, q=q), relative)))
+            path = (F.when(pq["pp"].rlike(r"^[/\\]"), pq["pp"])
+                    .when(pq["pp"] == "", base["path"])
+                    .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), pq["pp"])))
+            query = (F.when(pq["q"] != "", pq["q"])
+                     .when((pq["pp"] == "") & base["query"].isNotNull(), F.concat(F.lit("?"), base["query"])).otherwise(F.lit("")))
+            return nstruct(ok=F.lit(True), scheme=base["scheme"], host=base["host"], port=F.coalesce(base["port"], F.lit("")), path=path, query=query)
+
+        parts = F.when(authority.isNotNull(), let(authority, _split_absolute)).otherwise(let(nstruct(pp=pp, q=q), relative))
+        return F.when((x["scheme"] == "") | x["scheme"].isin("http", "https"), _url_of(parts, hosts))
 
     def with_base(b):
         nonlocal base
         base = b
-        return F.when(b.isNotNull(), let(let(let(clean_input(ref), split_ref), classify), build))
+        return F.when(b.isNotNull(), let(let(clean_input(ref), split_ref), build))
 
     base = None
     return let(base_col, with_base)
@@ -236,11 +246,11 @@ def skip_reference(value: Column) -> Column:
     return cond
 
 
-def resolve_link(base: Column, href: Column) -> Column:
+def resolve_link(base: Column, href: Column, hosts: Column | None = None) -> Column:
     """Link resolution used by extraction: trim, drop empty/anchor/script-like
     references, keep only http(s) results."""
     h = trim_ws(href)
-    return F.when((h == "") | skip_reference(h), F.lit(None)).otherwise(resolve(base, h))
+    return F.when((h == "") | skip_reference(h), F.lit(None)).otherwise(resolve(base, h, hosts))
 
 
 def _ends_with_any(c: Column, suffixes) -> Column:

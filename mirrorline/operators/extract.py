@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from .rewrite import CSS_IMPORT_RE, CSS_URL_RE
 
 _CAND_TYPE = "array<struct<pair:int,attr:string,item:int,value:string>>"
 LINK_COLUMNS = ["src_url", "dst_url", "site", "tag", "attr", "pos", "pair", "item"]
@@ -25,7 +26,7 @@ def _lookup(names, raws, name: str):
 
 def _page_frame(captures: DataFrame, url_col: str = "url") -> DataFrame:
     """Parsed page URL (`_u`) and its type; rows with unusable URLs drop out."""
-    return _once(captures, "_u", U.parse_absolute(F.col(url_col))).where(F.col("_u").isNotNull())
+    return _once(captures, "_u", U.parsed(url_col)).where(F.col("_u").isNotNull())
 
 
 def _once(df: DataFrame, name: str, value) -> DataFrame:
@@ -41,9 +42,9 @@ def html_pages(captures: DataFrame) -> DataFrame:
     return df.where(U.classify_resource(F.col("content_type"), F.col("_u.path")) == "page")
 
 
-def _tag_rows(pages: DataFrame, body_col: str, use_base: bool) -> DataFrame:
+def _tag_rows(pages: DataFrame, body_col: str, use_base: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     clean = H.blank_markup(F.col(body_col))
-    df = pages.withColumn("_clean", clean)
+    df = pages.withColumn("_clean", clean).withColumn("_hosts", U.hosts_in(body_col))
     tags = F.zip_with(H.tag_names(F.col("_clean")), H.tag_attrs(F.col("_clean")),
                       lambda n, a: U.nstruct(name=F.lower(n), attrs=a))
     df = df.withColumn("_tags", tags)
@@ -53,16 +54,16 @@ def _tag_rows(pages: DataFrame, body_col: str, use_base: bool) -> DataFrame:
                                  lambda t: F.when(t["name"] == "base", H.attr_value(t["attrs"], "href"))),
                      lambda x: x.isNotNull()), 1)
         base = F.when(F.col("_clean").rlike("(?i)<base[\\s/>]"),
-                      F.coalesce(U.resolve(F.col("_u"), first_base), F.col("_u"))).otherwise(F.col("_u"))
+                      F.coalesce(U.resolve(F.col("_u"), first_base, F.col("_hosts")), F.col("_u"))).otherwise(F.col("_u"))
     else:
         base = F.col("_u")
     return (df.select(U.serialize(F.col("_u")).alias("src_url"),
                       U.site_of(F.col("_u.host")).alias("site"),
                       F.col("_u.host").alias("_host"),
-                      base.alias("_base"),
+                      base.alias("_base"), "_hosts", *carry,
                       F.posexplode("_tags").alias("pos", "_t"))
             .where(F.col("_t.name") != "base")
-            .select("src_url", "site", "_host", "_base", "pos",
+            .select("src_url", "site", "_host", "_base", "_hosts", *carry, "pos",
                     F.col("_t.name").alias("tag"),
                     F.regexp_extract_all(F.lower(F.col("_t.attrs")), U.lit_re(H.ATTR_RE), 1).alias("_names"),
                     F.regexp_extract_all(F.col("_t.attrs"), U.lit_re(H.ATTR_RE), 2).alias("_raws")))
@@ -95,29 +96,30 @@ def _candidates(pairs, srcset_pairs) -> F.Column:
     return out
 
 
-def _links_from_tags(tags: DataFrame, pairs, srcset_pairs) -> DataFrame:
+def _links_from_tags(tags: DataFrame, pairs, srcset_pairs, carry: tuple[str, ...] = ()) -> DataFrame:
     wanted = sorted({t for t, _ in pairs + srcset_pairs})
     tags = tags.where(F.col("tag").isin(*wanted))
     for a in sorted({a for _, a in pairs + srcset_pairs}):
         tags = tags.withColumn(_vcol(a), _lookup(F.col("_names"), F.col("_raws"), a))
     cands = (tags
-             .select("src_url", "site", "_host", "_base", "pos", "tag",
+             .select("src_url", "site", "_host", "_base", "_hosts", *carry, "pos", "tag",
                      F.explode(_candidates(pairs, srcset_pairs)).alias("_c"))
              .where(F.col("_c").isNotNull() & F.col("_c.value").isNotNull()))
-    resolved = _once(cands, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
+    resolved = _once(cands, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
     return (resolved
             .where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site", "tag",
                     F.col("_c.attr").alias("attr"), F.col("pos").cast("int").alias("pos"),
-                    F.col("_c.pair").cast("int").alias("pair"), F.col("_c.item").cast("int").alias("item")))
+                    F.col("_c.pair").cast("int").alias("pair"), F.col("_c.item").cast("int").alias("item"), *carry))
 
 
-def extract_links(captures: DataFrame, body_col: str = "body") -> DataFrame:
+def extract_links(captures: DataFrame, body_col: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
     """Same-site links of every HTML capture: the 13 tag/attribute pairs plus
     srcset candidates, resolved against <base href> when present. Order inside
-    a page is (pair, pos, item); duplicates are kept."""
-    tags = _tag_rows(html_pages(captures), body_col, use_base=True)
-    return _links_from_tags(tags, H.LINK_PAIRS, H.SRCSET_PAIRS)
+    a page is (pair, pos, item); duplicates are kept. ``carry``: columns of the
+    captures to keep beside each link."""
+    tags = _tag_rows(html_pages(captures), body_col, True, carry)
+    return _links_from_tags(tags, H.LINK_PAIRS, H.SRCSET_PAIRS, carry)
 
 
 def extract_srcset(captures: DataFrame, body_col: str = "body") -> DataFrame:
@@ -134,10 +136,6 @@ def extract_nav_links(rendered: DataFrame) -> DataFrame:
     return _links_from_tags(tags, H.NAV_PAIRS, ())
 
 
-CSS_URL_RE = rf"url\([{U.WS}]*['\"]?([^'\")]+)['\"]?[{U.WS}]*\)"
-CSS_IMPORT_RE = rf"@import[{U.WS}]+['\"]([^'\"]+)['\"]"
-
-
 def extract_css_refs(captures: DataFrame) -> DataFrame:
     """url(...) references (data: skipped) then @import targets of every CSS
     capture, resolved against the stylesheet URL, same-site only."""
@@ -145,16 +143,16 @@ def extract_css_refs(captures: DataFrame) -> DataFrame:
         U.classify_resource(F.col("content_type"), F.col("_u.path")) == "css")
     base = css.select(U.serialize(F.col("_u")).alias("src_url"),
                       U.site_of(F.col("_u.host")).alias("site"),
-                      F.col("_u").alias("_base"), F.col("_u.host").alias("_host"),
+                      F.col("_u").alias("_base"), F.col("_u.host").alias("_host"), U.hosts_in("body").alias("_hosts"),
                       F.regexp_extract_all(F.col("body"), U.lit_re(CSS_URL_RE), 1).alias("_urls"),
                       F.regexp_extract_all(F.col("body"), U.lit_re(CSS_IMPORT_RE), 1).alias("_imports"))
     refs = base.select(
-        "src_url", "site", "_base", "_host",
+        "src_url", "site", "_base", "_host", "_hosts",
         F.explode(F.concat(
             F.transform("_urls", lambda v, i: U.nstruct(attr=F.lit("url"), pos=i, value=v)),
             F.transform("_imports", lambda v, i: U.nstruct(attr=F.lit("import"), pos=i, value=v)))).alias("_c"))
-    refs = refs.where(~F.col("_c.value").startswith("data:"))
-    resolved = _once(refs, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value")))
+    refs = refs.where((F.col("_c.value") != "") & ~F.col("_c.value").startswith("data:"))
+    resolved = _once(refs, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
     return (resolved.where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site",
                     F.col("_c.attr").alias("attr"), F.col("_c.pos").cast("int").alias("pos")))
@@ -170,7 +168,7 @@ def rendered_requests(rendered: DataFrame) -> DataFrame:
                       U.site_of(F.col("_u.host")).alias("site"),
                       U.normalize_url(F.col("url")).alias("_req"),
                       F.array_distinct(F.filter(canon, lambda x: x.isNotNull())).alias("_all"))
-    same = F.filter(F.col("_all"), lambda x: (U.site_of(F.regexp_extract(x, r"^[a-z]+://([^/:?]*)", 1))
+    same = F.filter(F.col("_all"), lambda x: (U.site_of(F.regexp_extract(x, r"^[a-z]+://(\[[^\]]*\]|[^/:?]*)", 1))
                                               == F.col("site")))
     return (df.select("src_url", "site", "_req", F.posexplode(same).alias("pos", "dst_url"))
             .where((F.col("dst_url") != F.col("src_url")) & (F.col("dst_url") != F.coalesce(F.col("_req"), F.lit(""))))

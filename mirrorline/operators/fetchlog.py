@@ -41,7 +41,6 @@ def fetch_outcomes(attempts: DataFrame) -> DataFrame:
 
 def error_stats(outcomes: DataFrame) -> DataFrame:
     """Failed URLs per site (failed or exhausted)."""
-    host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z]+://([^/?#:]*)", 1))
     return (outcomes.where(F.col("outcome").isin("failed", "exhausted"))
-            .groupBy(U.site_of(host).alias("site"))
+            .groupBy(U.site_of(U.parsed("url")["host"]).alias("site"))
             .agg(F.count("*").alias("errors")))

@@ -11,7 +11,7 @@ from .robots import noise_filter, route_filter
 
 
 def _with_place(links: DataFrame) -> DataFrame:
-    u = links.select(U.parse_absolute(F.col("dst_url")).alias("u"), "dst_url", "site")
+    u = links.select(U.parsed("dst_url").alias("u"), "dst_url", "site")
     return u.select("site", F.col("dst_url").alias("url"), F.col("u.host").alias("host"), F.col("u.path").alias("path"))
 
 

@@ -73,7 +73,7 @@ def validate_seeds(seeds: DataFrame) -> DataFrame:
     from ..functions import urls as U
     s = U.clean_input(F.col("seed_url"))
     scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    parsed = U.parse_absolute(F.col("seed_url"))
+    parsed = U.parsed("seed_url")
     reason = (F.when(scheme == "", F.lit("invalid url"))
               .when(~scheme.isin("http", "https"), F.lit("scheme must be http or https"))
               .when(parsed.isNull(), F.lit("missing or invalid host"))

@@ -7,7 +7,8 @@ from mirrorline.operators.rewrite import rewrite_css, rewrite_html
 
 def _rw(spark, url, html):
     df = spark.createDataFrame([(url, html)], "url string, html string")
-    return df.select(rewrite_html(F.col("html"), U.parse_absolute(F.col("url")))).first()[0]
+    df = df.select("html", U.parsed("url").alias("u"), U.hosts_in("html").alias("hosts"))
+    return df.select(rewrite_html(F.col("html"), F.col("u"), F.col("hosts"))).first()[0]
 
 
 def test_rewrite_same_domain(spark):
@@ -50,7 +51,8 @@ def test_css(spark):
                                  "body { background: url('/images/bg.png'); } "
                                  "a { background: url(\"data:image/png;base64,iVBOR=\"); } @import \"/x/y.css\";")],
                                "u string, c string")
-    out = df.select(rewrite_css(F.col("c"), U.parse_absolute(F.col("u")))).first()[0]
+    df = df.select("c", U.parsed("u").alias("u"), U.hosts_in("c").alias("hosts"))
+    out = df.select(rewrite_css(F.col("c"), F.col("u"), F.col("hosts"))).first()[0]
     assert "../images/bg.png" in out and "data:image/png" in out
     assert '@import url("../x/y.css")' in out
 

@@ -60,3 +60,38 @@ def test_content_hash(spark):
 def test_same_site(spark):
     rows = [("www.example.com", "example.com"), ("m.example.com", "example.com"), ("example.com", "www.example.com")]
     assert _one(spark, rows, "a string, b string", U.same_site(F.col("a"), F.col("b"))) == [True, False, True]
+
+
+def test_punycode_equals_the_codec(spark):
+    import random
+
+    from mirrorline.functions.hosts import punycode
+    rnd = random.Random(3)
+    labels = ["".join(rnd.choices("abz019-äöéßžλжשعक中日한🎉😀", k=rnd.randint(1, 40))) for _ in range(120)]
+    df = spark.createDataFrame([(x,) for x in labels], "x string")
+    got = [r[0] for r in df.select(punycode(F.col("x"))).collect()]
+    assert got == [x.encode("punycode").decode() for x in labels]
+
+
+def test_ipv4_and_ipv6_equal_the_library(spark):
+    import ipaddress
+    import random
+    rnd = random.Random(4)
+    numbers = [rnd.choice([0, rnd.getrandbits(8), rnd.getrandbits(32)]) for _ in range(60)]
+    groups = [":".join(f"{rnd.choice([0, 0, rnd.getrandbits(16)]):x}" for _ in range(8)) for _ in range(80)]
+    forms = [f(n) for n in numbers for f in (str, hex, lambda n: "0" + oct(n)[2:], lambda n: f"{n >> 24}.{n & 0xFFFFFF}", lambda n: f"0x{n >> 24:x}.{n >> 16 & 255}.{n & 0xFFFF}")]
+    want = [f"http://{ipaddress.IPv4Address(n)}/" for n in numbers for _ in range(5)]
+    forms += [f"[{g}]" for g in groups]
+    want += [f"http://[{ipaddress.IPv6Address(g)}]/" for g in groups]
+    df = spark.createDataFrame([(f"http://{h}/",) for h in forms], "u string").coalesce(1)
+    assert [r[0] for r in df.select(U.normalize_url(F.col("u"))).collect()] == want
+
+
+def test_a_rewritten_page_knows_odd_hosts(spark):
+    from mirrorline.operators.rewrite import build_mirror
+    rows = [("http://bücher.example/a/b", 200, "text/html", None, '<a href="//B%C3%9Ccher.example/c"> <a href="http://xn--bcher-kva.example/d"> <a href="http://bucher.example/e">', 1),
+            ("http://[::1]/s.css", 200, "text/css", None, "url(http://[0:0::1]/i.png) url(http://[::2]/j.png)", 2)]
+    df = spark.createDataFrame(rows, "url string, status int, content_type string, last_modified string, body string, seq bigint")
+    got = {r["rtype"]: (r["site"], r["content"]) for r in build_mirror(df).collect()}
+    assert got["page"] == ("xn--bcher-kva.example", '<a href="../../c/index.html"> <a href="../../d/index.html"> <a href="http://bucher.example/e">')
+    assert got["css"] == ("[::1]", 'url("i.png") url(http://[::2]/j.png)')
