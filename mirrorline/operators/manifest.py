@@ -32,6 +32,11 @@ def manifest_record(mirror: DataFrame) -> DataFrame:
     return _latest(rows)
 
 
+def manifest_record_rows(rows: DataFrame) -> DataFrame:
+    """The latest of all entries of a URL."""
+    return _latest(rows)
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     best = rows.groupBy("site", "url").agg(
         F.max_by(F.struct(*ENTRY_FIELDS, "seq"), F.struct("seq", "out_hash")).alias("e"))

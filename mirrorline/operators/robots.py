@@ -1,9 +1,7 @@
 """robots.txt rules and URL filters.
 
-Rule matching is an equi-join on ``site`` (rules of one site gathered into a
-small array, bounded by the robots file size) plus a higher-order longest-
-prefix scan; AQE turns the join into a broadcast only when the runtime size
-of the rule side allows it, and splits hot sites on the URL side.
+Rules meet URLs in a prefix index (see ``robots_filter``); AQE turns its joins
+into broadcasts only when the runtime size allows it, and splits hot sites.
 """
 
 from __future__ import annotations
@@ -51,24 +49,23 @@ def robots_counts(rules: DataFrame) -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """Adds ``allowed``: the longest matching prefix (in bytes) decides, an
-    Allow wins a tie, no matching rule (or no robots file) allows."""
-    per_site = rules.groupBy("site").agg(
-        F.collect_list(nstruct(allow=F.col("allow"), prefix=F.col("prefix"))).alias("_rules"))
-    path = F.col(path_col)
-
-    def best(acc, r):
-        n = F.octet_length(r["prefix"])
-        return F.when(~path.startswith(r["prefix"]), acc) \
-            .when(r["allow"], nstruct(d=acc["d"], a=F.greatest(acc["a"], n))) \
-            .otherwise(nstruct(d=F.greatest(acc["d"], n), a=acc["a"]))
-
-    scan = F.aggregate(F.coalesce(F.col("_rules"), F.array().cast("array<struct<allow:boolean,prefix:string>>")),
-                       nstruct(d=F.lit(0), a=F.lit(-1)), best)
-    return (urls.join(per_site, "site", "left")
-            .withColumn("_best", scan)
-            .withColumn("allowed", (F.col("_best.d") == 0) | (F.col("_best.a") >= F.col("_best.d")))
-            .drop("_rules", "_best"))
+    """Adds ``allowed``: the longest matching prefix decides, an Allow wins a tie,
+    no matching rule (or no robots file) allows.
+
+    A prefix index instead of a scan of a site's rules: every distinct path is cut
+    at the lengths that its site's prefixes have, and the pieces meet the
+    prefixes by an equi-join on (site, prefix). The only array is a site's list of
+    distinct lengths, which n bytes of robots file hold less than 1.5 * sqrt(n) of."""
+    index = rules.groupBy("site", "prefix").agg(F.bool_or("allow").alias("_allow"))
+    lengths = index.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    paths = urls.select("site", F.col(path_col).alias("_path")).distinct()
+    cut = (paths.join(lengths, "site")
+           .select("site", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"))
+           .select("site", "_path", "_n", F.substr("_path", F.lit(1), F.col("_n")).alias("prefix")))
+    verdict = cut.join(index, ["site", "prefix"]).groupBy("site", "_path").agg(F.max_by("_allow", "_n").alias("_allow"))
+    verdict = verdict.select(F.col("site").alias("_site"), "_path", "_allow")
+    return (urls.join(verdict, (urls["site"] == verdict["_site"]) & (urls[path_col] == verdict["_path"]), "left")
+            .withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_site", "_path", "_allow"))
 
 
 def is_noise(path):

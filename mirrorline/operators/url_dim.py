@@ -28,7 +28,7 @@ def url_dim(df: DataFrame, url_col: str = "url", content_type_col: str | None =
         U.offline_path(F.col("u.path"), F.col("u.query")).alias("offline_path"),
         F.col("seq"), *([] if size is None else ["size"]))
     cols = ["scheme", "host", "site", "path", "query", "rtype", "offline_path", "seq"] + ([] if size is None else ["size"])
-    best = rows.groupBy("url").agg(F.max_by(F.struct(*cols), F.col("seq")).alias("b"))
+    best = rows.groupBy("url").agg(F.max_by(F.struct(*cols), F.struct("seq", *[c for c in cols if c != "seq"])).alias("b"))
     return best.select("url", *[F.col(f"b.{c}").alias(c) for c in cols])
 
 
@@ -37,6 +37,6 @@ def path_collisions(dim: DataFrame) -> DataFrame:
     the URL whose capture is latest (the one a mirror would keep)."""
     return (dim.groupBy("site", "offline_path")
             .agg(F.count_distinct("url").alias("n_urls"),
-                 F.max_by("url", "seq").alias("winner"),
+                 F.max_by("url", F.struct("seq", "url")).alias("winner"),
                  F.min("url").alias("first_url"))
             .where(F.col("n_urls") > 1))

@@ -17,13 +17,22 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_site_summary(spark, sf):
-    return site_summary(captures_from_pages(_pages(spark, sf)))
+    return site_summary(D.repeated_captures(captures_from_pages(_pages(spark, sf))))
 
 
 def q_url_dim(spark, sf):
     return url_dim(D.mixed_captures(_pages(spark, sf)))
 
 
+def q_host_forms(spark, sf):
+    """Addresses in every form a host may take, each with the link of its page."""
+    odd = D.odd_addresses(_pages(spark, sf))
+    u = odd.select("page_id", U.parsed("url").alias("u"))
+    links = X.extract_links(captures_from_pages(odd)).select(F.col("src_url").alias("url"), "dst_url")
+    own = u.select("page_id", U.serialize(F.col("u")).alias("url"), U.site_of(F.col("u.host")).alias("site"))
+    return own.join(links, "url", "left").select("page_id", "url", "site", "dst_url")
+
+
 def q_path_collisions(spark, sf):
     return path_collisions(url_dim(D.mixed_captures(_pages(spark, sf)))).select(
         "site", "offline_path", "n_urls", "winner")
@@ -101,7 +110,7 @@ def _page_urls(spark, sf):
 
 
 def _seeds(spark, sf):
-    p = _pages(spark, sf).select(U.parse_absolute(F.col("url")).alias("u"), "page_id", "url")
+    p = _pages(spark, sf).select(U.parsed("url").alias("u"), "page_id", "url")
     first = p.groupBy(U.site_of(F.col("u.host")).alias("site")).agg(F.min_by("url", "page_id").alias("seed_url"))
     mode = F.element_at(F.array(*[F.lit(m) for m in SEED_MODES]),
                         (F.pmod(F.length("site"), F.lit(len(SEED_MODES))) + 1).cast("int"))
@@ -125,7 +134,7 @@ NOISE_PATHS = ("/cdn-cgi/rum?x=1", "/a/__cf_bm", "/beacon/rum", "/js/cloudflarei
 
 
 def _asset_candidates(spark, sf):
-    p = _pages(spark, sf).select(U.parse_absolute(F.col("url")).alias("u"))
+    p = _pages(spark, sf).select(U.parsed("url").alias("u"))
     paths = F.concat(F.array(F.col("u.path")), F.array(*[F.lit(x) for x in NOISE_PATHS]))
     return p.select(U.site_of(F.col("u.host")).alias("site"), F.col("u.host").alias("host"),
                     F.explode(paths).alias("path"))
@@ -148,7 +157,7 @@ def _old_visited(spark, sf):
     URL of every page's site that no page links to any more."""
     pages = _pages(spark, sf)
     caps = captures_from_pages(pages.where(F.pmod(F.col("page_id"), F.lit(4)) == 0))
-    gone = pages.select(U.parse_absolute(F.col("url")).alias("u"), "page_id").select(
+    gone = pages.select(U.parsed("url").alias("u"), "page_id").select(
         U.site_of(F.col("u.host")).alias("site"),
         F.concat(F.lit("https://"), F.col("u.host"), F.lit("/gone/"), F.col("page_id").cast("string")).alias("url"))
     return X.extract_links(caps).select("site", F.col("dst_url").alias("url")).unionByName(gone)
@@ -190,7 +199,7 @@ def q_site_stats(spark, sf):
     caps = D.repeated_captures(D.mixed_captures(_pages(spark, sf)))
     saved = url_dim(successful(caps), size=TX.byte_size(F.col("body")))
     errors = caps.where(F.col("status") != 200).select(
-        U.site_of(U.parse_absolute(F.col("url"))["host"]).alias("site"))
+        U.site_of(U.parsed("url")["host"]).alias("site"))
     return site_stats(saved.select("site", "rtype", "size"), errors=errors)
 
 
@@ -200,7 +209,7 @@ def q_run_stats(spark, sf):
     saved = url_dim(successful(caps), size=TX.byte_size(F.col("body")))
     failed = FL.fetch_outcomes(D.attempts_from_events(read_table(spark, sf, "events"))).where(F.col("outcome").isin("failed", "exhausted"))
     return site_stats(saved.select("site", "rtype", "size"),
-                      errors=failed.select(U.site_of(U.parse_absolute(F.col("url"))["host"]).alias("site")))
+                      errors=failed.select(U.site_of(U.parsed("url")["host"]).alias("site")))
 
 
 def q_format_bytes(spark, sf):
@@ -221,7 +230,7 @@ def q_spa_shell(spark, sf):
 
 
 def q_render_plan(spark, sf):
-    return S.render_plan(_seeds(spark, sf), D.mixed_captures(D.spa_html(_pages(spark, sf))))
+    return S.render_plan(_seeds(spark, sf), D.repeated_captures(D.mixed_captures(D.spa_html(_pages(spark, sf)))))
 
 
 def q_manifest_record(spark, sf):
@@ -290,6 +299,40 @@ def q_read_manifest(spark, sf):
     return M.manifest_upsert(old, _entries(spark, sf))
 
 
+def _two_rounds(spark, sf):
+    """The manifest after a first run over all pages and a second one over those
+    that were captured again. Its captures lie in two folders, one per run."""
+    from ..operators.incremental import record_round
+    from ..sources.manifest_store import ManifestStore
+    from ..streaming.jobs import scratch_dir
+    store = ManifestStore(spark, scratch_dir(spark, "store"))
+    caps, seeds = D.repeated_captures(_caps(spark, sf)), _seeds(spark, sf)
+    first = M.manifest_init(seeds, F.lit(1_700_000_000))
+    record_round(store, 0, caps.where(F.col("seq") < 1_000_000_000), first)
+    record_round(store, 1, caps.where(F.col("seq") >= 1_000_000_000), M.manifest_init(seeds, F.lit(1_800_000_000)))
+    return store
+
+
+def q_manifest_store(spark, sf):
+    """The stored manifest after two runs: each site's entries, visited and found
+    URLs, and its run."""
+    store = _two_rounds(spark, sf)
+    counts = [store.read(t).groupBy("site").agg(F.count("*").alias(t)) for t in ("entries", "visited", "found")]
+    out = store.read("runs").select("site", "start_url", "created_at", "updated_at")
+    for c in counts:
+        out = out.join(c, "site", "left")
+    hashes = store.read("entries").groupBy("site").agg(F.max("seq").alias("last_seq"), F.max("out_hash").alias("last_hash"))
+    return out.join(hashes, "site", "left").select(
+        "site", "start_url", "created_at", "updated_at", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("entries", "visited", "found")],
+        "last_seq", "last_hash")
+
+
+def q_incremental_rerun(spark, sf):
+    """What a third run would fetch: decisions from the stored tables only."""
+    from ..operators.incremental import next_round
+    return next_round(_two_rounds(spark, sf), _rules(spark, sf)).select("site", "url", "decision")
+
+
 def q_manifest_lookup(spark, sf):
     urls = _links(spark, sf).select("site", F.col("dst_url").alias("url")).distinct()
     return M.manifest_lookup(urls, _entries(spark, sf))
@@ -307,7 +350,7 @@ def _plan(spark, sf):
     pages = _page_urls(spark, sf).select("site", "url")
     discovered = links.unionByName(pages)
     fresh = M.freshness(_entries(spark, sf), _disk_files(spark, sf))
-    d_urls = discovered.distinct().select("site", "url", U.parse_absolute(F.col("url"))["path"].alias("path"))
+    d_urls = discovered.distinct().select("site", "url", U.parsed("url")["path"].alias("path"))
     allowed = RB.robots_filter(d_urls, _rules(spark, sf))
     return M.plan_incremental(discovered, _old_visited(spark, sf), fresh, allowed)
 
@@ -370,10 +413,10 @@ def q_rendered_requests(spark, sf):
 
 # ---------------------------------------------------------------------------
 # Streaming forms (final state of a replay equals the batch result)
-def _stream_source(spark, sf, pages=None):
+def _stream_source(spark, sf, captures=None):
     from ..streaming import jobs as SJ
     src = SJ.scratch_dir(spark, "captures")
-    SJ.write_capture_rounds(captures_from_pages(pages if pages is not None else _pages(spark, sf)), src)
+    SJ.write_capture_rounds(_caps(spark, sf) if captures is None else captures, src)
     return src
 
 
@@ -384,12 +427,14 @@ def q_stream_visited(spark, sf):
 
 def q_stream_stats(spark, sf):
     from ..streaming import jobs as SJ
-    return SJ.stream_stats(spark, _stream_source(spark, sf), SJ.scratch_dir(spark, "stats"))
+    captures = D.repeated_captures(_caps(spark, sf))
+    return SJ.stream_stats(spark, _stream_source(spark, sf, captures), SJ.scratch_dir(spark, "stats"))
 
 
 def q_stream_manifest(spark, sf):
     from ..streaming import jobs as SJ
-    m = SJ.stream_manifest(spark, _stream_source(spark, sf), SJ.scratch_dir(spark, "manifest"))
+    captures = D.repeated_captures(_caps(spark, sf))
+    m = SJ.stream_manifest(spark, _stream_source(spark, sf, captures), SJ.scratch_dir(spark, "manifest"))
     return m.select("site", "url", "path", "size", "hash", "mtime", "rtype", "out_hash", "seq")
 
 

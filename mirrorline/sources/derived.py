@@ -116,6 +116,22 @@ def attempts_from_events(events: DataFrame) -> DataFrame:
                          status.alias("status"))
 
 
+# Hosts as links spell them: names in other scripts, escapes, and addresses in every form.
+HOST_FORMS = ("[::1]", "[0:0::1]:8080", "[2001:DB8:0:0:1:0:0:1]", "[1:2:0:0:0:6:0:0]", "[::ffff:192.0.2.1]", "[1::2::3]", "[::1", "[12345::]", "bücher.example", "BÜCHER.Example",
+              "bu\u0308cher.example", "b%C3%BCcher.example", "a%2eb.com", "a%2Fb.com", "a%zz.com", "faß.de", "Straße.ẞ.de", "βόλος.com", "例え.テスト", "中国。中国", "ｆｕｌｌ．example",
+              "☃.net", "x\u00ady.com", "\u0301a.com", "☃☃-a.b☃", "0x7f.1", "0X7F.0.0.1", "017700000001", "2130706433", "1.2.3", "1.2.3.4.", "256.1.1.1", "1.2.3.4.5", "09.1.1.1", "1.2.3.08", "4294967296",
+              "0x.0x.0", "a.1.2.3.4", "1.2.3.4a", "www.1e3.example", "user:pw@HOST.example:80", "München.example:0443", "ex ample.com", "xn--bcher-kva.example", "bücher.中国.example")
+
+
+def odd_addresses(pages: DataFrame) -> DataFrame:
+    """One address per page whose host is spelt in one of the forms above, and a
+    page that links to it."""
+    pid = F.col("page_id")
+    form = _pick(HOST_FORMS, F.pmod(pid, F.lit(len(HOST_FORMS))))
+    url = F.concat(F.lit("http://"), form, F.lit("/p"), pid.cast("string"))
+    return pages.select("page_id", url.alias("url"), F.concat(F.lit('<a href="'), url, F.lit('/sub">x</a>')).alias("html"))
+
+
 def graph_edges(pages: DataFrame) -> DataFrame:
     """Two edges per page over the page_id ring: i -> (7i+1) mod N and
     i -> (3i+2) mod N, as URL pairs."""

@@ -4,10 +4,10 @@ A stream of capture files (one file per fetch round) drives:
 * ``stream_visited``  - every (site, url) admitted once: ``dropDuplicates``
   without a watermark (state grows like the visited set, so the session keeps
   it in RocksDB).
-* ``stream_stats``    - running per-site totals (``complete`` mode).
-* ``stream_manifest`` - manifest upserts in ``foreachBatch``, idempotent per
-  batch id (the batch's entries overwrite their own partition; the manifest
-  is the latest entry per (site, url) over all batches).
+* ``stream_stats``    - running per-site totals; keyed state per URL takes back what an
+  earlier capture of it had added.
+* ``stream_manifest`` - manifest upserts in ``foreachBatch``: rounds of the
+  manifest store, with compaction, idempotent per batch id.
 * ``stream_frontier`` - discovered URLs not in a static visited table
   (stream-static ``left_anti``), deduplicated by state.
 The feedback edge of a crawl (new URLs -> next fetch round) is the next
@@ -20,14 +20,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import text as TX
 from ..functions import urls as U
 from ..operators.extract import extract_links
-from ..operators.manifest import ENTRY_FIELDS, manifest_record
+from ..operators.manifest import manifest_record
 from ..operators.rewrite import build_mirror
 from ..session import ensure_checkpoint_dir
 from ..sources.captures import CAPTURES_SCHEMA, successful
+from ..sources.manifest_store import ManifestStore
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -65,40 +67,60 @@ def stream_visited(spark: SparkSession, source: str, sink: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+_COUNTS = "site string, pages bigint, images bigint, css bigint, js bigint, total_bytes bigint"
+_COUNTED = ("page", "image", "css", "js")
+
+
+def _changes(key, frames, state):
+    """What a URL's new captures change in its site's totals: the latest capture's
+    contribution less that of the one before, which the state keeps."""
+    import pandas as pd
+    seen = state.get if state.exists else None
+    best = max((t for f in frames for t in zip(f["seq"].astype("int64"), f["rtype"], f["size"].astype("int64"), strict=True)), default=None)
+    if best is None or (seen is not None and tuple(seen) >= best):
+        return
+    state.update(tuple(map(lambda v: v if isinstance(v, str) else int(v), best)))
+    row = [int(best[1] == t) - int(seen is not None and seen[1] == t) for t in _COUNTED] + [int(best[2]) - (int(seen[2]) if seen is not None else 0)]
+    yield pd.DataFrame([[key[0], *row]], columns=["site", "pages", "images", "css", "js", "total_bytes"])
+
+
 def stream_stats(spark: SparkSession, source: str, sink: str) -> DataFrame:
+    """Running totals per site, in which a URL counts once, with its latest capture,
+    in whatever order captures come. Keyed state holds each URL's contribution
+    (sequence, type, size); a later capture retracts it. A batch's changes are
+    summed per site and overwrite the batch's own partition, so a replayed batch
+    changes nothing; the totals are the sums over all batches."""
     caps = successful(capture_stream(spark, source))
-    typed = (caps.select(U.parse_absolute(F.col("url")).alias("u"), "content_type", "body")
+    typed = (caps.select(U.parsed("url").alias("u"), "content_type", "body", "seq")
              .where(F.col("u").isNotNull())
-             .select(U.site_of(F.col("u.host")).alias("site"),
+             .select(U.site_of(F.col("u.host")).alias("site"), U.serialize(F.col("u")).alias("url"),
                      U.classify_resource(F.col("content_type"), F.col("u.path")).alias("rtype"),
-                     TX.byte_size(F.col("body")).alias("size")))
-    agg = typed.groupBy("site").agg(
-        F.count_if(F.col("rtype") == "page").alias("pages"),
-        F.count_if(F.col("rtype") == "image").alias("images"),
-        F.count_if(F.col("rtype") == "css").alias("css"),
-        F.count_if(F.col("rtype") == "js").alias("js"),
-        F.sum("size").cast("bigint").alias("total_bytes"))
-
-    def keep_latest(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
-
-    _run(agg.writeStream.outputMode("complete").foreachBatch(keep_latest), sink + "_ckpt")
-    return spark.read.parquet(sink)
+                     TX.byte_size(F.col("body")).alias("size"), "seq"))
+    changes = typed.groupBy("site", "url").applyInPandasWithState(
+        _changes, _COUNTS, "seq bigint, rtype string, size bigint", "update", GroupStateTimeout.NoTimeout)
+    totals = [F.sum(c).cast("bigint").alias(c) for c in ("pages", "images", "css", "js", "total_bytes")]
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy("site").agg(*totals).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+
+    _run(changes.writeStream.outputMode("update").foreachBatch(keep), sink + "_ckpt")
+    return spark.read.parquet(sink).groupBy("site").agg(*totals)
 
 
 def stream_manifest(spark: SparkSession, source: str, sink: str) -> DataFrame:
-    caps = successful(capture_stream(spark, source))
+    """Manifest upserts: each micro-batch is a round of the manifest store, added as
+    deltas that are folded into a new base every few batches. A replayed batch is
+    known by its id, so it changes nothing; a read costs the live entries and a
+    bounded number of deltas."""
+    caps = successful(capture_stream(spark, source, files_per_batch=1))
+    store = ManifestStore(spark, sink)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        entries = manifest_record(build_mirror(batch)).withColumn("batch_id", F.lit(batch_id))
-        (entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink))
+        store.append(batch_id, entries=manifest_record(build_mirror(batch)))
 
     _run(caps.writeStream.foreachBatch(upsert), sink + "_ckpt")
-    all_entries = spark.read.parquet(sink)
-    best = all_entries.groupBy("site", "url").agg(
-        F.max_by(F.struct(*ENTRY_FIELDS, "seq"), F.struct("seq", "batch_id")).alias("e"))
-    return best.select("site", "url", *[F.col(f"e.{c}").alias(c) for c in ENTRY_FIELDS + ["seq"]])
+    return store.read("entries")
 
 
 def stream_frontier(spark: SparkSession, source: str, visited: DataFrame, sink: str) -> DataFrame:

@@ -439,11 +439,19 @@ def q_extract_srcset() -> str:
     return _link_stage(st2, (), SETS).sql(LINK_SELECT)
 
 
+def latest_sql(source_sql: str) -> str:
+    """The latest of all successful captures of a URL."""
+    st = Stages(f"SELECT * FROM ({source_sql}) WHERE status = 200", name="la")
+    parse_abs(st, "url", "u")
+    st.where("u_ok")
+    return st.sql(f"SELECT url, status, content_type, last_modified, body, seq FROM {{prev}} "
+                  f"QUALIFY row_number() OVER (PARTITION BY {serialize('u')} ORDER BY seq DESC) = 1")
+
+
 def q_site_summary() -> str:
-    caps = f"SELECT * FROM ({captures_from_pages()}) WHERE status = 200"
+    caps = latest_sql(repeated(captures_from_pages()))
     st = Stages(caps, name="ty")
     parse_abs(st, "url", "u")
-    st.where("u_ok")
     typed = st.sql(f"SELECT {site_of('u_host')} AS site, {classify('content_type', 'u_path')} AS rtype, "
                    f"CAST(octet_length(encode(body)) AS BIGINT) AS size FROM {{prev}}")
     links = links_sql(caps, "sl").sql(f"SELECT site, {serialize('d')} AS dst_url FROM {{prev}}")
@@ -1016,7 +1024,7 @@ def seeds_sql() -> str:
 
 
 def q_render_plan() -> str:
-    st = Stages(f"SELECT * FROM ({mixed_captures('(' + spa_pages() + ')')}) WHERE status = 200", name="rp")
+    st = Stages(latest_sql(repeated(mixed_captures('(' + spa_pages() + ')'))), name="rp")
     parse_abs(st, "url", "u")
     st.where("u_ok")
     st.add(k=serialize("u"), lo="lower(body)", html="body")
@@ -1067,12 +1075,35 @@ def q_stream_visited() -> str:
 
 
 def q_stream_stats() -> str:
-    rows = f"SELECT site, rtype, size, 0 AS err FROM ({mirror_plain_sql(captures_from_pages())})"
-    return (f"SELECT site, pages, images, css, js, total_bytes FROM ({stats_sql(rows)})")
+    rows = f"SELECT site, rtype, size, 0 AS err FROM ({saved_sizes(repeated(captures_from_pages()))})"
+    return f"SELECT site, pages, images, css, js, total_bytes FROM ({stats_sql(rows)})"
 
 
 def q_stream_manifest() -> str:
-    return entries_sql(captures_from_pages())
+    return entries_sql()
+
+
+def found_sql() -> str:
+    links = links_sql(f"SELECT * FROM ({repeated(captures_from_pages())}) WHERE status = 200", "fl")
+    return links.sql(f"SELECT DISTINCT site, {serialize('d')} AS url FROM {{prev}}")
+
+
+def q_manifest_store() -> str:
+    return (f"WITH e AS ({entries_sql()}), f AS ({found_sql()}), s AS ({seeds_sql()}) "
+            f"SELECT s.site, s.seed_url AS start_url, '1700000000' AS created_at, '1800000000' AS updated_at, "
+            f"(SELECT count(*) FROM e WHERE e.site = s.site) AS entries, (SELECT count(DISTINCT url) FROM e WHERE e.site = s.site) AS visited, "
+            f"(SELECT count(*) FROM f WHERE f.site = s.site) AS found, (SELECT max(seq) FROM e WHERE e.site = s.site) AS last_seq, "
+            f"(SELECT max(out_hash) FROM e WHERE e.site = s.site) AS last_hash FROM s")
+
+
+def q_incremental_rerun() -> str:
+    disc = f"SELECT DISTINCT site, url FROM (SELECT site, url FROM ({entries_sql()}) UNION ALL SELECT site, url FROM ({found_sql()}))"
+    st = Stages(disc, name="ir")
+    parse_abs(st, "url", "u")
+    allowed = robots_filter_sql(st.sql("SELECT site, url, u_path AS path FROM {prev}"))
+    return (f"WITH d AS ({disc}), v AS (SELECT DISTINCT site, url FROM ({entries_sql()})), a AS ({allowed}) "
+            f"SELECT d.site, d.url, CASE WHEN v.url IS NOT NULL THEN 'visited' WHEN NOT a.allowed THEN 'robots' ELSE 'fetch' END AS decision "
+            f"FROM d LEFT JOIN v ON d.site = v.site AND d.url = v.url JOIN a ON d.site = a.site AND d.url = a.url")
 
 
 def q_stream_frontier() -> str:
@@ -1104,3 +1135,21 @@ def q_rewrite_css() -> str:
     st.select(f"SELECT d.*, r.content FROM {docs} d JOIN (SELECT url AS k, string_agg(piece, '' ORDER BY i) "
               f"AS content FROM {pieces} GROUP BY url) r ON d.url = r.k")
     return st.sql(f"SELECT {serialize('u')} AS url, css_path AS offline_path, content FROM {{prev}}")
+
+
+# What the URL standard makes of each host form (with its port), in the order of
+# the forms; NULL where it rejects the address.
+HOST_RESULTS = ("[::1]", "[::1]:8080", "[2001:db8::1:0:0:1]", "[1:2::6:0:0]", "[::ffff:c000:201]", None, None, None, "xn--bcher-kva.example", "xn--bcher-kva.example",
+                "xn--bcher-kva.example", "xn--bcher-kva.example", "a.b.com", None, None, "xn--fa-hia.de", "xn--strae-oqa.xn--zca.de", "xn--nxasmm1c.com", "xn--r8jz45g.xn--zckzah", "xn--fiqs8s.xn--fiqs8s", "full.example",
+                "xn--n3h.net", "xy.com", None, "xn---a-esxa.xn--b-1xp", "127.0.0.1", "127.0.0.1", "127.0.0.1", "127.0.0.1", "1.2.0.3", "1.2.3.4", None, None, None, None, None,
+                "0.0.0.0", None, "1.2.3.4a", "www.1e3.example", "host.example", "xn--mnchen-3ya.example:443", None, "xn--bcher-kva.example", "xn--bcher-kva.xn--fiqs8s.example")
+
+
+def q_host_forms() -> str:
+    n = len(HOST_RESULTS)
+    host = f"CASE page_id % {n} " + " ".join(f"WHEN {i} THEN {q(h)}" for i, h in enumerate(HOST_RESULTS) if h is not None) + " END"
+    return (f"WITH h AS (SELECT page_id, {host} AS host FROM pages), "
+            f"u AS (SELECT page_id, 'http://' || host || '/p' || page_id AS url, "
+            f"regexp_replace(regexp_replace(host, ':[0-9]+$', ''), '^www[.]', '') AS bare, host FROM h) "
+            f"SELECT page_id, url, CASE WHEN starts_with(host, '[') THEN regexp_extract(host, '^([[][^]]*[]])', 1) ELSE bare END AS site, "
+            f"url || '/sub' AS dst_url FROM u")
