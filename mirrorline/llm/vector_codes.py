@@ -9,8 +9,8 @@ Distances are taken between Walsh-Hadamard transforms. Parts and entries are
 padded with zeros to a power of two P and transformed in integers, which turns
 a squared distance into P times itself; the squared differences are added up
 coefficient by coefficient in sequency order (slowly varying patterns first).
-An entry goes as soon as its sum exceeds the whole distance of the entry that
-led after the first coefficients; equal sums stay, so ties are decided at the
+Every few coefficients an entry goes if its sum exceeds the whole distance of
+the entry that leads by then; equal sums stay, so ties are decided at the
 end, by the lower index.
 
 Codebooks have at most 256 entries, so they and the sums of a round (one per
@@ -42,8 +42,9 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 LARGEST = float(2**52)
-#: Parts that are compared with a codebook at once.
-SLAB = 4096
+#: Parts that are compared with a codebook at once, coefficients between two
+#: eliminations, and the share (1 / DENSE) of pairs alive below which they are listed.
+SLAB, STEP, DENSE = 128, 4, 10
 
 
 def sequency_order(size: int) -> np.ndarray:
@@ -92,24 +93,38 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _eliminate(own: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = own.shape[1]
-    first = min(2, size)
-    sums = sum((own[:, s, None] - book[None, :, s]) ** 2 for s in range(first))
-    leader = np.argmin(sums, axis=1)
-    bound = ((own - book[leader]) ** 2).sum(axis=1)
-    row, entry = np.nonzero(sums <= bound[:, None])  # by row, then entry
-    sums, at, width = sums[row, entry], first, first
-    while at < size:
-        to = min(at + width, size)
+    """All entries stay side by side while many of them are alive; then only the
+    pairs of a part and an entry that are."""
+    size, every = own.shape[1], np.arange(len(own))
+    columns = np.ascontiguousarray(book.T)
+    sums = np.zeros((len(own), len(book)), own.dtype)
+    at = 0
+    while True:
+        to = min(at + STEP, size)
         for s in range(at, to):
-            sums = sums + (own[row, s] - book[entry, s]) ** 2
+            difference = own[:, s, None] - columns[s]
+            difference *= difference
+            sums += difference
+        at = to
+        if at == size:
+            return np.argmin(sums, axis=1), np.min(sums, axis=1) // size
+        leader = np.argmin(sums, axis=1)
+        bound = ((own - book[leader]) ** 2).sum(axis=1)
+        alive = sums <= bound[:, None]
+        if np.count_nonzero(alive) * DENSE < alive.size:
+            break
+    row, entry = np.nonzero(alive)  # by row, then entry
+    sums = sums[row, entry]
+    while at < size:
+        to = min(at + STEP, size)
+        sums = sums + ((own[row, at:to] - book[entry, at:to]) ** 2).sum(axis=1)
         stay = sums <= bound[row]
         row, entry, sums = row[stay], entry[stay], sums[stay]
-        at, width = to, width * 2
-    starts = np.searchsorted(row, np.arange(len(own)))  # the leader stays, so every row has one
+        at = to
+    starts = np.searchsorted(row, every)  # the leader stays, so every row has one
     least = np.minimum.reduceat(sums, starts)
     ties = np.flatnonzero(sums == least[row])
-    best = ties[np.searchsorted(row[ties], np.arange(len(own)))]
+    best = ties[np.searchsorted(row[ties], every)]
     return entry[best], least // size
 
 
