@@ -35,7 +35,7 @@ TOP_TERMS = 50
 SMOOTH = 5
 SCALE = 1_000_000_000
 #: Terms of a block (about), and groups of a tile (about): what one task holds at once.
-BLOCK_TERMS = 1 << 16
+BLOCK_TERMS = 1 << 13
 TILE_GROUPS = 16
 #: Distinct (group, term) counts that a counting task holds before it sends them on.
 HELD_COUNTS = 200_000
