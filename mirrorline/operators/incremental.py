@@ -20,13 +20,16 @@ from .rewrite import build_mirror
 from .robots import robots_filter
 
 
-def record_round(store: ManifestStore, round_id: int, captures: DataFrame, runs: DataFrame | None = None) -> bool:
-    """Add a round's captures to the manifest; False if it had been added before."""
+def record_round(store: ManifestStore, round_id: int, captures: DataFrame, runs: DataFrame | None = None, asked: DataFrame | None = None) -> bool:
+    """Add a round's captures to the manifest; False if it had been added before.
+    URLs that were ``asked`` for (site, url) are visited, answered or not."""
     ok = successful(captures)
     entries = manifest_record(build_mirror(ok))
     found = extract_links(ok).select("site", F.col("dst_url").alias("url")).distinct()
     visited = captures.select(U.parsed("url").alias("u")).where("u is not null").select(
         U.site_of(F.col("u.host")).alias("site"), U.serialize(F.col("u")).alias("url")).distinct()
+    if asked is not None:
+        visited = visited_union(visited, asked)
     if runs is not None:
         runs = manifest_touch(store.read("runs"), runs)
     return store.append(round_id, runs=runs, entries=entries, found=found, visited=visited)

@@ -333,6 +333,49 @@ def q_incremental_rerun(spark, sf):
     return next_round(_two_rounds(spark, sf), _rules(spark, sf)).select("site", "url", "decision")
 
 
+def _crawl_rules(spark, sf):
+    return RB.robots_rules(D.robots_texts(D.crawl_pages(_pages(spark, sf))))
+
+
+def q_check_seeds(spark, sf):
+    """Seeds as typed, and whether their site's robots rules allow them."""
+    from ..operators.crawl import check_seeds
+    return check_seeds(D.seed_inputs(_pages(spark, sf)), _rules(spark, sf)).select("seed_url", "ok", "site", "url", "allowed")
+
+
+def q_crawl_rounds(spark, sf):
+    """A crawl from each site's first page until nothing new is found: the round that
+    asked for each URL, and whether it was saved."""
+    from ..operators.crawl import crawl, crawl_log, recorded
+    from ..sources.manifest_store import ManifestStore
+    from ..streaming.jobs import scratch_dir
+    pages = _pages(spark, sf)
+    store = ManifestStore(spark, scratch_dir(spark, "crawl"))
+    crawl(store, recorded(D.mixed_captures(D.crawl_pages(pages))), D.crawl_seeds(pages), _crawl_rules(spark, sf))
+    saved = store.read("entries").select("site", "url", F.lit(True).alias("_saved"))
+    return crawl_log(store).join(saved, ["site", "url"], "left").select("site", "url", "round", F.col("_saved").isNotNull().alias("saved"))
+
+
+def _checked_captures(spark, sf):
+    from ..sources.captures import load_captures_checked
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(spark, "lines")
+    D.capture_lines(_pages(spark, sf)).write.text(path)
+    return load_captures_checked(spark, path)
+
+
+def q_capture_errors(spark, sf):
+    """Records of a capture file that cannot be used, each with its reason."""
+    return _checked_captures(spark, sf)[1].select("site", "url", "seq", "status", "reason", "record")
+
+
+def q_capture_totals(spark, sf):
+    """Totals per site of a capture file: what was saved, and its bad records."""
+    good, bad = _checked_captures(spark, sf)
+    saved = url_dim(good, size=TX.byte_size(F.col("body")))
+    return site_stats(saved.select("site", "rtype", "size"), errors=bad.where("site is not null").select("site"))
+
+
 def q_manifest_lookup(spark, sf):
     urls = _links(spark, sf).select("site", F.col("dst_url").alias("url")).distinct()
     return M.manifest_lookup(urls, _entries(spark, sf))

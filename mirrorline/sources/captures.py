@@ -51,6 +51,35 @@ def load_captures(spark: SparkSession, path: str, fmt: str = "parquet", binary:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def load_captures_checked(spark: SparkSession, path: str, fmt: str = "json", binary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Captures that can be used, and a table of errors: one row for every record
+    that is malformed, has no usable address or number, or failed.
+
+    errors(site, url, seq, status, reason, outcome, record): the first reason that
+    holds; ``record`` is the text of a malformed one (of which nothing else is
+    trusted), ``outcome`` is "failed", so that ``error_stats`` takes the table."""
+    body = T.BinaryType() if binary else T.StringType()
+    fields = [T.StructField(f.name, body) if f.name == "body" else f for f in CAPTURES_SCHEMA.fields]
+    reader = spark.read.schema(T.StructType([*fields, T.StructField("_bad", T.StringType())]))
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").format(fmt).load(path)
+    from ..functions import urls as U
+    u = U.parsed("url")
+    reason = (F.when(F.col("_bad").isNotNull(), F.lit("malformed record"))
+              .when(F.trim(F.coalesce("url", F.lit(""))) == "", F.lit("missing url"))
+              .when(u.isNull(), F.lit("invalid url"))
+              .when(F.col("seq").isNull(), F.lit("missing seq"))
+              .when(F.col("status").isNull(), F.lit("no response"))
+              .when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))))
+    # status and seq stay in both, so that their types are checked for both
+    marked = rows.withColumn("reason", reason)
+    good = marked.where(F.col("reason").isNull()).select(*[f.name for f in CAPTURES_SCHEMA.fields])
+    whole = F.col("_bad").isNull()
+    bad = marked.where(F.col("reason").isNotNull()).select(
+        F.when(whole, U.site_of(u["host"])).alias("site"), *[F.when(whole, F.col(c)).alias(c) for c in ("url", "seq", "status")],
+        "reason", F.lit("failed").alias("outcome"), F.col("_bad").alias("record"))
+    return good, bad
+
+
 def text_bodies(captures: DataFrame) -> DataFrame:
     """Captures with binary bodies read as UTF-8, U+FFFD for malformed bytes: what
     the link extraction takes."""

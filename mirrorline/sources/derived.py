@@ -180,3 +180,43 @@ def spa_html(pages: DataFrame) -> DataFrame:
             .when(r == 5, F.concat(F.lit(head + '<div id="root"></div><noscript>'), F.col("page_id").cast("string"), F.lit("</noscript>")))
             .otherwise(F.col("html")))
     return pages.select("page_id", "url", html.alias("html"))
+
+
+CRAWL_SITES, CRAWL_FAN = 8, 4
+
+
+def _crawl_url(number):
+    """Address of a page by its number: eight sites, whose names differ in length,
+    and three languages."""
+    site = F.pmod(number, F.lit(CRAWL_SITES))
+    lang = _pick(("en", "fr", "es"), F.pmod(number, F.lit(3)))
+    return F.concat(F.lit("https://s"), site.cast("string"), F.repeat(F.lit("x"), F.pmod(site, F.lit(4)).cast("int")),
+                    F.lit(".example/"), lang, F.lit("/"), number.cast("string"))
+
+
+def crawl_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose links form a tree per site (page n of a site links to pages
+    4n + 1 to 4n + 4), beside the links they have."""
+    pid = F.col("page_id").cast("bigint")
+    rank = F.floor(pid / CRAWL_SITES)
+    linked = [F.concat(F.lit('<a href="'), _crawl_url((rank * CRAWL_FAN + k) * CRAWL_SITES + F.pmod(pid, F.lit(CRAWL_SITES))), F.lit('">n</a>')) for k in range(1, CRAWL_FAN + 1)]
+    return pages.select("page_id", _crawl_url(pid).alias("url"), F.concat("html", *linked).alias("html"))
+
+
+def crawl_seeds(pages: DataFrame) -> DataFrame:
+    """The first page of each site."""
+    p = crawl_pages(pages.where(F.col("page_id") < CRAWL_SITES))
+    return p.select(F.regexp_extract("url", "^https://([^/]*)", 1).alias("site"), F.col("url").alias("seed_url"))
+
+
+def capture_lines(pages: DataFrame) -> DataFrame:
+    """Captures as JSON lines, with each kind of bad record among them."""
+    pid = F.col("page_id").cast("string")
+    r = F.pmod(F.col("page_id"), F.lit(13))
+    url = (F.when(r == 1, F.lit("null")).when(r == 2, F.lit('"no address"')).when(r == 8, F.lit('" "'))
+           .otherwise(F.concat(F.lit('"'), F.col("url"), F.lit('"'))))
+    status = (F.when(r == 3, F.lit("null")).when(r == 4, F.lit("404")).when(r == 5, F.lit('"soon"')).when(r == 9, F.lit("503")).otherwise(F.lit("200")))
+    seq = F.when(r == 6, F.lit("null")).otherwise(pid)
+    body = F.regexp_replace("html", "[^A-Za-z0-9<>/ ]", "")
+    line = F.concat(F.lit('{"url":'), url, F.lit(',"status":'), status, F.lit(',"seq":'), seq, F.lit(',"content_type":"text/html","body":"'), body)
+    return pages.select(F.when(r == 0, line).when(r == 7, F.lit("<html>")).otherwise(F.concat(line, F.lit('"}'))).alias("value"))

@@ -682,10 +682,10 @@ def q_rendered_frontier() -> str:
 
 # --------------------------------------------------------------------------
 # Robots
-def rules_sql() -> str:
+def rules_sql(texts: str | None = None) -> str:
     body_lines = (f"SELECT site, CAST(i - 1 AS INTEGER) AS line, {trim_ws('parts[i]')} AS text FROM "
                   f"(SELECT site, string_split(body, chr(10)) AS parts, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i "
-                  f"FROM ({robots_texts()}) WHERE body IS NOT NULL)")
+                  f"FROM ({texts or robots_texts()}) WHERE body IS NOT NULL)")
     agent = f"CASE WHEN starts_with(text, 'User-agent:') THEN {trim_ws('substr(text, 12)')} = '*' END"
     return (f"WITH l AS (SELECT * FROM ({body_lines}) WHERE text <> '' AND NOT starts_with(text, '#')), "
             f"m AS (SELECT *, {agent} AS agent FROM l), "
@@ -708,9 +708,9 @@ def q_robots_counts() -> str:
             f"FROM ({rules_sql()}) GROUP BY site")
 
 
-def robots_filter_sql(urls_sql: str) -> str:
+def robots_filter_sql(urls_sql: str, texts: str | None = None) -> str:
     """urls_sql has site, url, path; adds allowed."""
-    return (f"WITH u AS ({urls_sql}), r AS ({rules_sql()}), "
+    return (f"WITH u AS ({urls_sql}), r AS ({rules_sql(texts)}), "
             f"m AS (SELECT u.site, u.url, max(CASE WHEN NOT r.allow THEN octet_length(encode(r.prefix)) END) AS d, "
             f"max(CASE WHEN r.allow THEN octet_length(encode(r.prefix)) END) AS a FROM u JOIN r ON u.site = r.site "
             f"AND starts_with(u.path, r.prefix) GROUP BY u.site, u.url) "
@@ -1106,6 +1106,73 @@ def q_incremental_rerun() -> str:
             f"FROM d LEFT JOIN v ON d.site = v.site AND d.url = v.url JOIN a ON d.site = a.site AND d.url = a.url")
 
 
+def crawl_url(n: str) -> str:
+    """A page's address by its number."""
+    return (f"('https://s' || CAST(({n}) % 8 AS VARCHAR) || repeat('x', CAST(({n}) % 8 % 4 AS BIGINT)) || '.example/' || "
+            f"{pick(('en', 'fr', 'es'), f'({n}) % 3')} || '/' || CAST({n} AS VARCHAR))")
+
+
+def crawl_pages() -> str:
+    links = " || ".join("'<a href=\"' || " + crawl_url(f"((page_id // 8) * 4 + {k}) * 8 + page_id % 8") + " || '\">n</a>'" for k in (1, 2, 3, 4))
+    return f"SELECT page_id, {crawl_url('page_id')} AS url, html || {links} AS html FROM pages"
+
+
+def q_check_seeds() -> str:
+    st = Stages(f"SELECT row_number() OVER () AS n, seed_url, ok FROM ({q_seeds()})", name="cs")
+    parse_abs(st, "seed_url", "u")
+    own = st.sql(f"SELECT n, seed_url, ok, CASE WHEN ok THEN {site_of('u_host')} END AS site, "
+                 f"CASE WHEN ok THEN {serialize('u')} END AS url, CASE WHEN ok THEN u_path END AS path FROM {{prev}}")
+    return (f"WITH s AS MATERIALIZED ({own}), a AS ({robots_filter_sql('SELECT DISTINCT site, url, path FROM s WHERE ok')}) "
+            "SELECT s.seed_url, s.ok, s.site, s.url, a.allowed FROM s LEFT JOIN a ON s.site = a.site AND s.url = a.url")
+
+
+def q_crawl_rounds() -> str:
+    """Breadth first over the links of saved pages, as far as robots rules allow."""
+    ok = f"SELECT * FROM ({mixed_captures('(' + crawl_pages() + ')')}) WHERE status = 200"
+    links = links_sql(ok, "cr").sql(f"SELECT DISTINCT src_url, {serialize('d')} AS url, site, d_path AS path FROM {{prev}}")
+    allowed = robots_filter_sql("SELECT DISTINCT site, url, path FROM e", "SELECT * FROM bodies")
+    bodies = f"SELECT site, {pick(ROBOTS, f'length(site) % {len(ROBOTS)}')} AS body FROM (SELECT DISTINCT {page_site()} AS site FROM ({crawl_pages()}))"
+    return (f"WITH RECURSIVE bodies AS MATERIALIZED ({bodies}), e AS MATERIALIZED ({links}), a AS MATERIALIZED ({allowed}), "
+            f"ok AS MATERIALIZED (SELECT url FROM ({ok})), "
+            f"r(site, url, round) AS (SELECT {page_site()}, url, 0 FROM ({crawl_pages()}) WHERE page_id < 8 UNION "
+            "SELECT e.site, e.url, r.round + 1 FROM r JOIN e ON r.url = e.src_url JOIN a ON a.site = e.site AND a.url = e.url "
+            "WHERE a.allowed AND r.round < (SELECT count(*) FROM pages)) "
+            "SELECT site, url, CAST(min(round) AS INTEGER) AS round, url IN (SELECT url FROM ok) AS saved FROM r GROUP BY site, url")
+
+
+def capture_lines() -> str:
+    r = "page_id % 13"
+    line = (f"""'{{"url":' || CASE {r} WHEN 1 THEN 'null' WHEN 2 THEN '"no address"' WHEN 8 THEN '" "' ELSE '"' || url || '"' END || """
+            f"""',"status":' || CASE {r} WHEN 3 THEN 'null' WHEN 4 THEN '404' WHEN 5 THEN '"soon"' WHEN 9 THEN '503' ELSE '200' END || """
+            f"""',"seq":' || CASE {r} WHEN 6 THEN 'null' ELSE CAST(page_id AS VARCHAR) END || """
+            """',"content_type":"text/html","body":"' || regexp_replace(html, '[^A-Za-z0-9<>/ ]', '', 'g')""")
+    return f"SELECT CASE {r} WHEN 0 THEN {line} WHEN 7 THEN '<html>' ELSE {line} || '\"}}' END AS line FROM pages"
+
+
+def checked_sql() -> str:
+    """Records with the first reason not to use them, or none."""
+    st = Stages(f"SELECT line, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM ({capture_lines()})", name="cl")
+    st.add(bad="j IS NULL OR json_type(j, '$.status') NOT IN ('UBIGINT', 'BIGINT', 'NULL') OR json_type(j, '$.seq') NOT IN ('UBIGINT', 'BIGINT', 'NULL')",
+           url="json_extract_string(j, '$.url')", status="TRY_CAST(json_extract_string(j, '$.status') AS INTEGER)",
+           seq="TRY_CAST(json_extract_string(j, '$.seq') AS BIGINT)", body="json_extract_string(j, '$.body')",
+           content_type="json_extract_string(j, '$.content_type')", last_modified="NULL::VARCHAR")
+    parse_abs(st, "url", "u")
+    reason = ("CASE WHEN bad THEN 'malformed record' WHEN trim(coalesce(url, '')) = '' THEN 'missing url' WHEN NOT coalesce(u_ok, false) THEN 'invalid url' "
+              "WHEN seq IS NULL THEN 'missing seq' WHEN status IS NULL THEN 'no response' WHEN status <> 200 THEN 'status ' || CAST(status AS VARCHAR) END")
+    return st.sql(f"SELECT *, {reason} AS reason, CASE WHEN NOT bad AND u_ok THEN {site_of('u_host')} END AS site FROM {{prev}}")
+
+
+def q_capture_errors() -> str:
+    kept = ", ".join(f"CASE WHEN NOT bad THEN {c} END AS {c}" for c in ("url", "seq", "status"))
+    return f"SELECT site, {kept}, reason, CASE WHEN bad THEN line END AS record FROM ({checked_sql()}) WHERE reason IS NOT NULL"
+
+
+def q_capture_totals() -> str:
+    good = f"SELECT url, status, content_type, last_modified, body, seq FROM ({checked_sql()}) WHERE reason IS NULL"
+    errors = f"SELECT site FROM ({checked_sql()}) WHERE reason IS NOT NULL AND site IS NOT NULL"
+    return stats_sql(f"SELECT site, rtype, size, 0 AS err FROM ({saved_sizes(good)}) UNION ALL SELECT site, NULL, 0, 1 FROM ({errors})")
+
+
 def q_stream_frontier() -> str:
     return q_frontier()
 
