@@ -10,8 +10,13 @@ layer. A secret found behind escapes is reported at
 the characters that stand for it, one found in base64 at the outermost run that
 held it, in characters of the text.
 
-A compressed layer that opens to more than ``MAX_INFLATED`` bytes raises an
-error rather than being cut, unless the caller sets a larger bound.
+A compressed layer that opens to more than ``WINDOW`` bytes is read as a stream,
+in windows of that size that overlap, so memory is bounded and nothing is left
+out: its secrets all lie at the run that held it, so a window need only hold
+enough of a match to show that there is one. What is encoded inside such a layer
+is opened from each window as far as that window holds it; only a match with more
+than ``OVERLAP`` characters between key and value, or an inner compressed member
+of more than a window, can be missed in part.
 
 Defined cases: a null text is empty (and stays null when redacted); equal spans
 of one kind are reported once; copies and repeated rows each get their own
@@ -53,7 +58,9 @@ BREAK = re.compile(_BREAK)
 LINE_END = re.compile(r"""[\x20\t]*(?:\r?\n|(?:\\r)?\\n|\Z)|["'`<)}\]]""")
 URL_SAFE = str.maketrans("-_", "+/")
 GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
-MAX_INFLATED = 64 << 20
+WINDOW = 16 << 20
+OVERLAP = 1 << 16
+PART = 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -72,49 +79,78 @@ def _compressed(data: bytes, at: int) -> bool:
     return len(data) > at + 2 and data[at] & 0x8F == 8 and not data[at + 1] & 0x20 and (data[at] << 8 | data[at + 1]) % 31 == 0
 
 
-def _members(data: bytes, at: int, most: int) -> tuple[bytes, int]:
-    """Content of the compressed members that follow each other from a place on,
-    and the end of the last whole one. Of a member that is broken or ends early,
-    all that opens counts."""
-    out, total, view = [], 0, memoryview(data)
-    while _compressed(data, at):
-        unpack, next_ = zlib.decompressobj(wbits=47), at  # either header
-        step = 1024
+def _inflated(data: bytes, place: list[int]):
+    """Content, in parts, of the compressed members that follow each other from
+    ``place[0]`` on, which moves to the end of each whole one. Of a member that is
+    broken or ends early, all that opens counts."""
+    view = memoryview(data)
+    while _compressed(data, place[0]):
+        unpack, next_, step = zlib.decompressobj(wbits=47), place[0], 1024  # either header
         while not unpack.eof and next_ < len(data):
-            before = unpack.copy() if step > 1 else None
-            try:
-                part = unpack.decompress(view[next_:next_ + step], most + 1 - total)
-            except zlib.error:
-                if step == 1:
-                    return b"".join(out), at
-                unpack, step = before, 1
-                continue
-            out.append(part)
-            total += len(part)
-            if total > most:
-                raise ValueError(f"a compressed layer opens to more than {most} bytes")
+            todo = view[next_:next_ + step]
             next_ += step
-            step = min(2 * step, 1 << 20) if step > 1 else 1
+            step = min(2 * step, 1 << 20)
+            while len(todo) and not unpack.eof:
+                before = unpack.copy()
+                try:
+                    part = unpack.decompress(todo, PART)
+                except zlib.error:  # byte by byte up to the fault
+                    for k in range(len(todo)):
+                        try:
+                            yield before.decompress(todo[k:k + 1])
+                        except zlib.error:
+                            return
+                    return
+                todo = unpack.unconsumed_tail
+                yield part
         if not unpack.eof:
-            break
-        at = min(next_, len(data)) - len(unpack.unused_data)
-    return b"".join(out), at
+            try:
+                yield unpack.flush()
+            except zlib.error:
+                pass
+            return
+        place[0] = min(next_, len(data)) - len(unpack.unused_data)
+
+
+def _windows(parts, most: int):
+    """The content in one piece if that has at most ``most`` bytes, else in overlapping ones."""
+    held, overlap, new = bytearray(), min(OVERLAP, most // 2), False
+    for part in parts:
+        held += part
+        new = new or bool(part)
+        while len(held) > most:
+            yield bytes(held[:most])
+            del held[:most - overlap]
+    if new:
+        yield bytes(held)
+
+
+def _members(data: bytes, places, most: int, seen: set):
+    """Contents, new to ``seen``, of the compressed members at the places or, gzip, anywhere."""
+    end = 0
+    for at in sorted({*places, *(m.start() for m in GZIP.finditer(data))}):
+        if at >= end and _compressed(data, at):
+            place = [at]
+            for window in _windows(_inflated(data, place), most):
+                key = hashlib.sha256(window).digest()
+                if key not in seen:
+                    seen.add(key)
+                    yield window
+            end = place[0]
 
 
 def _opened(data: bytes, places, most: int):
-    """Contents of the compressed members at the places or, gzip, anywhere, and
-    of those inside them."""
-    seen, todo = set(), [(data, places)]
+    """Contents of the compressed members in the bytes, and of those inside them;
+    of what lies side by side only one is held at a time."""
+    seen = set()
+    todo = [_members(data, places, most, seen)]
     while todo:
-        data, places = todo.pop()
-        end = 0
-        for at in sorted({*places, *(m.start() for m in GZIP.finditer(data))}):
-            if at >= end and _compressed(data, at):
-                inner, end = _members(data, at, most)
-                if inner and inner not in seen:
-                    seen.add(inner)
-                    yield inner
-                    todo.append((inner, (0,)))
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+        else:
+            yield inner
+            todo.append(_members(inner, (0,), most, seen))
 
 
 def _from_base64(body: str, lines, most: int):
@@ -214,7 +250,7 @@ def decoded(layer: str, place: Place, escapes: re.Pattern, opened):
             yield m[0], place if inside else Place(starts[m.start():m.end()], ends[m.start():m.end()])
 
 
-def unwrapped(layer: str, place: Place, most: int = MAX_INFLATED):
+def unwrapped(layer: str, place: Place, most: int = WINDOW):
     """(inner text, its place) of everything encoded in a layer."""
     for sign, escapes, opened in (("%", PERCENT, _percent), ("\\u", UNICODE, _unicode)):
         if sign in layer:
@@ -227,23 +263,25 @@ def unwrapped(layer: str, place: Place, most: int = MAX_INFLATED):
             yield inner, place.run(start, end)
 
 
-def find_in_text(text: str, most: int = MAX_INFLATED) -> tuple[list, list]:
+def find_in_text(text: str, most: int = WINDOW) -> tuple[list, list]:
     """Base matches of the text itself, and all spans with those of inner layers
     mapped to the text: (start, kind, end)."""
     base = scan(text)
     found, seen = set(base), set()
-    todo = [(text, Place(range(len(text)), range(1, len(text) + 1)))]
+    todo = [unwrapped(text, Place(range(len(text)), range(1, len(text) + 1)), most)]
     while todo:
-        layer, place = todo.pop()
-        if layer is not text:
-            for start, kind, end in scan(layer):
-                start, end = place.of(start, end)
-                found.add((start, kind, end))
-        for inner, where in unwrapped(layer, place, most):
-            key = (inner, where.key())
-            if key not in seen:
-                seen.add(key)
-                todo.append((inner, where))
+        layer, place = next(todo[-1], (None, None))
+        if layer is None:
+            todo.pop()
+            continue
+        key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), place.key())
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, end in scan(layer):
+            start, end = place.of(start, end)
+            found.add((start, kind, end))
+        todo.append(unwrapped(layer, place, most))
     return base, sorted(found)
 
 
@@ -252,7 +290,7 @@ SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Str
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", max_inflated: int = MAX_INFLATED) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with secrets: array of (kind, start, end, base) by start, kind, end."""
     own = docs.drop("secrets")
     own = own.withColumn(text, F.col(text).cast("string"))
@@ -262,7 +300,7 @@ def find_secrets(docs: DataFrame, text: str = "text", max_inflated: int = MAX_IN
         for piece in pieces(batches, text):
             out = []
             for value in piece.column(names.index(text)).to_pylist():
-                base, found = find_in_text(value, max_inflated) if value else ((), ())
+                base, found = find_in_text(value, window) if value else ((), ())
                 base = set(base)
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in base} for a, k, b in found])
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, _ARROW)], [*names, "secrets"])
