@@ -34,7 +34,8 @@ SEED = 42
 SHINGLE = 3
 MAX_DISTANCE = 3
 DEAL_ROWS = 512
-TILE = 128
+TILE = 64
+PAIRS_AT_ONCE = 128
 
 # byte -> its eight bits in the eight byte lanes of a 64-bit word
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -118,25 +119,48 @@ def _deals(max_distance: int) -> list[str]:
     return [f"(shiftleft({i}L, 56) | shiftleft({block[a]}, {width[b]}) | {block[b]})" for i, (a, b) in enumerate(combinations(range(n), 2))]
 
 
-def _forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one task key as a spanning forest: (member, root) pairs."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    fp, part = fp[order], part[order]
+def tile_pairs(group: np.ndarray, ones: np.ndarray, radius: int):
+    """Pairs of tiles to compare, for rows sorted by (group, population count) and
+    cut into tiles of ``TILE``: (first, second, skipped) for each distance between
+    tiles. Two tiles can hold a link only if the first ends in the group that the
+    second begins with; those whose counts are further apart than the radius
+    are skipped."""
+    tiles = -(-len(group) // TILE)
+    first = np.arange(tiles) * TILE
+    last = np.minimum(first + TILE, len(group)) - 1
+    yield np.arange(tiles), np.arange(tiles), 0
+    a = np.arange(tiles)
+    for d in range(1, tiles):
+        a = a[a + d < tiles]
+        a = a[group[last[a]] == group[first[a + d]]]
+        met = len(a)
+        a = a[ones[first[a + d]] - ones[last[a]] <= radius]  # counts only rise within a group
+        if not met:
+            return
+        yield a, a + d, met - len(a)
+
+
+def _forest(group: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the groups as a spanning forest: (member, root) pairs. In a group
+    of two parts only rows of different parts are compared."""
+    order = np.lexsort((np.bitwise_count(fp), group))
+    group, part, fp = group[order], part[order], fp[order]
     ones = np.bitwise_count(fp).astype(np.int16)
-    two = part.min() != part.max()
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+    two = np.repeat(mixed, np.diff(np.concatenate((starts, [len(fp)]))))
+    fill = -len(fp) % TILE
+    tiles = [np.concatenate((c, np.full(fill, v, c.dtype))).reshape(-1, TILE) for c, v in ((fp, 0), (group, -1), (part, 0), (two, False))]
     left, right = [], []
-    for a in range(0, len(fp), TILE):
-        x = fp[a: a + TILE]
-        for b in range(a, len(fp), TILE):
-            if ones[b] - ones[min(a + TILE, len(fp)) - 1] > radius:
-                break  # population counts only rise from here
-            y = fp[b: b + TILE]
-            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-            if two:
-                near &= part[a: a + TILE, None] != part[None, b: b + TILE]
-            i, j = np.nonzero(near)
-            left.append(i + a)
-            right.append(j + b)
+    for first, second, _ in tile_pairs(group, ones, radius):
+        for k in range(0, len(first), PAIRS_AT_ONCE):
+            a, b = first[k: k + PAIRS_AT_ONCE], second[k: k + PAIRS_AT_ONCE]
+            f, g, p, t = ((c[a][:, :, None], c[b][:, None, :]) for c in tiles)
+            near = (np.bitwise_count(f[0] ^ f[1]) <= radius) & (g[0] == g[1]) & (g[0] >= 0) & (~t[0] | (p[0] != p[1]))
+            q, i, j = np.nonzero(near)
+            i, j = i + a[q] * TILE, j + b[q] * TILE
+            left.append(i[i < j])
+            right.append(j[i < j])
     left, right = np.concatenate(left), np.concatenate(right)
     root = np.arange(len(fp))
     while True:  # smallest label over links, then over labels
@@ -152,29 +176,11 @@ def _forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _compare(radius: int):
-    """Stream over rows sorted by (deal, pair): links of each task key."""
-    small = 8
-
+    """Stream over rows sorted by (deal, pair): links of the whole task keys in a batch."""
     def links(key, pair, part, fp):
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-        starts = np.concatenate(([0], cut))
-        sizes = np.diff(np.concatenate((starts, [len(key)])))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        big = sizes > small
-        a, b = [], []
-        tiny = np.flatnonzero(~big[group])
-        for lag in range(1, small):
-            i = tiny[tiny + lag < len(key)]
-            i = i[(group[i] == group[i + lag])]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= radius]
-            a.append(fp[i])
-            b.append(fp[i + lag])
-        for g in np.flatnonzero(big):
-            s = slice(starts[g], starts[g] + sizes[g])
-            x, y = _forest(fp[s], part[s], radius)
-            a.append(x)
-            b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+        group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
+        a, b = _forest(group, part, fp, radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     def run(batches):
         held = None

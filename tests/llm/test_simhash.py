@@ -99,3 +99,37 @@ def test_odd_rows_and_one_of_each(odd, empty):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
     assert ids == [1, 2, 3, 4, 6]
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_tiles_of_groups_of_every_size():
+    """One path for all groups: tiles hold several small groups or a part of a large
+    one, and tile pairs out of reach are skipped."""
+    rnd = np.random.default_rng(4)
+    sizes = [1, 2, 3, 9, 700, 1, 64, 65, 300, 2]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    part = np.where(group == 8, rnd.integers(0, 2, len(group)), 0)
+    base = rnd.integers(0, 1 << 63, len(sizes), dtype=np.uint64)
+    spread = np.zeros(len(group), np.uint64)
+    for bit in rnd.integers(0, 64, (len(group), 12)).T:
+        spread |= np.uint64(1) << bit.astype(np.uint64)
+    fp = base[group] ^ np.where(rnd.random(len(group)) < .5, spread, spread & np.uint64(7))
+    order = np.lexsort((np.bitwise_count(fp), group))
+    met = [(len(a), skipped) for a, _, skipped in simhash.tile_pairs(group[order], np.bitwise_count(fp[order]).astype(int), 3)]
+    assert sum(s for _, s in met) > 0
+    a, b = simhash._forest(group, part, fp, 3)
+    assert len(a) < len(fp)
+
+    def classes(pairs, rows):
+        root = {r: r for r in rows}
+
+        def top(r):
+            while root[r] != r:
+                r = root[r]
+            return r
+        for x, y in pairs:
+            root[max(top(x), top(y))] = min(top(x), top(y))
+        return {r: top(r) for r in rows}
+    rows = {(int(f)) for f in fp}
+    brute = [(int(fp[i]), int(fp[j])) for i in range(len(fp)) for j in range(i) if group[i] == group[j] and (group[i] != 8 or part[i] != part[j])
+             and int(fp[i] ^ fp[j]).bit_count() <= 3]
+    assert classes(zip(a.tolist(), b.tolist()), rows) == classes(brute, rows)
