@@ -12,7 +12,9 @@ piece may stand after the last piece of the best path to where it starts, that
 is if merging the two pieces' characters gives these two pieces again. Each
 prefix has one such path, and it is the tokenizer's own result: merges inside a
 run of pieces happen in the same order whether or not text follows. Characters
-outside the vocabulary are edges of their own that become byte pieces.
+outside the vocabulary are edges of their own that become byte pieces. Segments are
+relaxed side by side, position by position; those of more than ``LONG`` characters
+(scripts without spaces) each by themselves, edge by edge in the same order.
 
 Defined cases: a null or empty text has no pieces and decodes to an empty text;
 a text that holds U+2581 itself decodes with a space in its place, as the
@@ -39,6 +41,8 @@ BATCH_BYTES = 4 << 20
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 CACHE = 1 << 21
+LONG = 512  # characters from which a segment is relaxed by itself
+EDGES_AT_ONCE = 1 << 16
 
 
 def _bpe(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -223,6 +227,29 @@ class Encoder:
         return (np.concatenate((start, stray)), np.concatenate((length, np.ones(len(stray), np.int32))),
                 np.concatenate((piece, np.full(len(stray), self.v.unknown, np.int32))))
 
+    def _relax_long(self, start, end, piece, firsts, last, back, steps):
+        """Relaxation of a few long segments: their edges one after the other by end
+        position. Whether each may follow the edges that end where it starts is
+        found beforehand, for many at once."""
+        order = np.argsort(end, kind="stable")
+        start, end, piece = start[order].astype(np.int64), end[order], piece[order]
+        low = np.searchsorted(end, start, "left")
+        before = np.searchsorted(end, start, "right") - low
+        chosen = np.full(len(last), -1, np.int64)  # the edge that reached a position
+        chosen[firsts] = -2
+        chosen_of, last_of, back_of, steps_of = map(memoryview, (chosen, last, back, steps))
+        for a in range(0, len(start), EDGES_AT_ONCE):
+            b = min(a + EDGES_AT_ONCE, len(start))
+            first_pair = np.cumsum(before[a:b]) - before[a:b]
+            earlier = np.repeat(low[a:b] - first_pair, before[a:b]) + np.arange(int(before[a:b].sum()))
+            may = self._may_follow(piece[earlier], np.repeat(piece[a:b], before[a:b])).tolist()
+            shift = (first_pair - low[a:b]).tolist()
+            for j, s, e, p, shifted in zip(range(a, b), start[a:b].tolist(), end[a:b].tolist(), piece[a:b].tolist(), shift, strict=True):
+                edge = chosen_of[s]
+                if edge == -2 or edge >= 0 and may[shifted + edge]:
+                    chosen_of[e] = j
+                    last_of[e], back_of[e], steps_of[e] = p, s, steps_of[s] + 1
+
     def _segments(self, segments: list[str]):
         """Ids of each segment: flat ids and offsets."""
         characters = np.frombuffer(("\0" + "\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -235,13 +262,21 @@ class Encoder:
         origin = np.repeat(np.concatenate((first, [n])), np.concatenate((size + 1, [1])))[: n]
         origin = np.concatenate(([0], origin))[:n].astype(np.int32)
         end = start + length
+        last = np.full(n + 1, -1, np.int32)
+        back = np.zeros(n + 1, np.int32)
+        steps = np.zeros(n + 1, np.int32)
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            inside = np.zeros(n + 1, bool)
+            for k in long.tolist():
+                inside[first[k]: first[k] + size[k]] = True
+            of_long = inside[start]
+            self._relax_long(start[of_long], end[of_long], piece[of_long], first[long], last, back, steps)
+            start, end, piece, length = (c[~of_long] for c in (start, end, piece, length))
         reach = end - origin[start]
         order = np.argsort(reach.astype(np.int32), kind="stable")
         start, end, piece, reach = start[order], end[order], piece[order], reach[order]
         del order, length
-        last = np.full(n + 1, -1, np.int32)
-        back = np.zeros(n + 1, np.int32)
-        steps = np.zeros(n + 1, np.int32)
         cut = np.flatnonzero(np.concatenate(([True], reach[1:] != reach[:-1], [True])))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # edges by end position
             s, e, p = start[a:b], end[a:b], piece[a:b]
@@ -257,7 +292,15 @@ class Encoder:
         np.cumsum(count, out=offsets[1:])
         out = np.empty(offsets[-1], np.int64)
         where = np.empty(offsets[-1], np.int64)
-        at, put, live = stop.copy(), offsets[1:] - 1, np.arange(len(segments))
+        at, put = stop.copy(), offsets[1:] - 1
+        last_of, back_of = memoryview(last), memoryview(back)
+        for k in long.tolist():
+            x, to, begin = int(stop[k]), int(put[k]), int(first[k])
+            out_of, where_of = memoryview(out), memoryview(where)
+            while x > begin:
+                out_of[to], where_of[to] = last_of[x], back_of[x]
+                x, to = back_of[x], to - 1
+        live = np.flatnonzero(size <= LONG)
         while len(live):
             out[put[live]] = last[at[live]]
             where[put[live]] = back[at[live]]

@@ -33,6 +33,21 @@ def test_same_ids_as_the_library(model, encoder):
     assert decoded == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_texts_without_spaces(model, encoder):
+    """The same ids as the library, in time that grows with the text."""
+    import time
+    rnd = random.Random(5)
+    names = [model.id_to_piece(i).replace("▁", "") for i in range(259, model.get_piece_size())]
+    texts = ["".join(rnd.choices("abcdeinrst", k=200_000)), "".join(rnd.choices(names, k=30_000)), "a" * 100_001,
+             "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(100_000)), "x" * (pieces.LONG - 1), "x" * pieces.LONG, "x" * (pieces.LONG + 1), "é🎉" * 3000]
+    for text in [*texts, " ".join(texts[:2])]:
+        began = time.perf_counter()
+        ids, _ = encoder.encode([text, "short one", ""])
+        took = time.perf_counter() - began
+        assert ids.tolist() == model.encode(text) + model.encode("short one"), text[:40]
+        assert took < 2 + len(text) / 100_000, (took, text[:40])
+
+
 def test_pairs_by_merging(encoder):
     """The pair rule against merging the characters."""
     v = encoder.v
