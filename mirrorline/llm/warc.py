@@ -8,7 +8,8 @@ record is, an ISO time, a type, and SHA-256 digests of block and payload.
 
 Records with equal payloads of at least ``REVISIT_BYTES`` become one response
 (the smallest key) and revisits that refer to it. Archives are written as
-gzipped files of records and parsed back one record at a time.
+gzipped files of at most ``FILE_BYTES`` of records, so that each can be read as one
+value, and parsed back one record at a time.
 
 Defined cases: a null payload is empty; a null or odd address is written as "-"
 or percent-encoded; equal pages (same key and payload) are the same record and
@@ -33,7 +34,7 @@ from .common import pieces, saved, table
 
 REVISIT_BYTES = 100
 ARC_BYTES = 1 << 20
-RECORDS_PER_FILE = 4000
+FILE_BYTES = 16 << 20
 CAPTURED = "20240101000000"
 
 # Header fields of the two ARC versions.
@@ -171,16 +172,28 @@ def _record(r: dict) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Gzipped WARC files of at most ``RECORDS_PER_FILE`` records at ``path``."""
+def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files at ``path``, each of at most ``file_bytes`` bytes of records
+    before compression (or of one record that is larger)."""
     names = records.columns
+    end = b"\r\n\r\n"
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_record(r) for r in batch.to_pylist()], pa.binary())], ["record"])
-
-    lines = records.select(*names).mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+            for k in range(0, batch.num_rows, 256):
+                for r in batch.slice(k, 256).to_pylist():
+                    record = _record(r)
+                    if held and size + len(record) > file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record) + len(end)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
+
+    files = records.select(*names).mapInArrow(run, "file binary").select(F.col("file").cast("string"))
+    files.write.option("lineSep", end.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(stream):

@@ -111,3 +111,13 @@ def test_written_files_are_warc_records(spark, tmp_path):
 def test_warc_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert warc.op7_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k} " + "x" * (9000 if k == 7 else 150)) for k in range(40)], "page_id bigint, url string, html string").coalesce(2)
+    records = warc.convert(warc.legacy_archives(pages)).withColumn("key", F.lit(None).cast("bigint"))
+    warc.write_archives(warc.with_revisits(records), str(tmp_path / "w"), file_bytes=4000)
+    sizes = [[len(b) for _, b in warc.parse_warc(io.BytesIO(gzip.decompress(p.read_bytes())))] for p in (tmp_path / "w").glob("*.gz")]
+    assert sum(map(len, sizes)) == 40 and len(sizes) > 6
+    assert all(sum(s) < 4000 or len(s) == 1 for s in sizes) and any(len(s) > 1 for s in sizes)
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 40
