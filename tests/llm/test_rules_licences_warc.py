@@ -56,6 +56,59 @@ def test_licence_sequences(spark):
     assert got[4] == got[5] == ([], []) and got[6][1] == ["Apache-2.0"]
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0": """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+NOTICES["LGPL-2.1-or-later"] = NOTICES["GPL-3.0-or-later"].replace("General", "Lesser General").replace("version 3 ", "version 2.1 ").replace("This program", "This library").replace("software:", "software;")
+NOTICES["BSD-2-Clause"] = NOTICES["BSD-3-Clause"][:NOTICES["BSD-3-Clause"].index("3. N")] + NOTICES["BSD-3-Clause"][NOTICES["BSD-3-Clause"].index("THIS SOFT"):]
+
+
+def test_whole_notices_wrapped_and_in_comments(spark):
+    """Real notices at several widths and in comment blocks, between other lines."""
+    import textwrap
+    rows, want = [], {}
+    for name, text in NOTICES.items():
+        for width in (50, 72, 100_000):
+            lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width, break_on_hyphens=False), ""]]
+            for head, mark, tail in (("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", "")):
+                want[len(rows)] = [name]
+                rows.append((len(rows), "some words before\n\n" + head + "\n".join((mark + x).rstrip() for x in lines) + tail + "\nint main()"))
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_licence_odd_rows(odd, empty):
     out = licences.licence_scan(odd.withColumn("licences", F.lit(1)))
     assert out.columns == [*odd.columns, "sentence_ids", "licences"] and out.count() == odd.count()
