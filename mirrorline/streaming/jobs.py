@@ -10,8 +10,8 @@ A stream of capture files (one file per fetch round) drives:
   manifest store, with compaction, idempotent per batch id.
 * ``stream_frontier`` - discovered URLs not in a static visited table
   (stream-static ``left_anti``), deduplicated by state.
-The feedback edge of a crawl (new URLs -> next fetch round) is the next
-capture file, not a loop inside one query.
+The feedback edge of a crawl (new URLs -> next fetch round) is
+``operators.crawl.crawl``, a loop of rounds, not one query.
 """
 
 from __future__ import annotations
