@@ -85,8 +85,10 @@ def read_manifest(spark: SparkSession, path: str, fmt: str = "parquet", fresh: b
 def freshness(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Fresh <=> entry exists, its file exists, and the file's sha-256 equals
     the hash of the stored content. ``files(site, path, content)`` holds a path
-    once (as ``scan_mirror`` gives it), so every entry gives one row."""
-    f = files.select("site", "path", TX.content_hash(F.col("content")).alias("_disk_hash"))
+    once (as ``scan_mirror`` gives it), so every entry gives one row; instead of the
+    content it may hold ``disk_hash`` (as ``tree_digests`` gives it)."""
+    digest = F.col("disk_hash") if "disk_hash" in files.columns else TX.content_hash(F.col("content"))
+    f = files.select("site", "path", digest.alias("_disk_hash"))
     j = entries.join(f, ["site", "path"], "left")
     return j.withColumn("fresh", F.coalesce(F.col("_disk_hash") == F.col("out_hash"), F.lit(False))).drop("_disk_hash")
 

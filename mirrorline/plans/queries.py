@@ -243,20 +243,22 @@ def q_content_hash(spark, sf):
                        TX.byte_size(F.col("text")).alias("size"))
 
 
-def _written_mirror(spark, sf):
-    """The mirror, written to the shared folder and scanned again."""
+def _saved_run(spark, sf):
+    """A run's entries and its mirror's files, both from one pass over the bodies."""
+    from ..session import written
     from ..sources import mirror as MS
     from ..streaming.jobs import scratch_dir
+    mirror = written(_mirror_plain(spark, sf))
     path = scratch_dir(spark, "mirror")
-    MS.write_mirror(_mirror_plain(spark, sf), path)
-    return MS.scan_mirror(spark, path)
+    MS.write_mirror(mirror, path)
+    return M.manifest_record(mirror), MS.scan_mirror(spark, path)
 
 
-def _disk_files(spark, sf):
-    """The written mirror as a later run finds it: files changed for seq % 7 = 0
-    and gone for seq % 11 = 0."""
+def _found_later(files):
+    """A mirror's files as a later run finds them: changed for seq % 7 = 0 and gone
+    for seq % 11 = 0."""
     seq = F.col("seq")
-    return (_written_mirror(spark, sf).where(F.pmod(seq, F.lit(11)) != 0)
+    return (files.where(F.pmod(seq, F.lit(11)) != 0)
             .withColumn("content", F.when(F.pmod(seq, F.lit(7)) == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))))
 
 
@@ -270,12 +272,27 @@ def _mirror_plain(spark, sf):
 
 
 def q_freshness(spark, sf):
-    return M.freshness(_entries(spark, sf), _disk_files(spark, sf)).select("site", "url", "path", "out_hash", "fresh")
+    entries, files = _saved_run(spark, sf)
+    return M.freshness(entries, _found_later(files)).select("site", "url", "path", "out_hash", "fresh")
 
 
 def q_mirror_roundtrip(spark, sf):
     """A mirror just written is fresh, but for URLs that lost their path to a twin."""
-    return M.freshness(_entries(spark, sf), _written_mirror(spark, sf)).select("site", "url", "path", "fresh")
+    return M.freshness(*_saved_run(spark, sf)).select("site", "url", "path", "fresh")
+
+
+def q_mirror_tree(spark, sf):
+    """Entries of a run against the directory tree that the run before it wrote: the
+    size of each file there, and whether it still is what the entry says."""
+    from ..operators.rewrite import build_mirror
+    from ..sources import mirror as MS
+    from ..sources import mirror_tree as MT
+    from ..streaming.jobs import scratch_dir
+    root = scratch_dir(spark, "tree")
+    MT.write_tree(MS.stored_files(build_mirror(_caps(spark, sf))), root)
+    entries = _entries(spark, sf)
+    files = MT.tree_digests(entries, root)
+    return M.freshness(entries, files).join(files, ["site", "path"], "left").select("site", "url", "path", "disk_size", "fresh")
 
 
 def _stored_manifest(spark, sf, fmt):
@@ -389,23 +406,27 @@ def q_manifest_init(spark, sf):
 
 
 def _plan(spark, sf):
+    """Decisions of a run, and the entries of the run before."""
     links = _links(spark, sf).select("site", F.col("dst_url").alias("url"))
     pages = _page_urls(spark, sf).select("site", "url")
     discovered = links.unionByName(pages)
-    fresh = M.freshness(_entries(spark, sf), _disk_files(spark, sf))
+    entries, files = _saved_run(spark, sf)
+    fresh = M.freshness(entries, _found_later(files))
     d_urls = discovered.distinct().select("site", "url", U.parsed("url")["path"].alias("path"))
     allowed = RB.robots_filter(d_urls, _rules(spark, sf))
-    return M.plan_incremental(discovered, _old_visited(spark, sf), fresh, allowed)
+    return M.plan_incremental(discovered, _old_visited(spark, sf), fresh, allowed), entries
 
 
 def q_plan_incremental(spark, sf):
-    return _plan(spark, sf)
+    return _plan(spark, sf)[0]
 
 
 def q_skipped_stats(spark, sf):
-    plan = _plan(spark, sf)
+    from ..session import written
+    plan, entries = _plan(spark, sf)
+    plan = written(plan)  # read twice
     fetched = plan.where("decision = 'fetch'").select("site", "url").join(
-        _entries(spark, sf).select("site", "url", "rtype", "size"), ["site", "url"])  # a URL counts once
+        entries.select("site", "url", "rtype", "size"), ["site", "url"])  # a URL counts once
     return site_stats(fetched.select("site", "rtype", "size"), skipped=M.skipped_stats(plan))
 
 
@@ -415,8 +436,13 @@ def q_seeds(spark, sf):
 
 
 def q_bundle(spark, sf):
-    from ..sources.mirror import bundle_totals
-    return bundle_totals(_mirror_plain(spark, sf))
+    """Files and bytes of each site's bundle, counted in the bundle as written."""
+    from ..sources.mirror import write_bundle
+    from ..streaming.jobs import scratch_dir
+    path = scratch_dir(spark, "bundle")
+    write_bundle(_mirror_plain(spark, sf), path)
+    return spark.read.parquet(path).groupBy("site").agg(
+        F.count("*").alias("files"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
 
 
 def q_extract_css_refs(spark, sf):

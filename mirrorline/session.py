@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (this is
 # the size check behind every broadcast) and splits skewed shuffle partitions.
@@ -55,3 +58,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="mirrorline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if
+    it is not installed (a path that an executor lacks does no harm)."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder, and read back: later plans
+    know its size, so a join with it is broadcast only if it is small."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

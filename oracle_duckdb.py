@@ -807,8 +807,8 @@ def entries_sql(source: str | None = None) -> str:
             f"QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY seq DESC, out_hash DESC) = 1")
 
 
-def files_sql() -> str:
-    return (f"SELECT site, offline_path AS path, url, content, seq FROM ({mirror_plain_sql()}) "
+def files_sql(source: str | None = None) -> str:
+    return (f"SELECT site, offline_path AS path, url, content, seq FROM ({mirror_plain_sql(source)}) "
             f"QUALIFY row_number() OVER (PARTITION BY site, offline_path ORDER BY seq DESC, url DESC) = 1")
 
 
@@ -839,6 +839,12 @@ def q_mirror_roundtrip() -> str:
             f"LEFT JOIN ({files_sql()}) f ON e.site = f.site AND e.path = f.path")
 
 
+def q_mirror_tree() -> str:
+    return (f"SELECT e.site, e.url, e.path, CAST(octet_length(encode(f.content)) AS BIGINT) AS disk_size, "
+            f"coalesce('sha256:' || sha256(f.content) = e.out_hash, false) AS fresh FROM ({entries_sql()}) e "
+            f"LEFT JOIN ({files_sql(captures_from_pages())}) f ON e.site = f.site AND e.path = f.path")
+
+
 def q_content_hash() -> str:
     return ("SELECT doc_id, 'sha256:' || sha256(text) AS hash, CAST(octet_length(encode(text)) AS BIGINT) AS size "
             "FROM documents")
