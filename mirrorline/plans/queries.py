@@ -285,11 +285,12 @@ def q_mirror_tree(spark, sf):
     """Entries of a run against the directory tree that the run before it wrote: the
     size of each file there, and whether it still is what the entry says."""
     from ..operators.rewrite import build_mirror
+    from ..session import written
     from ..sources import mirror as MS
     from ..sources import mirror_tree as MT
     from ..streaming.jobs import scratch_dir
     root = scratch_dir(spark, "tree")
-    MT.write_tree(MS.stored_files(build_mirror(_caps(spark, sf))), root)
+    MT.write_tree(MS.stored_files(written(build_mirror(_caps(spark, sf)))), root)
     entries = _entries(spark, sf)
     files = MT.tree_digests(entries, root)
     return M.freshness(entries, files).join(files, ["site", "path"], "left").select("site", "url", "path", "disk_size", "fresh")
@@ -437,10 +438,11 @@ def q_seeds(spark, sf):
 
 def q_bundle(spark, sf):
     """Files and bytes of each site's bundle, counted in the bundle as written."""
+    from ..session import written
     from ..sources.mirror import write_bundle
     from ..streaming.jobs import scratch_dir
     path = scratch_dir(spark, "bundle")
-    write_bundle(_mirror_plain(spark, sf), path)
+    write_bundle(written(_mirror_plain(spark, sf)), path)
     return spark.read.parquet(path).groupBy("site").agg(
         F.count("*").alias("files"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
 
