@@ -17,7 +17,7 @@ MANIFEST_FILE = "mirror-manifest.json"
 #: Rows of one path beyond which its losers are left behind before bodies move.
 CROWD = 1000
 #: Rows of a site beyond which its files are dealt over several partitions.
-SITE_FILES = 20_000
+SITE_FILES = 2_000
 
 _FILE = ["url", "rtype", "content", "size", "hash", "out_hash", "seq"]
 

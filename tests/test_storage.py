@@ -89,7 +89,7 @@ def test_stored_files_keep_the_last_row_of_every_path(spark):
         key = (-1 if r[8] is None else r[8], r[2], r[7])
         if (r[0], r[1]) not in best or key > best[r[0], r[1]][0]:
             best[r[0], r[1]] = (key, r[4])
-    for crowd, site_files in ((1000, 20_000), (3, 10), (1, 1)):
+    for crowd, site_files in ((1000, 2_000), (3, 10), (1, 1)):
         got = MS.stored_files(_mirror(spark, rows), crowd, site_files).collect()
         assert {(r.site, r.path): r.content for r in got} == {k: v[1] for k, v in best.items()} and len(got) == len(best)
     assert MS.stored_files(_mirror(spark, rows[:0])).count() == 0
