@@ -291,8 +291,8 @@ def q_mirror_tree(spark, sf):
     from ..streaming.jobs import scratch_dir
     root = scratch_dir(spark, "tree")
     MT.write_tree(MS.stored_files(written(build_mirror(_caps(spark, sf)))), root)
-    entries = _entries(spark, sf)
-    files = MT.tree_digests(entries, root)
+    entries = written(_entries(spark, sf))
+    files = written(MT.tree_digests(entries, root))
     return M.freshness(entries, files).join(files, ["site", "path"], "left").select("site", "url", "path", "disk_size", "fresh")
 
 
