@@ -38,11 +38,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def capture_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Capture files as a stream; ``files_per_batch`` limits a micro-batch."""
+#: Bytes of capture files in a micro-batch that is planned and committed as one.
+BATCH_BYTES = 1 << 30
+
+
+def capture_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """Capture files as a stream; ``files_per_batch`` or ``bytes_per_batch`` limits a
+    micro-batch (one file at least)."""
     reader = spark.readStream.schema(CAPTURES_SCHEMA).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
@@ -112,8 +119,10 @@ def stream_manifest(spark: SparkSession, source: str, sink: str) -> DataFrame:
     """Manifest upserts: each micro-batch is a round of the manifest store, added as
     deltas that are folded into a new base every few batches. A replayed batch is
     known by its id, so it changes nothing; a read costs the live entries and a
-    bounded number of deltas."""
-    caps = successful(capture_stream(spark, source, files_per_batch=1))
+    bounded number of deltas. A micro-batch is bounded by bytes, not by files: the
+    number of batches, each planned, committed and folded, does not follow the number
+    of files, and a batch has work for every core."""
+    caps = successful(capture_stream(spark, source, bytes_per_batch=BATCH_BYTES))
     store = ManifestStore(spark, sink)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
