@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row, however many filters
+    and projections use it: a one-element explode, through which the optimizer
+    pushes no filter on the new column and copies no expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def nstruct(**fields: Column) -> Column:
     """Struct with explicit field names (aliases inside lambdas may be trimmed)."""
     args = []

@@ -58,10 +58,11 @@ def _until(end: str) -> str:
 
 _RAW = ("script", "style", "textarea", "title")
 # Comments and raw-text element bodies (the start tag is kept, so script@src
-# still counts); an unterminated one runs to the end of the document.
-BLANK_RE = (r"(?is)<!--(?:-?+>|(?:[^-]++|-(?!->))*+(?:-->|\z))"
+# still counts); an unterminated one runs to the end of the document. The first
+# signs are looked at before any branch is tried.
+BLANK_RE = (r"(?is)(?=<[!st])(?:<!--(?:-?+>|(?:[^-]++|-(?!->))*+(?:-->|\z))"
             + "".join(rf"|(<{n}{_NAME_END}{_ATTRS}>){_until(n + r'\s*+>')}(?:</{n}\s*+>|\z)" for n in _RAW)
-            + rf"|<(?:{'|'.join(_RAW)}){_NAME_END}.*+")
+            + rf"|<(?:{'|'.join(_RAW)}){_NAME_END}.*+)")
 # Start tags of the link-carrying elements: group 1 name, group 2 attributes.
 TAG_RE = rf"(?is)<({'|'.join(_TAG_NAMES)}){_NAME_END}({_ATTRS})>|<(?:{'|'.join(_TAG_NAMES)}){_NAME_END}.*+"
 # Any start tag: group 1 the tag, group 2 its attributes, group 3 what is left behind one without end.

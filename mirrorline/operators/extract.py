@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.columns import once
 from .rewrite import CSS_IMPORT_RE, CSS_URL_RE
 
 _CAND_TYPE = "array<struct<pair:int,attr:string,item:int,value:string>>"
@@ -26,14 +27,7 @@ def _lookup(names, raws, name: str):
 
 def _page_frame(captures: DataFrame, url_col: str = "url") -> DataFrame:
     """Parsed page URL (`_u`) and its type; rows with unusable URLs drop out."""
-    return _once(captures, "_u", U.parsed(url_col)).where(F.col("_u").isNotNull())
-
-
-def _once(df: DataFrame, name: str, value) -> DataFrame:
-    """``df`` with a column that is computed once per row, however many filters
-    and projections use it: a one-element explode, through which the optimizer
-    pushes no filter on the new column and copies no expression."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return once(captures, "_u", U.parsed(url_col)).where(F.col("_u").isNotNull())
 
 
 def html_pages(captures: DataFrame) -> DataFrame:
@@ -44,10 +38,10 @@ def html_pages(captures: DataFrame) -> DataFrame:
 
 def _tag_rows(pages: DataFrame, body_col: str, use_base: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     clean = H.blank_markup(F.col(body_col))
-    df = pages.withColumn("_clean", clean).withColumn("_hosts", U.hosts_in(body_col))
+    df = once(pages, "_clean", clean).withColumn("_hosts", U.hosts_in(body_col))
     tags = F.zip_with(H.tag_names(F.col("_clean")), H.tag_attrs(F.col("_clean")),
                       lambda n, a: U.nstruct(name=F.lower(n), attrs=a))
-    df = df.withColumn("_tags", tags)
+    df = once(df, "_tags", tags)  # posexplode drops empty lists by a filter, which would scan again
     if use_base:
         first_base = F.element_at(
             F.filter(F.transform(F.col("_tags"),
@@ -105,7 +99,7 @@ def _links_from_tags(tags: DataFrame, pairs, srcset_pairs, carry: tuple[str, ...
              .select("src_url", "site", "_host", "_base", "_hosts", *carry, "pos", "tag",
                      F.explode(_candidates(pairs, srcset_pairs)).alias("_c"))
              .where(F.col("_c").isNotNull() & F.col("_c.value").isNotNull()))
-    resolved = _once(cands, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
+    resolved = once(cands, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
     return (resolved
             .where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site", "tag",
@@ -152,7 +146,7 @@ def extract_css_refs(captures: DataFrame) -> DataFrame:
             F.transform("_urls", lambda v, i: U.nstruct(attr=F.lit("url"), pos=i, value=v)),
             F.transform("_imports", lambda v, i: U.nstruct(attr=F.lit("import"), pos=i, value=v)))).alias("_c"))
     refs = refs.where((F.col("_c.value") != "") & ~F.col("_c.value").startswith("data:"))
-    resolved = _once(refs, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
+    resolved = once(refs, "_dst", U.resolve_link(F.col("_base"), F.col("_c.value"), F.col("_hosts")))
     return (resolved.where(F.col("_dst").isNotNull() & U.same_site(F.col("_dst.host"), F.col("_host")))
             .select("src_url", U.serialize(F.col("_dst")).alias("dst_url"), "site",
                     F.col("_c.attr").alias("attr"), F.col("_c.pos").cast("int").alias("pos")))

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as TX
 from ..functions import urls as U
+from ..functions.columns import once
 from ..functions.urls import WS, let, nstruct
 
 # Attribute and CSS patterns of the rewriter.
-ATTR_REWRITE_RE = rf"(?i)(?<![{WS}])[{WS}]++(href|src|action|poster|srcset)[{WS}]*+=[{WS}]*+\"([^\"]*+)\""
+# White space comes before a name, taken from its first character; most characters
+# are none, which the first two classes tell without trying every kind of it.
+ATTR_REWRITE_RE = (rf"[^!-~](?=[{WS}hHsSaApP])(?<=[{WS}])(?<![{WS}]{{2}})[{WS}]*+"
+                   rf"(?i)(href|src|action|poster|srcset)[{WS}]*+=[{WS}]*+\"([^\"]*+)\"")
 BASE_HREF_RE = rf"(?is).*href[{WS}]*+=[{WS}]*+[\"']([^\"']+)[\"']"
 # url(...) with its target as group 1, else up to the next ")" without one (a bad
 # url by the standard); import with its target as group 2.
@@ -137,7 +141,7 @@ def build_mirror(captures: DataFrame) -> DataFrame:
     binary = dict(captures.dtypes)["body"] == "binary"
     raw = F.col("body")
     text = F.make_valid_utf8(raw.cast("string")) if binary else raw
-    df = (captures.withColumn("_u", U.parsed("url"))
+    df = (once(captures, "_u", U.parsed("url"))
           .where(F.col("_u").isNotNull())
           .withColumn("rtype", U.classify_resource(F.col("content_type"), F.col("_u.path")))
           .withColumn("_hosts", F.when(F.col("rtype").isin("page", "css"), U.odd_hosts(text))))

@@ -35,3 +35,18 @@ def test_batches_follow_bytes_not_files(spark, tmp_path):
     got = SJ.stream_manifest(spark, source, sink).select("url", "seq").collect()
     assert sorted(map(tuple, got)) == [(f"https://a.test/{k}", 20 + k if k < 4 else 19) for k in range(5)]
     assert ManifestStore(spark, sink).last()["round_id"] == 0
+
+
+def test_a_page_is_parsed_and_scanned_once(spark):
+    captures = _captures(spark, 3)
+    assert _plan(build_mirror(captures).select("site", "url")).count(U._ABS_RE) == 5
+    assert _plan(extract_links(captures)).count(H.BLANK_RE) == 1
+
+
+def test_attributes_begin_at_any_white_space(spark):
+    plain = rf"(?i)(?<![{U.WS}])[{U.WS}]++(href|src|action|poster|srcset)[{U.WS}]*+=[{U.WS}]*+\"([^\"]*+)\""
+    text = "".join(f'{a}{b}{n}{c}="v" x{a}y' for a in ("", " ", "\t\n", " ", "　  ", "\U0001f600", "-", "é")
+                   for b in ("", " ", "\x85") for n in ("href", "SRCset", "src", "Action", "poster", "data-src", "ahref") for c in ("", " "))
+    row = spark.createDataFrame([(text,)], "t string").select(
+        *[F.regexp_extract_all("t", F.lit(p), 0).alias(n) for n, p in (("new", ATTR_REWRITE_RE), ("old", plain))]).first()
+    assert row["new"] == row["old"] and len(row["new"]) > 100
