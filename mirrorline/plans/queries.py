@@ -152,15 +152,19 @@ def _links(spark, sf):
     return X.extract_links(_caps(spark, sf))
 
 
-def _old_visited(spark, sf):
+def _old_visited(spark, sf, links=None):
     """Visited set of an earlier run: link targets of every fourth page, and a
-    URL of every page's site that no page links to any more."""
+    URL of every page's site that no page links to any more. ``links``: the links
+    of all pages with their page's ``seq``, if they are at hand."""
     pages = _pages(spark, sf)
-    caps = captures_from_pages(pages.where(F.pmod(F.col("page_id"), F.lit(4)) == 0))
+    if links is None:
+        old = X.extract_links(captures_from_pages(pages.where(F.pmod(F.col("page_id"), F.lit(4)) == 0)))
+    else:
+        old = links.where(F.pmod(F.col("seq"), F.lit(4)) == 0)
     gone = pages.select(U.parsed("url").alias("u"), "page_id").select(
         U.site_of(F.col("u.host")).alias("site"),
         F.concat(F.lit("https://"), F.col("u.host"), F.lit("/gone/"), F.col("page_id").cast("string")).alias("url"))
-    return X.extract_links(caps).select("site", F.col("dst_url").alias("url")).unionByName(gone)
+    return old.select("site", F.col("dst_url").alias("url")).unionByName(gone)
 
 
 def q_frontier(spark, sf):
@@ -407,15 +411,17 @@ def q_manifest_init(spark, sf):
 
 
 def _plan(spark, sf):
-    """Decisions of a run, and the entries of the run before."""
-    links = _links(spark, sf).select("site", F.col("dst_url").alias("url"))
+    """Decisions of a run, and the entries of the run before. Links are extracted
+    once and written, as are the URLs found, which every join starts from."""
+    from ..session import written
+    links = written(X.extract_links(_caps(spark, sf), carry=("seq",)).select("site", "dst_url", "seq"))
     pages = _page_urls(spark, sf).select("site", "url")
-    discovered = links.unionByName(pages)
+    discovered = written(links.select("site", F.col("dst_url").alias("url")).unionByName(pages).distinct())
     entries, files = _saved_run(spark, sf)
     fresh = M.freshness(entries, _found_later(files))
-    d_urls = discovered.distinct().select("site", "url", U.parsed("url")["path"].alias("path"))
+    d_urls = discovered.select("site", "url", U.parsed("url")["path"].alias("path"))
     allowed = RB.robots_filter(d_urls, _rules(spark, sf))
-    return M.plan_incremental(discovered, _old_visited(spark, sf), fresh, allowed), entries
+    return M.plan_incremental(discovered, _old_visited(spark, sf, links), fresh, allowed), entries
 
 
 def q_plan_incremental(spark, sf):

@@ -50,3 +50,11 @@ def test_attributes_begin_at_any_white_space(spark):
     row = spark.createDataFrame([(text,)], "t string").select(
         *[F.regexp_extract_all("t", F.lit(p), 0).alias(n) for n, p in (("new", ATTR_REWRITE_RE), ("old", plain))]).first()
     assert row["new"] == row["old"] and len(row["new"]) > 100
+
+
+def test_decisions_are_made_from_written_links(spark, tmp_path):
+    sf = _pages(spark, tmp_path)
+    plan = Q.q_plan_incremental(spark, sf)
+    assert H.BLANK_RE not in _plan(plan)
+    found = {r["url"]: r["decision"] for r in plan.collect()}
+    assert len(found) == 16 and found["https://a.test/gone"] == "visited" and found["https://a.test/en/9"] == "visited"
