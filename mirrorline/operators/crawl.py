@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import written
 from ..sources.captures import validate_seeds
 from ..sources.manifest_store import URLS, ManifestStore
 from .incremental import next_round, record_round
@@ -37,11 +38,12 @@ def check_seeds(seeds: DataFrame, rules: DataFrame) -> DataFrame:
 
 def recorded(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A fetch function that replays recorded captures: all of those of the URLs
-    asked for. Bodies move only if the list asked for is too large to broadcast."""
+    asked for. Captures are written once with their canonical URL, so a round parses
+    none. Bodies move only if the list asked for is too large to broadcast."""
     key = U.parsed("url")
+    keyed = written(answers.withColumn("_url", F.when(key.isNotNull(), U.serialize(key))))
 
     def fetch(asked: DataFrame) -> DataFrame:
-        keyed = answers.withColumn("_url", F.when(key.isNotNull(), U.serialize(key)))
         return keyed.join(asked.select(F.col("url").alias("_url")).distinct(), "_url", "left_semi").drop("_url")
     return fetch
 

@@ -58,3 +58,10 @@ def test_decisions_are_made_from_written_links(spark, tmp_path):
     assert H.BLANK_RE not in _plan(plan)
     found = {r["url"]: r["decision"] for r in plan.collect()}
     assert len(found) == 16 and found["https://a.test/gone"] == "visited" and found["https://a.test/en/9"] == "visited"
+
+
+def test_a_round_parses_no_recorded_address(spark):
+    fetch = C.recorded(_captures(spark, 10))
+    asked = spark.createDataFrame([("a.test", "https://a.test/1")], "site string, url string")
+    got = fetch(asked)
+    assert U._ABS_RE not in _plan(got) and sorted(r["seq"] for r in got.collect()) == [1, 6]
