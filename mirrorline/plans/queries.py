@@ -300,13 +300,12 @@ def q_mirror_tree(spark, sf):
     return M.freshness(entries, files).join(files, ["site", "path"], "left").select("site", "url", "path", "disk_size", "fresh")
 
 
-def _stored_manifest(spark, sf, fmt):
-    """Entries of the plain captures written as a manifest, then upserted with
-    those of the repeated ones."""
+def _stored_manifest(spark, sf, fmt, mirror=None):
+    """Entries of the plain captures (or of a mirror at hand) written as a manifest."""
     from ..operators.rewrite import build_mirror
     from ..streaming.jobs import scratch_dir
     path = scratch_dir(spark, "manifest")
-    M.write_manifest(M.manifest_record(build_mirror(_caps(spark, sf))), path, fmt)
+    M.write_manifest(M.manifest_record(build_mirror(_caps(spark, sf)) if mirror is None else mirror), path, fmt)
     return path
 
 
@@ -316,9 +315,16 @@ def q_write_manifest(spark, sf):
 
 
 def q_read_manifest(spark, sf):
-    """A stored manifest brought up to date by a later run."""
-    old = M.read_manifest(spark, _stored_manifest(spark, sf, "parquet"))
-    return M.manifest_upsert(old, _entries(spark, sf))
+    """A stored manifest brought up to date by a later run, which saves the captures
+    of the first and those that came again. A capture is rewritten once: what both
+    runs say of the first ones is written without the bodies."""
+    from ..operators.rewrite import build_mirror
+    from ..session import written
+    caps = _caps(spark, sf)
+    first = written(build_mirror(caps).drop("content"))
+    old = M.read_manifest(spark, _stored_manifest(spark, sf, "parquet", first))
+    later = first.unionByName(build_mirror(D.repeats(caps)).drop("content"))
+    return M.manifest_upsert(old, M.manifest_record(later))
 
 
 def _two_rounds(spark, sf):

@@ -149,6 +149,11 @@ def repeated_captures(captures: DataFrame) -> DataFrame:
     """Captures with URLs fetched again (another body, a later seq, for every
     13th) and twins of every 17th whose host gains or loses "www.", which map
     to the same file."""
+    return captures.unionByName(repeats(captures))
+
+
+def repeats(captures: DataFrame) -> DataFrame:
+    """What ``repeated_captures`` adds to the captures."""
     again = (captures.where(F.pmod(F.col("seq"), F.lit(13)) == 0)
              .withColumn("body", F.concat(F.col("body"), F.lit("<p>again</p>")))
              .withColumn("seq", F.col("seq") + 1_000_000_000))
@@ -156,7 +161,7 @@ def repeated_captures(captures: DataFrame) -> DataFrame:
     twins = (captures.where(F.pmod(F.col("seq"), F.lit(17)) == 0)
              .withColumn("url", F.when(bare != F.col("url"), bare).otherwise(F.regexp_replace(F.col("url"), "^(https?://)", "$1www.")))
              .withColumn("seq", F.col("seq") + 2_000_000_000))
-    return captures.unionByName(again).unionByName(twins)
+    return again.unionByName(twins)
 
 
 def seed_inputs(pages: DataFrame) -> DataFrame:

@@ -65,3 +65,9 @@ def test_a_round_parses_no_recorded_address(spark):
     asked = spark.createDataFrame([("a.test", "https://a.test/1")], "site string, url string")
     got = fetch(asked)
     assert U._ABS_RE not in _plan(got) and sorted(r["seq"] for r in got.collect()) == [1, 6]
+
+
+def test_a_later_run_rewrites_what_came_again_only(spark, tmp_path):
+    sf = _pages(spark, tmp_path)
+    one = _plan(build_mirror(Q._caps(spark, sf)).select("site", "url", "out_hash")).count(H.BREAKER_RE)
+    assert one and _plan(Q.q_read_manifest(spark, sf)).count(H.BREAKER_RE) == 2 * one
